@@ -65,6 +65,12 @@ def row_mean_strict(*columns: Column | str) -> Column:
     return reduce(lambda a, b: a + b, cols) / len(cols)
 
 
+def round_half_even(c: Column | str, places: int = 2) -> Column:
+    """Scaled, rounded to the nearest even whole and scaled back, as array libraries round."""
+    scale = float(10**places)
+    return F.rint(_col(c).cast("double") * scale) / scale
+
+
 def truncate_to_int(c: Column | str) -> Column:
     return _col(c).cast("int")
 

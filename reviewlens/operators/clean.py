@@ -94,19 +94,12 @@ def first_match_join(df: DataFrame, column: str, dictionary: DataFrame) -> DataF
     """
     lengths = [r[0] for r in dictionary.select(F.length("name")).distinct().collect()]
     values = df.select(F.col(column).alias("_value")).where(F.col(column).isNotNull()).distinct()
-    pieces = F.array_distinct(
-        F.flatten(
-            F.array(
-                *[
-                    F.transform(
-                        F.sequence(F.lit(1), F.greatest(F.length("_value") - n + 1, F.lit(1))),
-                        lambda i, n=n: F.substring(F.col("_value"), i, F.lit(n)),
-                    )
-                    for n in sorted(lengths)
-                ]
-            )
-        )
-    )
+
+    def substrings(length: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length("_value") - length + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.substring(F.col("_value"), i, F.lit(length)))
+
+    pieces = F.array_distinct(F.flatten(F.array(*[substrings(n) for n in sorted(lengths)])))
     found = (
         values.select("_value", F.explode(pieces).alias("name"))
         .join(dictionary, "name")

@@ -198,7 +198,8 @@ def add_bands(df: DataFrame, bands: dict[str, tuple[float, float]] = dims.BANDS)
 
 def split_flag(key: Column | str, folds: int = 5, seed: int = 42) -> Column:
     """True for the training part (4 of 5 rows), the same however the data is partitioned."""
-    return F.pmod(F.xxhash64(c._col(key), F.lit(seed)), F.lit(folds)) != 0
+    digest = F.md5(F.concat(c._col(key).cast("string"), F.lit(f"-{seed}")))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % folds != 0
 
 
 def fit_rating_model(

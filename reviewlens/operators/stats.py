@@ -34,7 +34,11 @@ def _long_values(df: DataFrame, columns: Sequence[str], *keys: str) -> DataFrame
 
 def value_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """`(measure, value, n, share)`: relative frequency of each value of each column."""
-    counts = _long_values(df, columns).groupBy("measure", "value").agg(F.count(F.lit(1)).alias("n"))
+    return shares_of_counts(value_counts(_long_values(df, columns), ["measure"], "value"))
+
+
+def shares_of_counts(counts: DataFrame) -> DataFrame:
+    """The same from `(measure, value, n)`, of which there are few."""
     total = F.sum("n").over(Window.partitionBy("measure"))
     return counts.withColumn("share", F.col("n") / total).orderBy("measure", "value")
 
@@ -42,6 +46,11 @@ def value_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def ordered_counts(df: DataFrame, column: str, labels: DataFrame) -> DataFrame:
     """Rows per listed label in list order, zero counts included, unlisted labels left out."""
     counts = df.groupBy(F.col(column).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return counts_in_order(counts, labels)
+
+
+def counts_in_order(counts: DataFrame, labels: DataFrame) -> DataFrame:
+    """The same from `(label, n)`."""
     listed = F.broadcast(labels)
     counted = counts.join(listed.select("label"), "label", "left_semi")
     return (
@@ -55,7 +64,11 @@ def top_and_other(
     df: DataFrame, column: str, top: int = 20, longer_than: int = 20, keep: int = 28, other: str = "Other"
 ) -> DataFrame:
     """Rows per value for the `top` most frequent values, the rest summed up as one label."""
-    counts = count_by(df, column).withColumnRenamed(column, "label")
+    return top_of_counts(count_by(df, column).withColumnRenamed(column, "label"), top, longer_than, keep, other)
+
+
+def top_of_counts(counts: DataFrame, top: int = 20, longer_than: int = 20, keep: int = 28, other: str = "Other") -> DataFrame:
+    """The same from `(label, n)`."""
     leaders = counts.orderBy(F.desc("n"), "label").limit(top)
     # `leaders` has at most `top` rows.
     rest = counts.join(F.broadcast(leaders.select("label")), "label", "left_anti")
@@ -70,9 +83,12 @@ def length_counts(df: DataFrame, text: str, shortest: int = 30) -> DataFrame:
     return counts.orderBy("words").limit(shortest)
 
 
+def length_bin(text: str, width: int) -> Column:
+    return (F.floor(x.word_count(text) / width) * width).cast("bigint")
+
+
 def length_histogram(df: DataFrame, text: str, label: str, width: int) -> DataFrame:
-    bins = (F.floor(x.word_count(text) / width) * width).cast("bigint").alias("bin")
-    return df.select(bins, label).groupBy("bin", label).agg(F.count(F.lit(1)).alias("n"))
+    return df.select(length_bin(text, width).alias("bin"), label).groupBy("bin", label).agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- quartiles ----------------------------------------------------------------------------
@@ -127,23 +143,23 @@ def box_stats(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
 def box_by(df: DataFrame, key: str, value: str, places: int = 2) -> DataFrame:
     """Box statistics of a score per rating, both rounded first; rows without score left out."""
     rounded = df.select(
-        F.bround(F.col(key).cast("double"), places).alias(key), F.bround(F.col(value).cast("double"), places).alias(value)
+        c.round_half_even(key, places).alias(key), c.round_half_even(value, places).alias(value)
     )
     return box_stats(value_counts(rounded, [key], value), [key])
 
 
 def box_measures(df: DataFrame, key: str, measures: Sequence[str], places: int = 2) -> DataFrame:
     """The same for several measures by one rating."""
-    rounded = df.select(F.bround(F.col(key).cast("double"), places).alias(key), *[
-        F.bround(F.col(m).cast("double"), places).alias(m) for m in measures
+    rounded = df.select(c.round_half_even(key, places).alias(key), *[
+        c.round_half_even(m, places).alias(m) for m in measures
     ])
     return box_stats(value_counts(_long_values(rounded, measures, key), ["measure", key], "value"), ["measure", key])
 
 
 def box_by_each(df: DataFrame, keys: Sequence[str], value: str, places: int = 2) -> DataFrame:
     """The same for one score by each of several ratings."""
-    rounded = df.select(F.bround(F.col(value).cast("double"), places).alias("score"), *[
-        F.bround(F.col(k).cast("double"), places).alias(k) for k in keys
+    rounded = df.select(c.round_half_even(value, places).alias("score"), *[
+        c.round_half_even(k, places).alias(k) for k in keys
     ])
     long = rounded.unpivot(["score"], list(keys), "rating", "level")
     return box_stats(value_counts(long, ["rating", "level"], "score"), ["rating", "level"])
@@ -151,7 +167,11 @@ def box_by_each(df: DataFrame, keys: Sequence[str], value: str, places: int = 2)
 
 def describe_ratings(df: DataFrame, columns: Sequence[str], places: int = 2) -> DataFrame:
     """One row per statistic (mean, 25%, 50%, 75%), one column per measure."""
-    counts = value_counts(_long_values(df, columns), ["measure"], "value")
+    return describe_counts(value_counts(_long_values(df, columns), ["measure"], "value"), columns, places)
+
+
+def describe_counts(counts: DataFrame, columns: Sequence[str], places: int = 2) -> DataFrame:
+    """The same from `(measure, value, n)`."""
     stats = counts.groupBy("measure").agg(
         (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("_mean"), _quartiles().alias("_q")
     )
@@ -166,14 +186,14 @@ def describe_ratings(df: DataFrame, columns: Sequence[str], places: int = 2) ->
             )
         ).alias("_s"),
     ).select("measure", "_s.*")
-    return named.groupBy("Statistic").pivot("measure", list(columns)).agg(F.first(F.bround("v", places)))
+    return named.groupBy("Statistic").pivot("measure", list(columns)).agg(F.first(c.round_half_even("v", places)))
 
 
 def round_numeric(df: DataFrame, places: int = 2) -> DataFrame:
     """Half-even rounding of every floating column."""
     floating = (T.DoubleType, T.FloatType)
     return df.select(
-        *[F.bround(f.name, places).alias(f.name) if isinstance(f.dataType, floating) else F.col(f.name) for f in df.schema]
+        *[c.round_half_even(f.name, places).alias(f.name) if isinstance(f.dataType, floating) else F.col(f.name) for f in df.schema]
     )
 
 

@@ -17,32 +17,67 @@ def overview(
 ) -> dict[str, DataFrame]:
     """Seven tables of the chosen reviews. Rows without gender are always left out.
 
-    Every table reads only its own columns of the filtered rows; the caller may persist
-    `reviews` when they are not a file scan.
+    All seven are counts over categories, so the rows are read once: every row gives one
+    `(measure, label, value)` per column, these are counted with one shuffle, and the tables
+    are made from the counts.
     """
     spark = reviews.sparkSession
     chosen = clean.choose(
         reviews, always=("Gender",), DrugFamily=families, Gender=genders, Age=ages, TimeUsingDrug=times
     )
+    none = F.lit(None)
+
+    def entry(measure: str, label, value):
+        return F.struct(
+            F.lit(measure).alias("measure"), label.cast("string").alias("label"), value.cast("double").alias("value")
+        )
+
+    entries = [entry(r, none, F.col(r)) for r in dims.RATINGS]
+    entries += [entry(d, F.col(d), none) for d in ("Gender", "Condition", "Age", "TimeUsingDrug")]
+    entries.append(entry("length", F.col("bert_compound_threshold"), stats.length_bin("Comment", bin_width)))
+    counts = (
+        chosen.select(F.explode(F.array(*entries)).alias("e"))
+        .groupBy("e.measure", "e.label", "e.value")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    ratings = counts.where(F.col("measure").isin(dims.RATINGS) & F.col("value").isNotNull()).select("measure", "value", "n")
+
+    def labels(measure: str) -> DataFrame:
+        return counts.where((F.col("measure") == measure) & F.col("label").isNotNull()).select("label", "n")
+
+    lengths = counts.where(F.col("measure") == "length")
     return {
-        "rating_distribution": stats.value_shares(chosen, dims.RATINGS),
-        "rating_stats": stats.describe_ratings(chosen, dims.RATINGS),
-        "comment_lengths": stats.length_histogram(chosen, "Comment", "bert_compound_threshold", bin_width),
-        "genders": stats.top_and_other(chosen, "Gender"),
-        "conditions": stats.top_and_other(chosen, "Condition"),
-        "ages": stats.ordered_counts(chosen, "Age", dims.ordered_labels(spark, age_order)),
-        "times": stats.ordered_counts(chosen, "TimeUsingDrug", dims.ordered_labels(spark, time_order)),
+        "rating_distribution": stats.shares_of_counts(ratings),
+        "rating_stats": stats.describe_counts(ratings, dims.RATINGS),
+        "comment_lengths": lengths.select(
+            F.col("value").cast("bigint").alias("bin"), F.col("label").alias("bert_compound_threshold"), "n"
+        ),
+        "genders": stats.top_of_counts(labels("Gender")),
+        "conditions": stats.top_of_counts(labels("Condition")),
+        "ages": stats.counts_in_order(labels("Age"), dims.ordered_labels(spark, age_order)),
+        "times": stats.counts_in_order(labels("TimeUsingDrug"), dims.ordered_labels(spark, time_order)),
     }
 
 
 def sentiment_overview(reviews: DataFrame, model: str = "bert") -> dict[str, DataFrame]:
+    """Mean ratings and scores per family, and the box statistics of scores by rating.
+
+    The boxes of all charts come from one pass: each scored row gives one `(chart, rating,
+    score)` per box it belongs to.
+    """
     score = f"{model}_compound"
-    scored = reviews.where(F.col(score).isNotNull())
+    pairs = [("Overall", score)]
+    pairs += [("Overall", f"{model}_{part}") for part in ("neg", "neu", "pos")]
+    pairs += [(rating, score) for rating in ("Satisfaction", "EaseOfUse", "Effectiveness")]
+    rounded = {n: c.round_half_even(n, 2) for n in {n for pair in pairs for n in pair}}
+    points = F.array(
+        *[F.struct(F.lit(f"{s} by {r}").alias("chart"), rounded[r].alias("rating"), rounded[s].alias("score")) for r, s in pairs]
+    )
+    long = reviews.where(F.col(score).isNotNull()).select(F.explode(points).alias("p")).select("p.*")
+    boxes = stats.box_stats(stats.value_counts(long.where(F.col("rating").isNotNull()), ["chart", "rating"], "score"), ["chart", "rating"])
     return {
         "by_family": stats.means_by(reviews, "DrugFamily", ["Overall", score], "Overall"),
-        "by_rating": stats.box_by(reviews, "Overall", score),
-        "components": stats.box_measures(scored, "Overall", [f"{model}_neg", f"{model}_neu", f"{model}_pos"]),
-        "by_category": stats.box_by_each(scored, ["Satisfaction", "EaseOfUse", "Effectiveness"], score),
+        "boxes": boxes,
     }
 
 
@@ -76,7 +111,7 @@ def review_details(reviews: DataFrame, key: str, value) -> DataFrame:
         F.year("DatePosted").alias("YearPosted"),
         F.month("DatePosted").alias("MonthPosted"),
         *[c.truncate_to_int(r).alias(r) for r in ("Effectiveness", "EaseOfUse", "Satisfaction")],
-        F.bround(F.col("Overall").cast("double"), 2).alias("Overall"),
+        c.round_half_even("Overall", 2).alias("Overall"),
         F.col("PredictedOverall").cast("double").alias("PredictedOverall"),
         F.col("NumFoundHelpful").alias("Helpful"),
         (F.col("NumVoted") - F.col("NumFoundHelpful")).alias("NotHelpful"),
