@@ -38,9 +38,8 @@ def clean_text(text: Column | str, stop_words: Sequence[str]) -> Column:
 
 def adjacent_pairs(token_array: Column) -> Column:
     """`(a, b)` for every two neighbours of one document, made without a shuffle."""
-    following = F.slice(token_array, 2, F.greatest(F.size(token_array) - 1, F.lit(0)))
-    heads = F.slice(token_array, 1, F.greatest(F.size(token_array) - 1, F.lit(0)))
-    return F.zip_with(heads, following, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    count = F.greatest(F.size(token_array) - 1, F.lit(0))
+    return F.arrays_zip(F.slice(token_array, 1, count).alias("a"), F.slice(token_array, 2, count).alias("b"))
 
 
 def ngrams(token_array: Column, n: int) -> Column:

@@ -28,6 +28,9 @@ BEFORE_BUT, AFTER_BUT = 0.5, 1.5
 EXCLAMATION_STEP, EXCLAMATION_MAX = 0.292, 4
 QUESTION_STEP, QUESTION_MAX, QUESTION_TOP = 0.18, 3, 0.96
 NORMALISATION = 15.0
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+LEXICON_WORDS = 20_000
 
 
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
@@ -50,46 +53,46 @@ def _negates(word: Column) -> Column:
 def lexicon_scores(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
     """`(key, neg, neu, pos, compound)` per text; `key` must be unique.
 
-    Every token carries its three predecessors, taken from the token array of its own row, so
-    the only shuffle is the sum per text, which is nearly complete before it. The lexicon does
-    not grow with the data; it is broadcast once its size is checked.
+    Lexicon words are found within the token array of each row and carry their three
+    predecessors, so only these words leave the row, and the only shuffle is their sum per
+    text, which is nearly complete before it. The lexicon does not grow with the data; its
+    size is checked before it is broadcast. A very long one is joined to all tokens instead.
     """
-    lexicon = sizes.broadcast_within(lexicon.select("token", F.col("weight").alias("valence")))
+    lexicon = lexicon.select("token", F.col("weight").alias("valence"))
+    listed = sizes.rows_within(lexicon.select("token"), LEXICON_WORDS)
+    words = None if listed is None else [r["token"] for r in listed]
+
     stripped = F.transform(
-        x.tokens(text),
-        lambda t: F.when(
-            F.length(F.regexp_replace(t, r"^\p{Punct}+|\p{Punct}+$", "")) > 2,
-            F.regexp_replace(t, r"^\p{Punct}+|\p{Punct}+$", ""),
-        ).otherwise(t),
+        F.transform(x.tokens(text), lambda t: F.struct(t.alias("t"), F.btrim(t, F.lit(PUNCTUATION)).alias("s"))),
+        lambda p: F.when(F.length(p["s"]) > 2, p["s"]).otherwise(p["t"]),
     )
     exclamations = F.least(F.regexp_count(text, F.lit("!")), F.lit(EXCLAMATION_MAX)) * EXCLAMATION_STEP
     questions = F.regexp_count(text, F.lit(r"\?"))
     question_points = (
         F.when(questions <= 1, 0.0).when(questions <= QUESTION_MAX, questions * QUESTION_STEP).otherwise(QUESTION_TOP)
     )
-    words = df.select(key, stripped.alias("_w"), (exclamations + question_points).alias("_amp"))
-    words = words.withColumn("_low", F.transform("_w", lambda w: F.lower(w)))
-    words = words.select(
+    texts = df.select(key, stripped.alias("_w"), (exclamations + question_points).alias("_amp"))
+    texts = texts.withColumn("_low", F.transform("_w", lambda w: F.lower(w))).select(
         key, "_w", "_low", "_amp",
+        F.size("_w").alias("_words"),
         F.array_position("_low", F.lit("but")).alias("_but"),
-        F.exists("_w", _is_caps).alias("_some_caps"),
-        F.exists("_w", lambda w: ~_is_caps(w)).alias("_some_plain"),
+        (F.exists("_w", _is_caps) & F.exists("_w", lambda w: ~_is_caps(w))).alias("_mixed"),
     )
+    numbered = F.transform("_low", lambda w, i: F.struct(i.alias("i"), w.alias("token")))
+    found = numbered if words is None else F.filter(numbered, lambda e: e["token"].isin(words))
     context = F.transform(
-        "_w",
-        lambda w, i: F.struct(
-            i.alias("i"),
-            _is_caps(w).alias("caps"),
-            F.get("_low", i).alias("token"),
-            *[F.get("_low", i - k).alias(f"p{k}") for k in (1, 2, 3)],
-            *[F.coalesce(_is_caps(F.get("_w", i - k)), F.lit(False)).alias(f"c{k}") for k in (1, 2, 3)],
+        found,
+        lambda e: F.struct(
+            (e["i"] + 1).alias("position"),
+            e["token"].alias("token"),
+            _is_caps(F.get("_w", e["i"])).alias("caps"),
+            *[F.get("_low", e["i"] - k).alias(f"p{k}") for k in (1, 2, 3)],
+            *[F.coalesce(_is_caps(F.get("_w", e["i"] - k)), F.lit(False)).alias(f"c{k}") for k in (1, 2, 3)],
         ),
     )
-    tokens = words.select(
-        key, "_amp", "_but", (F.col("_some_caps") & F.col("_some_plain")).alias("_mixed"),
-        F.explode_outer(context).alias("_t"),
-    ).select(key, "_amp", "_but", "_mixed", "_t.*")
-    hits = tokens.join(lexicon, "token", "left")
+    tokens = texts.select(key, "_words", "_amp", "_but", "_mixed", F.explode_outer(context).alias("_t"))
+    tokens = tokens.select(key, "_words", "_amp", "_but", "_mixed", "_t.*")
+    hits = tokens.join(sizes.broadcast_within(lexicon), "token", "left")
 
     sign = F.signum(F.col("valence"))
     score = F.col("valence") + F.when(F.col("caps") & F.col("_mixed"), sign * CAPS_STEP).otherwise(0.0)
@@ -98,16 +101,16 @@ def lexicon_scores(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> Da
         step = _booster(previous)
         step = step + F.when(F.col(f"c{k}") & F.col("_mixed"), F.signum(step) * CAPS_STEP).otherwise(0.0)
         score = (score + step * sign * damping) * F.when(_negates(previous), NEGATION_FACTOR).otherwise(1.0)
-    position = F.col("i") + 1
+    position = F.col("position")
     weight = F.when((F.col("_but") > 0) & (position < F.col("_but")), BEFORE_BUT)
     weight = weight.when((F.col("_but") > 0) & (position > F.col("_but")), AFTER_BUT).otherwise(1.0)
-    scored = hits.select(key, "_amp", "token", F.coalesce(score * weight, F.lit(0.0)).alias("v"))
+    scored = hits.select(key, "_words", "_amp", F.coalesce(score * weight, F.lit(0.0)).alias("v"))
 
-    sums = scored.groupBy(key, "_amp").agg(
+    sums = scored.groupBy(key, "_words", "_amp").agg(
         F.sum("v").alias("s"),
         F.sum(F.when(F.col("v") > 0, F.col("v") + 1).otherwise(0.0)).alias("p"),
         F.sum(F.when(F.col("v") < 0, 1 - F.col("v")).otherwise(0.0)).alias("m"),
-        F.sum(F.when((F.col("v") == 0) & F.col("token").isNotNull(), 1.0).otherwise(0.0)).alias("z"),
+        (F.col("_words") - F.count_if(F.col("v") != 0)).alias("z"),
     )
     pushed = sums.select(
         key,

@@ -141,11 +141,11 @@ def box_stats(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def box_by(df: DataFrame, key: str, value: str, places: int = 2) -> DataFrame:
-    """Box statistics of a score per rating, both rounded first; rows without score left out."""
+    """Box statistics of a score per rating, both rounded first; rows without either left out."""
     rounded = df.select(
         c.round_half_even(key, places).alias(key), c.round_half_even(value, places).alias(value)
     )
-    return box_stats(value_counts(rounded, [key], value), [key])
+    return box_stats(value_counts(rounded.dropna(subset=[key]), [key], value), [key])
 
 
 def box_measures(df: DataFrame, key: str, measures: Sequence[str], places: int = 2) -> DataFrame:
@@ -153,7 +153,8 @@ def box_measures(df: DataFrame, key: str, measures: Sequence[str], places: int =
     rounded = df.select(c.round_half_even(key, places).alias(key), *[
         c.round_half_even(m, places).alias(m) for m in measures
     ])
-    return box_stats(value_counts(_long_values(rounded, measures, key), ["measure", key], "value"), ["measure", key])
+    long = _long_values(rounded.dropna(subset=[key]), measures, key)
+    return box_stats(value_counts(long, ["measure", key], "value"), ["measure", key])
 
 
 def box_by_each(df: DataFrame, keys: Sequence[str], value: str, places: int = 2) -> DataFrame:
@@ -161,7 +162,7 @@ def box_by_each(df: DataFrame, keys: Sequence[str], value: str, places: int = 2)
     rounded = df.select(c.round_half_even(value, places).alias("score"), *[
         c.round_half_even(k, places).alias(k) for k in keys
     ])
-    long = rounded.unpivot(["score"], list(keys), "rating", "level")
+    long = rounded.unpivot(["score"], list(keys), "rating", "level").dropna(subset=["level"])
     return box_stats(value_counts(long, ["rating", "level"], "score"), ["rating", "level"])
 
 

@@ -40,6 +40,14 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet rows of long text. A table with fewer splits than the session has cores is spread
+    over the cores first, since the work per row is large; a large table stays as it is."""
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """CSV written by `write_csv`. Nested columns come back as JSON text."""
     return (

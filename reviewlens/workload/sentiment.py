@@ -1 +1,153 @@
+"""Lexicon and model scores, and ratings predicted from scores."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .. import dims
+from ..operators import sentiment
+from .registry import Source, labelled, query
+
+_LEXICON_SQL = ", ".join(f"('{w}', CAST({v} AS DOUBLE))" for w, v in dims.LEXICON.items())
+_UP = ", ".join(f"'{w}'" for w, v in dims.BOOSTERS.items() if v > 0)
+_DOWN = ", ".join(f"'{w}'" for w, v in dims.BOOSTERS.items() if v < 0)
+_NEGATIONS = ", ".join(f"'{w}'" for w in dims.NEGATIONS)
+
+
+def _step_sql(k: int) -> str:
+    base = f"(CASE WHEN p{k} IN ({_UP}) THEN 0.293 WHEN p{k} IN ({_DOWN}) THEN -0.293 ELSE 0 END)::DOUBLE"
+    return f"({base} + CASE WHEN c{k} AND mixed THEN sign({base}) * 0.733 ELSE 0 END)"
+
+
+def _negation_sql(k: int) -> str:
+    return f"(CASE WHEN p{k} IN ({_NEGATIONS}) OR contains(coalesce(p{k}, ''), 'n''t') THEN -0.74 ELSE 1 END)::DOUBLE"
+
+
+LEXICON_SQL = rf"""
+lexicon(token, valence) AS (VALUES {_LEXICON_SQL}),
+split AS (SELECT doc_id, text, regexp_extract_all(text, '\S+') AS ws FROM documents),
+raw AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS w FROM split),
+words AS (
+  SELECT doc_id, i, CASE WHEN length(regexp_replace(w, '^[[:punct:]]+|[[:punct:]]+$', '', 'g')) > 2
+                         THEN regexp_replace(w, '^[[:punct:]]+|[[:punct:]]+$', '', 'g') ELSE w END AS w FROM raw),
+marked AS (SELECT doc_id, i, lower(w) AS token, upper(w) = w AND lower(w) <> w AS caps FROM words),
+doc AS (SELECT doc_id, bool_or(caps) AND bool_or(NOT caps) AS mixed, min(i) FILTER (WHERE token = 'but') AS but_at
+        FROM marked GROUP BY doc_id),
+context AS (
+  SELECT m.doc_id, i, token, caps, mixed, but_at,
+         lag(token, 1) OVER w AS p1, lag(token, 2) OVER w AS p2, lag(token, 3) OVER w AS p3,
+         coalesce(lag(caps, 1) OVER w, false) AS c1, coalesce(lag(caps, 2) OVER w, false) AS c2, coalesce(lag(caps, 3) OVER w, false) AS c3
+  FROM marked m JOIN doc d ON m.doc_id = d.doc_id WINDOW w AS (PARTITION BY m.doc_id ORDER BY i)),
+hits AS (
+  SELECT c.*, sign(valence) AS sg, valence + CASE WHEN caps AND mixed THEN sign(valence) * 0.733 ELSE 0 END AS base
+  FROM context c JOIN lexicon l ON c.token = l.token),
+first AS (SELECT *, (base + {_step_sql(1)} * sg) * {_negation_sql(1)} AS s1 FROM hits),
+second AS (SELECT *, (s1 + {_step_sql(2)} * sg * 0.95) * {_negation_sql(2)} AS s2 FROM first),
+third AS (SELECT *, (s2 + {_step_sql(3)} * sg * 0.9) * {_negation_sql(3)} AS s3 FROM second),
+weighted AS (SELECT doc_id, s3 * CASE WHEN i < but_at THEN 0.5 WHEN i > but_at THEN 1.5 ELSE 1 END AS v FROM third),
+sums AS (
+  SELECT s.doc_id, len(ws) AS tokens, least(length(text) - length(replace(text, '!', '')), 4) * 0.292::DOUBLE AS ex,
+         length(text) - length(replace(text, '?', '')) AS qm,
+         coalesce(t.s, 0) AS s, coalesce(t.p, 0) AS p, coalesce(t.m, 0) AS m, coalesce(t.hits, 0) AS hits
+  FROM split s LEFT JOIN (
+    SELECT doc_id, sum(v) AS s, sum(CASE WHEN v > 0 THEN v + 1 ELSE 0 END) AS p, sum(CASE WHEN v < 0 THEN 1 - v ELSE 0 END) AS m,
+           count(*) FILTER (WHERE v <> 0) AS hits FROM weighted GROUP BY doc_id) t ON s.doc_id = t.doc_id),
+amplified AS (SELECT *, ex + CASE WHEN qm <= 1 THEN 0 WHEN qm <= 3 THEN qm * 0.18 ELSE 0.96 END::DOUBLE AS amp FROM sums),
+pushed AS (
+  SELECT doc_id, s + sign(s) * amp AS s, p + CASE WHEN p > m THEN amp ELSE 0 END AS p, m + CASE WHEN m > p THEN amp ELSE 0 END AS m,
+         tokens - hits AS z FROM amplified),
+scores AS (
+  SELECT doc_id, coalesce(round(m / nullif(p + m + z, 0), 3), 0)::DOUBLE AS neg, coalesce(round(z / nullif(p + m + z, 0), 3), 0)::DOUBLE AS neu,
+         coalesce(round(p / nullif(p + m + z, 0), 3), 0)::DOUBLE AS pos, round(s / sqrt(s * s + 15), 4) AS compound FROM pushed)
+"""
+
+
+@query("lexicon_sentiment", f"WITH {LEXICON_SQL} SELECT * FROM scores")
+def lexicon_sentiment(t: Source) -> DataFrame:
+    return sentiment.lexicon_scores(t.documents, "doc_id", "text", dims.word_weights(t.spark, dims.LEXICON))
+
+
+CLASS = {"negative": 0, "neutral": 1, "positive": 2}
+
+
+def classified(t: Source) -> DataFrame:
+    """Model scores of all documents; the classifier learns from those that have labels."""
+    docs = labelled(t)
+    known = docs.where(F.col("quality").isNotNull()).withColumn(
+        "class", F.coalesce(*[F.when(F.col("bert_compound_threshold") == k, v) for k, v in CLASS.items()])
+    )
+    return sentiment.add_classifier_scores(docs, "text", sentiment.fit_text_classifier(known, "text", "class"))
+
+
+@query("batch_model_score")
+def batch_model_score(t: Source) -> DataFrame:
+    scores = [f"bert_{n}" for n in ("neg", "neu", "pos", "compound")]
+    return classified(t).select("doc_id", *[F.round(s, 4).alias(s) for s in scores])
+
+
+def letter_predictor():
+    """Scores from the share of vowels and capitals: a predictor that fails on empty text."""
+    import numpy as np
+
+    def predict(texts):
+        out = []
+        for text in texts:
+            vowels = sum(text.lower().count(v) for v in "aeiou") / len(text)
+            capitals = sum(ch.isupper() for ch in text) / len(text)
+            logits = np.array([capitals, 0.5, vowels])
+            weights = np.exp(logits - logits.max())
+            out.append(weights / weights.sum())
+        return np.array(out)
+
+    return predict
+
+
+@query("score_or_null")
+def score_or_null(t: Source) -> DataFrame:
+    """A text the predictor fails on has null scores, the others are scored."""
+    texts = t.documents.select("doc_id", F.when(F.col("n_chars") < 500, "").otherwise(F.col("text")).alias("text"))
+    scored = sentiment.add_predictor_scores(texts, "text", letter_predictor)
+    return scored.select("doc_id", *[F.round(f"bert_{n}", 6).alias(n) for n in ("neg", "neu", "pos", "compound")])
+
+
+# --- ratings from scores ---------------------------------------------------------------------------------
+
+
+def _scored_events(t: Source) -> DataFrame:
+    """A score in [-1, 1] and a rating that follows it in part."""
+    score = F.round(F.col("value") / 250 - 1, 4)
+    rating = 1 + (F.col("user_id") % 5 + F.when(score > 0, 2).otherwise(0)).cast("double") * 0.6
+    return t.events.select("event_id", score.alias("score"), rating.alias("rating"))
+
+
+@query(
+    "linear_regression",
+    """WITH e AS (SELECT round(value / 250 - 1, 4) AS x, 1 + (user_id % 5 + CASE WHEN value / 250 - 1 > 0 THEN 2 ELSE 0 END)::DOUBLE * 0.6 AS y,
+              CAST('0x' || substr(md5(event_id || '-42'), 1, 8) AS BIGINT) % 5 <> 0 AS train FROM events)
+       SELECT round(regr_intercept(y, x), 5) AS intercept, round(regr_slope(y, x), 5) AS slope FROM e WHERE train""",
+)
+def linear_regression(t: Source) -> DataFrame:
+    """The straight-line form of the rating model."""
+    rows = _scored_events(t)
+    model, _ = sentiment.fit_rating_model(rows, "score", "rating", "event_id", degree=1)
+    intercept, slope = sentiment.coefficients(model)
+    return t.spark.createDataFrame([(round(float(intercept), 5), round(float(slope), 5))], "intercept double, slope double")
+
+
+@query("poly_regression")
+def poly_regression(t: Source) -> DataFrame:
+    """Coefficients of the polynomial and its error on the held-out part."""
+    model, error = sentiment.fit_rating_model(_scored_events(t), "score", "rating", "event_id")
+    rows = [(f"x^{i}", float(a)) for i, a in enumerate(sentiment.coefficients(model))]
+    return t.spark.createDataFrame(rows + [(k, float(v)) for k, v in error.items()], "name string, value double")
+
+
+@query("predict_rating")
+def predict_rating(t: Source) -> DataFrame:
+    rows = _scored_events(t)
+    model, _ = sentiment.fit_rating_model(rows, "score", "rating", "event_id")
+    predicted = sentiment.predict_rating("score", sentiment.coefficients(model))
+    return rows.select("event_id", "score", F.round(predicted, 6).alias("PredictedOverall"))
+
 

@@ -144,7 +144,7 @@ def box_sql(keys: str, points: str) -> str:
 
 @query(
     "box_by_rating",
-    f"""WITH {RATED}, {box_sql("Overall", "SELECT round_even(Overall, 2) AS Overall, round_even(bert_compound, 2) AS value FROM rated")}
+    f"""WITH {RATED}, {box_sql("Overall", "SELECT round_even(Overall, 2) AS Overall, round_even(bert_compound, 2) AS value FROM rated WHERE Overall IS NOT NULL")}
         SELECT Overall, n, outliers, {rounded_sql(*BOX)} FROM boxes""",
 )
 def box_by_rating(t: Source) -> DataFrame:
@@ -168,7 +168,7 @@ PARTS = ["bert_neg", "bert_neu", "bert_pos"]
 @query(
     "box_components",
     f"""WITH {RATED}, {box_sql("measure, Overall", " UNION ALL ".join(
-        f"SELECT '{m}' AS measure, round_even(Overall, 2) AS Overall, round_even({m}, 2) AS value FROM rated" for m in PARTS))}
+        f"SELECT '{m}' AS measure, round_even(Overall, 2) AS Overall, round_even({m}, 2) AS value FROM rated WHERE Overall IS NOT NULL" for m in PARTS))}
         SELECT measure, Overall, n, outliers, {rounded_sql(*BOX)} FROM boxes""",
 )
 def box_components(t: Source) -> DataFrame:
@@ -181,7 +181,7 @@ CATEGORIES = ["Satisfaction", "EaseOfUse", "Effectiveness"]
 @query(
     "box_by_categories",
     f"""WITH {RATED}, {box_sql("rating, level", " UNION ALL ".join(
-        f"SELECT '{m}' AS rating, round_even({m}, 2) AS level, round_even(bert_compound, 2) AS value FROM rated" for m in CATEGORIES))}
+        f"SELECT '{m}' AS rating, round_even({m}, 2) AS level, round_even(bert_compound, 2) AS value FROM rated WHERE {m} IS NOT NULL" for m in CATEGORIES))}
         SELECT rating, level, n, outliers, {rounded_sql(*BOX)} FROM boxes""",
 )
 def box_by_categories(t: Source) -> DataFrame:

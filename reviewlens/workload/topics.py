@@ -1 +1,221 @@
+"""Topic queries. Where SQL checks them, sources or labels stand in for fitted topics."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text as x
+from ..operators import topics
+from ..plans import stages
+from ..session import scratch_path
+from .registry import Source, query
+from .text import CLEAN_TOKENS_SQL
+
+# --- terms and labels ------------------------------------------------------------------------------------
+
+TERMS_SQL = f"""
+{CLEAN_TOKENS_SQL},
+counts AS (SELECT source AS topic, token AS term, count(*) AS n FROM toks JOIN documents USING (doc_id) GROUP BY 1, 2),
+per_topic AS (SELECT topic, sum(n) AS words FROM counts GROUP BY topic),
+per_term AS (SELECT term, sum(n) AS everywhere FROM counts GROUP BY term),
+weights AS (
+  SELECT topic, term, round(n / words * ln(1 + (SELECT avg(words) FROM per_topic) / everywhere), 12) AS weight
+  FROM counts JOIN per_topic USING (topic) JOIN per_term USING (term)),
+terms AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) AS INTEGER) AS rank FROM weights)
+          WHERE rank <= 10),
+names AS (SELECT topic, topic || '_' || string_agg(term, '_' ORDER BY rank) AS name FROM terms WHERE rank <= 4 GROUP BY topic)
+"""
+
+
+def _worded(t: Source) -> DataFrame:
+    return t.documents.select("doc_id", "source", x.tokens(x.letters_only("text")).alias("tokens"))
+
+
+def _terms(t: Source) -> DataFrame:
+    return topics.topic_terms(_worded(t), "source", "tokens")
+
+
+@query("topic_terms", f"WITH {TERMS_SQL} SELECT topic, rank, term, round(weight, 8) AS weight FROM terms")
+def topic_terms(t: Source) -> DataFrame:
+    return _terms(t).withColumn("weight", F.round("weight", 8))
+
+
+@query("topic_label", f"WITH {TERMS_SQL} SELECT topic, name FROM names")
+def topic_label(t: Source) -> DataFrame:
+    return topics.topic_labels(_terms(t))
+
+
+@query(
+    "topic_info",
+    f"""WITH {TERMS_SQL}, r AS (SELECT topic, string_agg(term, ' ' ORDER BY rank) AS representation FROM terms GROUP BY topic),
+        d AS (SELECT source AS topic, count(*) AS count FROM documents GROUP BY source)
+        SELECT topic, count, name, representation, topic || ': ' || representation AS topic_text
+        FROM d LEFT JOIN r USING (topic) LEFT JOIN names USING (topic)""",
+)
+def topic_info(t: Source) -> DataFrame:
+    return topics.topic_info(_worded(t), "source", _terms(t))
+
+
+# --- probabilities -----------------------------------------------------------------------------------------
+
+
+@query(
+    "multi_topic",
+    """SELECT vec_id, CAST(i AS INTEGER) AS topic FROM
+       (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding) AS p FROM embeddings) WHERE p >= 0.25::FLOAT""",
+)
+def multi_topic(t: Source) -> DataFrame:
+    listed = topics.add_topic_list(t.embeddings, "embedding", 0.25)
+    return listed.select("vec_id", F.explode("TopicsList").alias("topic"))
+
+
+@query(
+    "join_lookup_list",
+    """SELECT vec_id, string_agg('topic ' || i, ', ' ORDER BY i) FILTER (WHERE i % 3 <> 0) AS names FROM
+       (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding) AS p FROM embeddings) WHERE p >= 0.15::FLOAT GROUP BY vec_id
+       HAVING count(*) FILTER (WHERE i % 3 <> 0) > 0""",
+)
+def join_lookup_list(t: Source) -> DataFrame:
+    """Names exist for two of three topics."""
+    names = t.spark.range(64).where("id % 3 <> 0").select(
+        F.col("id").alias("topic"), F.concat(F.lit("topic "), F.col("id").cast("string")).alias("name")
+    )
+    listed = topics.add_topic_list(t.embeddings, "embedding", 0.15)
+    named = topics.add_topic_names(listed, "vec_id", "TopicsList", names)
+    return named.where(F.size("TopicNames") > 0).select("vec_id", F.array_join("TopicNames", ", ").alias("names"))
+
+
+@query(
+    "reassign_outliers",
+    """SELECT vec_id, CAST(CASE WHEN label = 0 AND list_max(embedding) >= 0.3::FLOAT THEN list_position(embedding, list_max(embedding)) - 1
+              WHEN label = 0 THEN -1 ELSE label END AS INTEGER) AS Topic FROM embeddings""",
+)
+def reassign_outliers(t: Source) -> DataFrame:
+    topic = F.when(F.col("label") == 0, topics.OUTLIER).otherwise(F.col("label"))
+    return t.embeddings.select("vec_id", topics.reassign_outliers(topic, "embedding", 0.3).alias("Topic"))
+
+
+@query(
+    "topic_distribution",
+    """SELECT CAST(unnest(range(len(embedding))) AS INTEGER) AS topic, CAST(unnest(embedding) AS DOUBLE) AS probability
+       FROM embeddings WHERE vec_id = 42""",
+)
+def topic_distribution(t: Source) -> DataFrame:
+    rows = topics.topic_distribution(t.embeddings, "vec_id", 42, "embedding")
+    return rows.withColumn("probability", F.col("probability").cast("double"))
+
+
+# --- similarity -----------------------------------------------------------------------------------------------
+
+COSINE_SQL = """
+long AS (SELECT label, unnest(range(len(embedding))) AS dim, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+centre AS (SELECT label AS topic, dim, avg(v) AS v FROM long GROUP BY label, dim),
+cosines AS (
+  SELECT a.topic AS topic_a, b.topic AS topic_b, sum(a.v * b.v) / (sqrt(sum(a.v * a.v)) * sqrt(sum(b.v * b.v))) AS cosine
+  FROM centre a JOIN centre b ON a.dim = b.dim GROUP BY 1, 2)
+"""
+
+
+def _centres(t: Source) -> DataFrame:
+    return topics.centroids(t.embeddings, "label", "embedding")
+
+
+@query("topic_similarity", f"WITH {COSINE_SQL} SELECT topic_a, topic_b, round(cosine, 6) AS cosine FROM cosines")
+def topic_similarity(t: Source) -> DataFrame:
+    return topics.topic_similarity(_centres(t)).withColumn("cosine", F.round("cosine", 6))
+
+
+
+@query(
+    "similar_topics",
+    f"WITH {COSINE_SQL} SELECT topic_a, topic_b, round(cosine, 6) AS cosine FROM cosines WHERE topic_a < topic_b AND cosine >= 0.05",
+)
+def similar_topics(t: Source) -> DataFrame:
+    return topics.similar_pairs(_centres(t), 0.05).withColumn("cosine", F.round("cosine", 6))
+
+
+@query(
+    "reduce_topics",
+    f"""WITH RECURSIVE {COSINE_SQL},
+        reach(topic, other) AS (
+          SELECT topic_a, topic_b FROM cosines WHERE topic_a = topic_b OR cosine >= 0.05
+          UNION SELECT r.topic, c.topic_b FROM reach r JOIN cosines c ON r.other = c.topic_a WHERE c.cosine >= 0.05)
+        SELECT topic, min(other) AS merged FROM reach GROUP BY topic""",
+)
+def reduce_topics(t: Source) -> DataFrame:
+    return topics.reduce_topics(_centres(t), 0.05)
+
+
+@query(
+    "apply_reduction",
+    f"""WITH RECURSIVE {COSINE_SQL},
+        reach(topic, other) AS (
+          SELECT topic_a, topic_b FROM cosines WHERE topic_a = topic_b OR cosine >= 0.05
+          UNION SELECT r.topic, c.topic_b FROM reach r JOIN cosines c ON r.other = c.topic_a WHERE c.cosine >= 0.05),
+        merged AS (SELECT topic, min(other) AS merged FROM reach GROUP BY topic),
+        slots AS (SELECT topic, merged, dense_rank() OVER (ORDER BY merged) - 1 AS slot FROM merged),
+        p AS (SELECT vec_id, label, unnest(range(10)) AS topic, CAST(unnest(embedding[1:10]) AS DOUBLE) AS v FROM embeddings)
+        SELECT vec_id, CAST(any_value(own.slot) AS INTEGER) AS Topic, CAST(s.slot AS INTEGER) AS slot, round(sum(v), 6) AS probability
+        FROM p JOIN slots s ON p.topic = s.topic JOIN slots own ON p.label = own.topic GROUP BY vec_id, s.slot""",
+)
+def apply_reduction(t: Source) -> DataFrame:
+    """Rows relabelled to merged topics, with the probabilities of merged topics added up."""
+    rows = t.embeddings.select(
+        "vec_id", F.col("label").alias("Topic"), F.slice("embedding", 1, 10).cast("array<double>").alias("TopicProbability")
+    )
+    reduced = topics.apply_reduction(rows, topics.reduce_topics(_centres(t), 0.05))
+    long = reduced.select("vec_id", "Topic", F.posexplode("TopicProbability").alias("slot", "probability"))
+    return long.withColumn("probability", F.round("probability", 6))
+
+
+# --- documents -------------------------------------------------------------------------------------------------
+
+
+@query(
+    "doc_map",
+    """WITH v AS (SELECT vec_id, embedding, label FROM embeddings),
+       m AS (SELECT doc_id, text, source, label, CAST(list_max(embedding) AS DOUBLE) AS probability FROM documents JOIN v ON doc_id = vec_id),
+       c AS (SELECT *, CASE WHEN length(text) > 75 THEN substr(text, 1, 90) || '...' ELSE text END AS comment FROM m)
+       SELECT doc_id, label AS topic, source AS topic_name, comment, probability,
+              CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS color,
+              'Review: ' || comment || '<br>Topic: ' || source || '<br>Probability: ' || CAST(CAST(probability AS DECIMAL(18, 4)) AS VARCHAR) AS hover_text
+       FROM c""",
+)
+def doc_map(t: Source) -> DataFrame:
+    vectors = t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding", "label")
+    rows = t.documents.select("doc_id", "text", "source").join(vectors, "doc_id")
+    return topics.document_map(rows, "doc_id", "label", "source", "text", "embedding")
+
+
+@query("reduce_2d")
+def reduce_2d(t: Source) -> DataFrame:
+    placed = topics.add_coordinates(t.embeddings, "embedding")
+    return placed.select("vec_id", F.round("UMAP_x", 4).alias("x"), F.round("UMAP_y", 4).alias("y"))
+
+
+@query("topic_map")
+def topic_map(t: Source) -> DataFrame:
+    return topics.topic_map(_centres(t)).select("topic", "n", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
+@query("fit_topics")
+def fit_topics(t: Source) -> DataFrame:
+    fitted, _ = topics.fit_topics(t.embeddings, "embedding", 10)
+    return fitted.select(
+        "vec_id", "Topic", F.round(F.array_max("TopicProbability"), 4).alias("probability"), F.size("TopicProbability").alias("topics")
+    )
+
+
+@query("segment_fit")
+def segment_fit(t: Source) -> DataFrame:
+    """One topic model per language, the words of the documents as comments."""
+    rows = t.documents.select(
+        F.col("doc_id").alias("Id"), F.col("lang").alias("family"),
+        F.array_join(x.tokens(x.letters_only("text")), " ").alias("cleaned_Comment"),
+    )
+    modelled = stages.model_segments(rows, scratch_path(t.spark, "models"), segment=("family",), topic_count=6, unmerged=("de",))
+    return modelled.select(
+        F.col("Id").alias("doc_id"), "family", "Topic", "TopicName", F.size("TopicsList").alias("topics"),
+        F.round(F.array_max("TopicProbability"), 4).alias("probability"),
+    )
