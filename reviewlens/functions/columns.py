@@ -125,18 +125,23 @@ def labelled_text(parts: dict[str, Column], separator: str = "<br>") -> Column:
 
 
 # --- dictionary matching ------------------------------------------------------------------
-# The dictionary is a short constant: one CASE per name keeps the match inside generated code
-# and in dictionary order, which a regular-expression alternation would not.
+# The dictionary is a short constant kept as one array literal, so the expression stays small
+# however many names there are, and matches follow dictionary order, which a
+# regular-expression alternation would not.
+
+
+def _names(names: Sequence[str]) -> Column:
+    return F.array(*[F.lit(n) for n in names])
 
 
 def contains_any(c: Column | str, names: Sequence[str]) -> Column:
     c = _col(c)
-    return reduce(lambda a, b: a | b, [F.coalesce(c.contains(n), F.lit(False)) for n in names])
+    return F.coalesce(F.exists(_names(names), lambda n: c.contains(n)), F.lit(False))
 
 
 def simplify_name(c: Column | str, names: Sequence[str]) -> Column:
     c = _col(c)
-    return first_of([F.when(c.contains(n), F.lit(n)) for n in names] + [c])
+    return F.coalesce(F.get(F.filter(_names(names), lambda n: c.contains(n)), F.lit(0)), c)
 
 
 def backfill_name(generic: Column | str, drug: Column | str, names: Sequence[str]) -> Column:

@@ -8,6 +8,7 @@ centre per topic.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import dims
@@ -48,59 +49,107 @@ def add_text_vectors(df: DataFrame, tokens: str, model: PipelineModel, target: s
     return model.transform(df).withColumn(target, vector_to_array("_unit")).drop("_tf", "_idf", "_unit")
 
 
-def _nearest(centres: np.ndarray, scale: float):
-    @F.pandas_udf("distance double, probabilities array<double>")
+@dataclass
+class TopicModel:
+    """Centres from the largest to the smallest topic, and what the scores are measured by."""
+
+    centres: np.ndarray
+    scale: float
+    limit: float
+    axes: np.ndarray
+
+
+SCORES = "distance double, probabilities array<double>, x double, y double"
+
+
+def _scorer(model: TopicModel):
+    """Distance to the nearest centre, topic probabilities and coordinates, by batches."""
+    centres, axes, scale = model.centres, model.axes, model.scale
+
+    @F.pandas_udf(SCORES)
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         norms = (centres**2).sum(axis=1)
         for vectors in batches:
-            if vectors.empty:
-                yield pd.DataFrame({"distance": [], "probabilities": []})
-                continue
-            v = np.stack(vectors.to_numpy()).astype(float)
+            v = np.stack(vectors.to_numpy()).astype(float) if len(vectors) else np.zeros((0, centres.shape[1]))
             squared = np.maximum((v**2).sum(axis=1)[:, None] - 2 * v @ centres.T + norms, 0.0)
             logits = -squared / scale
             weights = np.exp(logits - logits.max(axis=1, keepdims=True))
             weights /= weights.sum(axis=1, keepdims=True)
-            yield pd.DataFrame({"distance": np.sqrt(squared.min(axis=1)), "probabilities": list(weights)})
+            placed = v @ axes
+            yield pd.DataFrame(
+                {"distance": np.sqrt(squared.min(axis=1)), "probabilities": list(weights), "x": placed[:, 0], "y": placed[:, 1]}
+            )
 
     return score
 
 
-def fit_topics(df: DataFrame, vector: str, topics: int, seed: int = 42, min_size: int = 2) -> tuple[DataFrame, np.ndarray]:
-    """Add Topic and TopicProbability; topics are numbered from the largest to the smallest.
+def fit_topics(df: DataFrame, vector: str, topics: int, seed: int = 42, min_size: int = 2) -> TopicModel:
+    """Cluster the vectors; clusters below `min_size` are left out of the model.
 
-    A review far from every centre (mean distance plus three deviations) is an outlier, topic
-    -1. Clusters below `min_size` are dropped from the model, so their reviews go to the
-    nearest remaining topic or become outliers.
+    The vectors are kept (memory, then disk) while the passes over them run.
     """
-    points = df.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+    points = df.select(F.col(vector).cast("array<double>").alias("_p"), array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
     points.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         fitted = KMeans(k=topics, seed=seed, maxIter=20).fit(points)
         members = np.array(fitted.summary.clusterSizes)
         centres = np.array(fitted.clusterCenters())
+        large = [i for i in np.argsort(-members, kind="stable") if members[i] >= min_size]
+        centres = centres[large or [int(members.argmax())]]
+        axes = np.zeros((centres.shape[1], 2))
+        if centres.shape[1] >= 2:
+            axes = PCA(k=2, inputCol="features", outputCol="_xy").fit(points).pc.toArray()
+        model = TopicModel(centres, 1.0, float("inf"), axes)
+        spread = points.select(_scorer(model)("_p")["distance"].alias("d")).agg(
+            F.avg("d").alias("mean"), F.stddev_pop("d").alias("deviation"), F.avg(F.col("d") * F.col("d")).alias("square")
+        ).first()
     finally:
         points.unpersist()
-    large = [i for i in np.argsort(-members, kind="stable") if members[i] >= min_size]
-    centres = centres[large or [int(members.argmax())]]
-    return assign_topics(df, vector, centres), centres
-
-
-def assign_topics(df: DataFrame, vector: str, centres: np.ndarray) -> DataFrame:
-    """Topic and probabilities of every review under given centres."""
-    as_double = F.col(vector).cast("array<double>")
-    spread = df.select(_nearest(centres, 1.0)(as_double)["distance"].alias("d")).agg(
-        F.avg("d").alias("mean"), F.stddev_pop("d").alias("deviation"), F.avg(F.col("d") * F.col("d")).alias("square")
-    ).first()
-    scale = float(spread["square"] or 1.0)
-    limit = float((spread["mean"] or 0.0) + OUTLIER_DEVIATIONS * (spread["deviation"] or 0.0))
-    scored = df.withColumn("_s", _nearest(centres, scale)(as_double))
+    model.scale = float(spread["square"] or 1.0)
+    model.limit = float((spread["mean"] or 0.0) + OUTLIER_DEVIATIONS * (spread["deviation"] or 0.0))
+    return model
+
+
+def assign_topics(df: DataFrame, vector: str, model: TopicModel) -> DataFrame:
+    """Add Topic, TopicProbability and coordinates. A review farther from every centre than the
+    mean distance plus three deviations is an outlier, topic -1."""
+    scored = df.withColumn("_s", _scorer(model)(F.col(vector).cast("array<double>")))
     best = F.array_position(F.col("_s.probabilities"), F.array_max("_s.probabilities")) - 1
-    return (
-        scored.withColumn("Topic", F.when(F.col("_s.distance") > limit, OUTLIER).otherwise(best).cast("int"))
-        .withColumn("TopicProbability", F.col("_s.probabilities"))
-        .drop("_s")
-    )
+    return scored.withColumns(
+        {
+            "Topic": F.when(F.col("_s.distance") > model.limit, OUTLIER).otherwise(best).cast("int"),
+            "TopicProbability": F.col("_s.probabilities"),
+            "UMAP_x": F.col("_s.x"),
+            "UMAP_y": F.col("_s.y"),
+        }
+    ).drop("_s")
+
+
+def save_topic_model(spark: SparkSession, model: TopicModel, path: str) -> None:
+    """One row per centre and axis, and one with the two limits."""
+    rows = [("centre", i, v.tolist()) for i, v in enumerate(model.centres)]
+    rows += [("axis", i, v.tolist()) for i, v in enumerate(model.axes.T)]
+    rows.append(("limits", 0, [model.scale, model.limit]))
+    spark.createDataFrame(rows, "kind string, position int, v array<double>").write.mode("overwrite").parquet(path)
+
+
+def load_topic_model(spark: SparkSession, path: str) -> TopicModel:
+    rows = spark.read.parquet(path).orderBy("kind", "position").collect()
+    of = {k: np.array([r["v"] for r in rows if r["kind"] == k]) for k in ("centre", "axis", "limits")}
+    scale, limit = of["limits"][0]
+    return TopicModel(of["centre"], float(scale), float(limit), of["axis"].T)
+
+
+def merged_topics(model: TopicModel, threshold: float) -> dict[int, int]:
+    """`reduce_topics` for the centres of a model, which are on the driver already."""
+    unit = model.centres / np.maximum(np.linalg.norm(model.centres, axis=1, keepdims=True), 1e-300)
+    close = unit @ unit.T >= threshold
+    root = np.arange(len(unit))
+    while True:
+        lower = np.array([min(root[i], root[close[i]].min(initial=root[i])) for i in range(len(unit))])
+        if (lower == root).all():
+            return {i: int(r) for i, r in enumerate(root)}
+        root = lower
 
 
 def reassign_outliers(topic: Column | str, probabilities: Column | str, threshold: float) -> Column:
@@ -215,14 +264,19 @@ def reduce_topics(centres: DataFrame, threshold: float) -> DataFrame:
             return roots
 
 
-def apply_reduction(df: DataFrame, merged: DataFrame, topic: str = "Topic", probabilities: str = "TopicProbability") -> DataFrame:
-    """Relabel rows and add up the probabilities of merged topics (one slot per kept topic)."""
-    rows = sizes.rows_within(merged.select("topic", "merged").where(F.col("topic") >= 0).orderBy("topic"), sizes.LEVELS)
+def merge_table(merged: DataFrame) -> dict[int, int]:
+    """`(topic, merged)` as a dictionary; its length is checked, as it becomes an expression."""
+    rows = sizes.rows_within(merged.select("topic", "merged").where(F.col("topic") >= 0), sizes.LEVELS)
     if rows is None:
         raise ValueError(f"over {sizes.LEVELS} topics")
-    kept = sorted({r["merged"] for r in rows})
-    slot = {old: i for i, old in enumerate(kept)}
-    target = {r["topic"]: slot[r["merged"]] for r in rows}
+    return {r["topic"]: r["merged"] for r in sorted(rows)}
+
+
+def apply_reduction(df: DataFrame, merged: dict[int, int], topic: str = "Topic", probabilities: str = "TopicProbability") -> DataFrame:
+    """Relabel rows and add up the probabilities of merged topics (one slot per kept topic)."""
+    slot = {old: i for i, old in enumerate(sorted(set(merged.values())))}
+    target = {old: slot[new] for old, new in merged.items()}
+    kept = list(slot)
     p = F.col(probabilities)
     summed = F.array(
         *[reduce(lambda u, v: u + v, [F.get(p, F.lit(t)) for t, s in target.items() if s == new]) for new in range(len(kept))]

@@ -164,7 +164,7 @@ def apply_reduction(t: Source) -> DataFrame:
     rows = t.embeddings.select(
         "vec_id", F.col("label").alias("Topic"), F.slice("embedding", 1, 10).cast("array<double>").alias("TopicProbability")
     )
-    reduced = topics.apply_reduction(rows, topics.reduce_topics(_centres(t), 0.05))
+    reduced = topics.apply_reduction(rows, topics.merge_table(topics.reduce_topics(_centres(t), 0.05)))
     long = reduced.select("vec_id", "Topic", F.posexplode("TopicProbability").alias("slot", "probability"))
     return long.withColumn("probability", F.round("probability", 6))
 
@@ -201,7 +201,7 @@ def topic_map(t: Source) -> DataFrame:
 
 @query("fit_topics")
 def fit_topics(t: Source) -> DataFrame:
-    fitted, _ = topics.fit_topics(t.embeddings, "embedding", 10)
+    fitted = topics.assign_topics(t.embeddings, "embedding", topics.fit_topics(t.embeddings, "embedding", 10))
     return fitted.select(
         "vec_id", "Topic", F.round(F.array_max("TopicProbability"), 4).alias("probability"), F.size("TopicProbability").alias("topics")
     )
