@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import sizes
@@ -27,6 +27,17 @@ def explode_list(df: DataFrame, array: str, item: str) -> DataFrame:
     return df.select("*", F.explode_outer(array).alias(item))
 
 
+def each(df: DataFrame, array: str | Column, item: str, *keep: str, position: str | None = None) -> DataFrame:
+    """`(keep…, [position,] item)`, one row per non-null element.
+
+    An inner explode makes the optimizer test the length of the array below the projection that
+    computes it, that is, compute it twice; the outer one does not.
+    """
+    if position is None:
+        return df.select(*keep, F.explode_outer(array).alias(item)).where(F.col(item).isNotNull())
+    return df.select(*keep, F.posexplode_outer(array).alias(position, item)).where(F.col(item).isNotNull())
+
+
 def long_form(df: DataFrame, array: str, position: str, value: str, *keep: str) -> DataFrame:
     """`(keep…, position, value)` of a vector column."""
     return df.select(*keep, F.posexplode(array).alias(position, value))

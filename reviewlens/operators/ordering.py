@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 RANGES = 64
 
 
@@ -29,6 +31,9 @@ def value_positions(df: DataFrame, column: str, weight: str | None = None, range
     """`(column, n, rows_before, values_before)` for every distinct non-null value."""
     amount = F.sum(weight) if weight else F.count(F.lit(1))
     values = df.where(F.col(column).isNotNull()).groupBy(column).agg(amount.cast("bigint").alias("n"))
+    # Read three times below, and far smaller than the rows it counts.
+    shared_dir(df.sparkSession)
+    values = values.checkpoint()
     values = values.withColumn("_range", _range_of(values, column, ranges))
 
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

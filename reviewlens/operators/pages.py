@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as c
 from ..functions.arrays import pad_array
+from . import nested
 
 LINK = r'<a\s[^>]*?href="([^"]*)"[^>]*>([^<]*)</a>'
 
@@ -64,9 +65,8 @@ def links(pages: DataFrame, pattern: str = LINK) -> DataFrame:
         F.regexp_extract_all("html", F.lit(pattern), 1).alias("href"),
         F.regexp_extract_all("html", F.lit(pattern), 2).alias("label"),
     )
-    return pages.select("page_id", "url", F.posexplode(found).alias("position", "link")).select(
-        "page_id", "url", "position", "link.*"
-    )
+    rows = nested.each(pages, found, "link", "page_id", "url", position="position")
+    return rows.select("page_id", "url", "position", "link.*")
 
 
 def resolve(base: Column | str, href: Column | str) -> Column:
@@ -100,7 +100,8 @@ def first_link_with(pages: DataFrame, word: str, pattern: str = LINK) -> DataFra
 
 def listing_rows(pages: DataFrame, block: str, cells: dict[str, str]) -> DataFrame:
     """One row per repeated block; a cell pattern that finds nothing gives a blank."""
-    rows = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(block), 1)).alias("position", "_b"))
+    blocks = F.regexp_extract_all("html", F.lit(block), 1)
+    rows = nested.each(pages, blocks, "_b", "page_id", "url", position="position")
     return rows.select(
         "page_id", "url", "position",
         *[c.null_to_blank(F.regexp_extract("_b", pattern, 1)).alias(name) for name, pattern in cells.items()],

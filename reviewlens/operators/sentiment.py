@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import HashingTF, PolynomialExpansion, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
@@ -31,6 +31,7 @@ NORMALISATION = 15.0
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 LEXICON_WORDS = 20_000
+BUCKETS = 256
 
 
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
@@ -50,18 +51,31 @@ def _negates(word: Column) -> Column:
     return F.coalesce(word.isin(dims.NEGATIONS) | word.contains("n't"), F.lit(False))
 
 
-def lexicon_scores(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
-    """`(key, neg, neu, pos, compound)` per text; `key` must be unique.
+def _lexicon_rows(lexicon: DataFrame) -> list[tuple[str, float, int]]:
+    """Words with valence and hash bucket. A lexicon is a fixed resource that does not grow with
+    the data; its size is checked, as it becomes part of the expression."""
+    bucket = F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int")
+    rows = sizes.rows_within(lexicon.select("token", F.col("weight").cast("double"), bucket), LEXICON_WORDS)
+    if rows is None:
+        raise ValueError(f"the lexicon has over {LEXICON_WORDS} words")
+    return [tuple(r) for r in rows]
 
-    Lexicon words are found within the token array of each row and carry their three
-    predecessors, so only these words leave the row, and the only shuffle is their sum per
-    text, which is nearly complete before it. The lexicon does not grow with the data; its
-    size is checked before it is broadcast. A very long one is joined to all tokens instead.
-    """
-    lexicon = lexicon.select("token", F.col("weight").alias("valence"))
-    listed = sizes.rows_within(lexicon.select("token"), LEXICON_WORDS)
-    words = None if listed is None else [r["token"] for r in listed]
 
+def _valence_table(rows: list[tuple[str, float, int]]) -> Column:
+    """One small map per hash bucket, since a lookup walks through its map."""
+    buckets: list[dict[str, float]] = [{} for _ in range(BUCKETS)]
+    for token, weight, bucket in rows:
+        buckets[bucket][token] = weight
+    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string, double>>")
+
+
+def add_lexicon_scores(df: DataFrame, text: str, lexicon: DataFrame, prefix: str = "vader") -> DataFrame:
+    """Add neg, neu, pos and compound of a text.
+
+    Everything happens within the row: lexicon words are found in its token array, each is
+    scored from its three predecessors, and the scores are added up. No rows are shuffled.
+    """
+    before = df.columns
     stripped = F.transform(
         F.transform(x.tokens(text), lambda t: F.struct(t.alias("t"), F.btrim(t, F.lit(PUNCTUATION)).alias("s"))),
         lambda p: F.when(F.length(p["s"]) > 2, p["s"]).otherwise(p["t"]),
@@ -71,60 +85,61 @@ def lexicon_scores(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> Da
     question_points = (
         F.when(questions <= 1, 0.0).when(questions <= QUESTION_MAX, questions * QUESTION_STEP).otherwise(QUESTION_TOP)
     )
-    texts = df.select(key, stripped.alias("_w"), (exclamations + question_points).alias("_amp"))
-    texts = texts.withColumn("_low", F.transform("_w", lambda w: F.lower(w))).select(
-        key, "_w", "_low", "_amp",
-        F.size("_w").alias("_words"),
-        F.array_position("_low", F.lit("but")).alias("_but"),
-        (F.exists("_w", _is_caps) & F.exists("_w", lambda w: ~_is_caps(w))).alias("_mixed"),
-    )
-    numbered = F.transform("_low", lambda w, i: F.struct(i.alias("i"), w.alias("token")))
-    found = numbered if words is None else F.filter(numbered, lambda e: e["token"].isin(words))
-    context = F.transform(
-        found,
-        lambda e: F.struct(
-            (e["i"] + 1).alias("position"),
-            e["token"].alias("token"),
-            _is_caps(F.get("_w", e["i"])).alias("caps"),
-            *[F.get("_low", e["i"] - k).alias(f"p{k}") for k in (1, 2, 3)],
-            *[F.coalesce(_is_caps(F.get("_w", e["i"] - k)), F.lit(False)).alias(f"c{k}") for k in (1, 2, 3)],
-        ),
+    words = df.withColumn("_w", stripped).withColumn("_amp", exclamations + question_points)
+    words = words.withColumn("_low", F.transform("_w", lambda w: F.lower(w)))
+
+    rows = _lexicon_rows(lexicon)
+    listed, table = [r[0] for r in rows], _valence_table(rows)
+
+    def valence(token: Column) -> Column:
+        return F.try_element_at(F.get(table, F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")), token)
+
+    numbered = F.transform("_low", lambda w, i: F.struct(i.alias("i"), w.alias("t")))
+    hits = F.filter(numbered, lambda e: e["t"].isin(listed))
+    words = words.withColumns({
+        "_hits": F.transform(hits, lambda e: F.struct(e["i"].alias("i"), valence(e["t"]).alias("v"))),
+        "_but": F.array_position("_low", F.lit("but")),
+        "_mixed": F.exists("_w", _is_caps) & F.exists("_w", lambda w: ~_is_caps(w)),
+    })
+    scored = words.withColumn("_v", F.transform("_hits", _hit_score))
+    total = lambda part: F.aggregate("_v", F.lit(0.0), lambda acc, v: acc + part(v))
+    sums = scored.withColumns({
+        "_s": total(lambda v: v),
+        "_p": total(lambda v: F.when(v > 0, v + 1).otherwise(0.0)),
+        "_m": total(lambda v: F.when(v < 0, 1 - v).otherwise(0.0)),
+        "_z": F.size("_w") - F.size(F.filter("_v", lambda v: v != 0)),
+    })
+    pushed = sums.withColumns({
+        "_s": F.col("_s") + F.signum("_s") * F.col("_amp"),
+        "_p": F.col("_p") + F.when(F.col("_p") > F.col("_m"), F.col("_amp")).otherwise(0.0),
+        "_m": F.col("_m") + F.when(F.col("_m") > F.col("_p"), F.col("_amp")).otherwise(0.0),
+    })
+    everything = F.col("_p") + F.col("_m") + F.col("_z")
+    share = lambda part: F.coalesce(F.round(F.try_divide(F.col(part), everything), 3), F.lit(0.0))
+    return pushed.select(
+        *before,
+        share("_m").alias(f"{prefix}_neg"), share("_z").alias(f"{prefix}_neu"), share("_p").alias(f"{prefix}_pos"),
+        F.round(F.col("_s") / F.sqrt(F.col("_s") * F.col("_s") + NORMALISATION), 4).alias(f"{prefix}_compound"),
     )
-    tokens = texts.select(key, "_words", "_amp", "_but", "_mixed", F.explode_outer(context).alias("_t"))
-    tokens = tokens.select(key, "_words", "_amp", "_but", "_mixed", "_t.*")
-    hits = tokens.join(sizes.broadcast_within(lexicon), "token", "left")
 
-    sign = F.signum(F.col("valence"))
-    score = F.col("valence") + F.when(F.col("caps") & F.col("_mixed"), sign * CAPS_STEP).otherwise(0.0)
+
+def _hit_score(hit: Column) -> Column:
+    """Score of one lexicon word: its valence, stressed by capitals, moved by the words before
+    it and weighted by its side of a "but"."""
+    mixed, sign = F.col("_mixed"), F.signum(hit["v"])
+    score = hit["v"] + F.when(_caps_at(hit["i"]) & mixed, sign * CAPS_STEP).otherwise(0.0)
     for k, damping in enumerate(DISTANCE_DAMPING, start=1):
-        previous = F.col(f"p{k}")
+        previous = F.get("_low", hit["i"] - k)
         step = _booster(previous)
-        step = step + F.when(F.col(f"c{k}") & F.col("_mixed"), F.signum(step) * CAPS_STEP).otherwise(0.0)
+        step = step + F.when(_caps_at(hit["i"] - k) & mixed, F.signum(step) * CAPS_STEP).otherwise(0.0)
         score = (score + step * sign * damping) * F.when(_negates(previous), NEGATION_FACTOR).otherwise(1.0)
-    position = F.col("position")
-    weight = F.when((F.col("_but") > 0) & (position < F.col("_but")), BEFORE_BUT)
-    weight = weight.when((F.col("_but") > 0) & (position > F.col("_but")), AFTER_BUT).otherwise(1.0)
-    scored = hits.select(key, "_words", "_amp", F.coalesce(score * weight, F.lit(0.0)).alias("v"))
-
-    sums = scored.groupBy(key, "_words", "_amp").agg(
-        F.sum("v").alias("s"),
-        F.sum(F.when(F.col("v") > 0, F.col("v") + 1).otherwise(0.0)).alias("p"),
-        F.sum(F.when(F.col("v") < 0, 1 - F.col("v")).otherwise(0.0)).alias("m"),
-        (F.col("_words") - F.count_if(F.col("v") != 0)).alias("z"),
-    )
-    pushed = sums.select(
-        key,
-        (F.col("s") + F.signum("s") * F.col("_amp")).alias("s"),
-        (F.col("p") + F.when(F.col("p") > F.col("m"), F.col("_amp")).otherwise(0.0)).alias("p"),
-        (F.col("m") + F.when(F.col("m") > F.col("p"), F.col("_amp")).otherwise(0.0)).alias("m"),
-        "z",
-    )
-    total = F.col("p") + F.col("m") + F.col("z")
-    share = lambda part: F.coalesce(F.round(F.try_divide(F.col(part), total), 3), F.lit(0.0))
-    return pushed.select(
-        key, share("m").alias("neg"), share("z").alias("neu"), share("p").alias("pos"),
-        F.round(F.col("s") / F.sqrt(F.col("s") * F.col("s") + NORMALISATION), 4).alias("compound"),
-    )
+    position, but = hit["i"] + 1, F.col("_but")
+    weight = F.when((but > 0) & (position < but), BEFORE_BUT).when((but > 0) & (position > but), AFTER_BUT)
+    return score * weight.otherwise(1.0)
+
+
+def _caps_at(index: Column) -> Column:
+    return F.coalesce(_is_caps(F.get("_w", index)), F.lit(False))
 
 
 def _is_caps(word: Column) -> Column:
@@ -217,11 +232,14 @@ def fit_rating_model(
             LinearRegression(featuresCol="_powers", labelCol=rating, predictionCol="PredictedOverall", solver="normal"),
         ]
     ).fit(rows.where("_train"))
-    held_out = model.transform(rows.where(~F.col("_train"))).select(rating, "PredictedOverall")
-    evaluator = RegressionEvaluator(labelCol=rating, predictionCol="PredictedOverall")
-    if held_out.isEmpty():
-        return model, {}
-    return model, {m: evaluator.setMetricName(m).evaluate(held_out) for m in ("rmse", "r2")}
+    held_out = rows.where(~F.col("_train")).select(
+        F.col(rating).alias("y"), predict_rating(score, coefficients(model)).alias("p")
+    )
+    miss = (F.col("y") - F.col("p")) * (F.col("y") - F.col("p"))
+    error = held_out.agg(
+        F.sqrt(F.avg(miss)).alias("rmse"), (1 - F.try_divide(F.avg(miss), F.var_pop("y"))).alias("r2")
+    ).first()
+    return model, {k: v for k, v in error.asDict().items() if v is not None}
 
 
 def coefficients(model: PipelineModel) -> list[float]:

@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 
 from ..functions import columns as c
 from ..functions import text as x
-from . import ordering, sizes
+from ..session import shared_dir
+from . import nested, ordering, sizes
 
 
 def count_by(df: DataFrame, *keys: str) -> DataFrame:
@@ -113,6 +114,9 @@ def _quartiles() -> Column:
 def box_stats(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Quartiles, extremes, whiskers at 1.5 interquartile ranges and points outside them."""
     keys = list(keys)
+    # Read twice; one row per distinct value.
+    shared_dir(counts.sparkSession)
+    counts = counts.checkpoint()
     boxes = (
         counts.groupBy(*keys)
         .agg(
@@ -203,7 +207,7 @@ def round_numeric(df: DataFrame, places: int = 2) -> DataFrame:
 
 def share_by_group(df: DataFrame, group: str, items: str) -> DataFrame:
     """Rows of a group that list an item, over all rows of the group."""
-    listed = df.select(group, F.explode(items).alias("item"))
+    listed = nested.each(df, items, "item", group)
     counts = count_by(listed, group, "item")
     totals = df.dropna("any", subset=[group]).groupBy(group).agg(F.count(F.lit(1)).alias("group_size"))
     return counts.join(totals, group).withColumn("share", F.col("n") / F.col("group_size")).orderBy(group, "item")
@@ -296,6 +300,8 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
         .groupBy("a", "b")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    shared_dir(df.sparkSession)
+    pairs = pairs.checkpoint()
     ranks_a = ordering.average_ranks(pairs, "a", "n").withColumnRenamed("average_rank", "ra")
     ranks_b = ordering.average_ranks(pairs, "b", "n").withColumnRenamed("average_rank", "rb")
     total = pairs.agg(F.sum("n").cast("double").alias("total")).scalar()

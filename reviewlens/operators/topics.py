@@ -165,7 +165,9 @@ def reassign_outliers(topic: Column | str, probabilities: Column | str, threshol
 def topic_terms(df: DataFrame, topic: str, tokens: str, top: int = 10) -> DataFrame:
     """`(topic, rank, term, weight)`: words that set a topic apart (Grootendorst 2022)."""
     counts = (
-        df.select(F.col(topic).alias("topic"), F.explode(tokens).alias("term"))
+        nested.each(df, tokens, "term", topic)
+        .withColumnRenamed(topic, "topic")
+        .where(F.col("topic").isNotNull())
         .groupBy("topic", "term")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -318,8 +320,7 @@ def document_map(
         F.array_max(probabilities).cast("double").alias("probability"),
     )
     codes = ordering.dense_codes(df, topic).select(F.col(topic).alias("topic"), F.col("code").alias("color"))
-    # One row per topic; the planner sees its size.
-    coloured = shown.join(codes, "topic", "left")
+    coloured = shown.join(sizes.broadcast_within(codes), "topic", "left")
     hover = c.labelled_text({
         "Review": F.col("comment"),
         "Topic": F.col("topic_name"),

@@ -9,6 +9,7 @@ from .. import dims
 from ..functions import columns as c
 from ..functions import text as x
 from ..operators import clean, stats, topics
+from ..session import shared_dir
 
 
 def overview(
@@ -40,6 +41,8 @@ def overview(
         .groupBy("e.measure", "e.label", "e.value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    shared_dir(spark)
+    counts = counts.checkpoint()
     ratings = counts.where(F.col("measure").isin(dims.RATINGS) & F.col("value").isNotNull()).select("measure", "value", "n")
 
     def labels(measure: str) -> DataFrame:
@@ -86,7 +89,8 @@ def topic_overview(
 ) -> dict[str, DataFrame]:
     """Tables of one segment. The document map follows the filters, the others do not."""
     words = segment.withColumn("_tokens", x.tokens("cleaned_Comment")) if tokens is None else segment.withColumn("_tokens", F.col(tokens))
-    terms = topics.topic_terms(words, "Topic", "_tokens")
+    shared_dir(segment.sparkSession)
+    terms = topics.topic_terms(words, "Topic", "_tokens").checkpoint()
     shown = clean.choose(segment, always=("Gender",), Gender=genders, Age=ages, TimeUsingDrug=times, Condition=conditions)
     centres = topics.centroids(segment.where(F.col("Topic") >= 0), "Topic", "TopicProbability")
     return {

@@ -364,6 +364,6 @@ def anti_stopwords(t: Source) -> DataFrame:
 
     fixed = t.spark.createDataFrame([(w,) for w in ("the", "of", "de", "and", "la")], "word string")
     names = t.part.select(F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("word"))
-    words = t.documents.select("doc_id", F.explode(x.tokens(F.lower("text"))).alias("token"))
+    words = nested.each(t.documents, x.tokens(F.lower("text")), "token", "doc_id")
     kept = textprep.remove_stopwords(words, fixed.union(names).distinct())
     return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"))

@@ -65,7 +65,9 @@ scores AS (
 
 @query("lexicon_sentiment", f"WITH {LEXICON_SQL} SELECT * FROM scores")
 def lexicon_sentiment(t: Source) -> DataFrame:
-    return sentiment.lexicon_scores(t.documents, "doc_id", "text", dims.word_weights(t.spark, dims.LEXICON))
+    docs = t.documents.select("doc_id", "text")
+    scored = sentiment.add_lexicon_scores(docs, "text", dims.word_weights(t.spark, dims.LEXICON))
+    return scored.select("doc_id", *[F.col(f"vader_{n}").alias(n) for n in ("neg", "neu", "pos", "compound")])
 
 
 CLASS = {"negative": 0, "neutral": 1, "positive": 2}

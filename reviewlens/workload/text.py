@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions import text as x
-from ..operators import textprep
+from ..operators import nested, textprep
 from .registry import Source, query
 
 
@@ -69,14 +69,25 @@ LEMMAS_SQL = f"lemmas(token, lemma) AS (VALUES {', '.join(f"('{a}', '{b}')" for
         {joined_sql("SELECT doc_id, pos, coalesce(lemma, toks.token) AS token FROM toks LEFT JOIN lemmas ON toks.token = lemmas.token")}""",
 )
 def lemmatize(t: Source) -> DataFrame:
+    docs = t.documents.select("doc_id", x.letters_only("text").alias("letters"))
+    return textprep.lemmatize_texts(docs, "doc_id", "letters", "text", dims.lemma_table(t.spark)).drop("letters")
+
+
+@query(
+    "lemmatize_join",
+    f"""WITH {LEMMAS_SQL}, {CLEAN_TOKENS_SQL}
+        SELECT doc_id, CAST(pos AS INTEGER) AS pos, coalesce(lemma, toks.token) AS token
+        FROM toks LEFT JOIN lemmas ON toks.token = lemmas.token""",
+)
+def lemmatize_join(t: Source) -> DataFrame:
+    """The form for a long lemma table."""
     tokens = textprep.token_rows(_clean_tokens(t), "doc_id", "tokens")
-    texts = textprep.rows_to_text(textprep.lemmatize(tokens, dims.lemma_table(t.spark)), "doc_id")
-    return t.documents.select("doc_id").join(texts, "doc_id", "left").fillna("", ["text"])
+    return textprep.lemmatize(tokens, dims.lemma_table(t.spark)).select("doc_id", "pos", "token")
 
 
 @query("tokenize", f"WITH {PLAIN_TOKENS_SQL} SELECT doc_id, CAST(pos AS INTEGER) AS pos, token FROM toks")
 def tokenize(t: Source) -> DataFrame:
-    return t.documents.select("doc_id", F.posexplode(x.tokens("text")).alias("pos", "token"))
+    return nested.each(t.documents, x.tokens("text"), "token", "doc_id", position="pos")
 
 
 # --- phrases ------------------------------------------------------------------------------------------
@@ -127,10 +138,8 @@ def phrase_bigrams(t: Source) -> DataFrame:
 )
 def phrase_merge(t: Source) -> DataFrame:
     docs = _clean_tokens(t)
-    merged = textprep.merge_phrases(
-        textprep.token_rows(docs, "doc_id", "tokens"), "doc_id", textprep.learn_phrases(docs, "tokens")
-    )
-    return docs.select("doc_id").join(textprep.rows_to_text(merged, "doc_id"), "doc_id", "left").fillna("", ["text"])
+    merged = textprep.merge_phrases(docs, "doc_id", "tokens", textprep.learn_phrases(docs, "tokens"))
+    return merged.select("doc_id", F.array_join("tokens", " ").alias("text"))
 
 
 @query(
@@ -139,9 +148,8 @@ def phrase_merge(t: Source) -> DataFrame:
         {merge_sql('y', 'twice')} {joined_sql('SELECT * FROM twice')}""",
 )
 def phrase_trigrams(t: Source) -> DataFrame:
-    docs = _clean_tokens(t)
-    merged = textprep.rows_to_text(textprep.bigrams_and_trigrams(docs, "doc_id", "tokens"), "doc_id")
-    return docs.select("doc_id").join(merged, "doc_id", "left").fillna("", ["text"])
+    merged = textprep.bigrams_and_trigrams(_clean_tokens(t), "doc_id", "tokens")
+    return merged.select("doc_id", F.array_join("tokens", " ").alias("text"))
 
 
 @query(
