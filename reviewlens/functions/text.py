@@ -36,14 +36,31 @@ def clean_text(text: Column | str, stop_words: Sequence[str]) -> Column:
     return F.array_join(without_words(tokens(letters_only(text)), stop_words), " ")
 
 
+def _listed(words: Sequence[str]) -> str:
+    """Words as a SQL list: one parse instead of a call per word."""
+    quoted = (w.replace("\\", "\\\\").replace("'", "\\'") for w in words)
+    return ", ".join(f"'{w}'" for w in quoted) or "NULL"
+
+
+def known_or_null(array: str, words: Sequence[str]) -> Column:
+    """The tokens of an array column, null in place of those not listed."""
+    return F.expr(f"transform(`{array}`, t -> CASE WHEN t IN ({_listed(words)}) THEN t END)")
+
+
+def positions_of(array: str, words: Sequence[str]) -> Column:
+    """`(i, t)` of the tokens listed, with their position in the array column."""
+    return F.expr(f"filter(transform(`{array}`, (t, i) -> struct(i AS i, t AS t)), e -> e.t IN ({_listed(words)}))")
+
+
 def adjacent_pairs(token_array: Column) -> Column:
-    """`(a, b)` for every two neighbours of one document, made without a shuffle."""
-    count = F.greatest(F.size(token_array) - 1, F.lit(0))
-    return F.arrays_zip(F.slice(token_array, 1, count).alias("a"), F.slice(token_array, 2, count).alias("b"))
+    """`(a, b)` for every token and its right neighbour; the last one has none. Made within the
+    row, without a shuffle."""
+    following = F.slice(token_array, 2, F.greatest(F.size(token_array) - 1, F.lit(0)))
+    return F.arrays_zip(token_array.alias("a"), following.alias("b"))
 
 
 def ngrams(token_array: Column, n: int) -> Column:
-    """Runs of n tokens joined by a space."""
+    """Runs of n tokens joined by a space; null where a token is null."""
     count = F.greatest(F.size(token_array) - (n - 1), F.lit(0))
     columns = [F.slice(token_array, k + 1, count) for k in range(n)]
     joined = columns[0]

@@ -94,8 +94,7 @@ def add_lexicon_scores(df: DataFrame, text: str, lexicon: DataFrame, prefix: str
     def valence(token: Column) -> Column:
         return F.try_element_at(F.get(table, F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")), token)
 
-    numbered = F.transform("_low", lambda w, i: F.struct(i.alias("i"), w.alias("t")))
-    hits = F.filter(numbered, lambda e: e["t"].isin(listed))
+    hits = x.positions_of("_low", listed)
     words = words.withColumns({
         "_hits": F.transform(hits, lambda e: F.struct(e["i"].alias("i"), valence(e["t"]).alias("v"))),
         "_but": F.array_position("_low", F.lit("but")),

@@ -10,8 +10,12 @@ LEVELS = 1_000
 
 
 def rows_within(df: DataFrame, limit: int) -> list[Row] | None:
-    """All rows when there are at most `limit`, else None. Never fetches more than limit + 1."""
-    rows = df.limit(limit + 1).collect()
+    """All rows when there are at most `limit`, else None. Never fetches more than limit + 1.
+
+    A limit below an aggregate runs on all partitions at once; one at the top of a plan tries
+    them one after the other.
+    """
+    rows = df.limit(limit + 1).agg(F.collect_list(F.struct("*")).alias("rows")).first()["rows"]
     return rows if len(rows) <= limit else None
 
 

@@ -52,11 +52,11 @@ def rated(t: Source) -> DataFrame:
         *REVIEW_KEY, "l_shipdate", "l_returnflag", "l_quantity",
         F.when(F.col("l_linenumber") < 7, (1 + F.col("l_linenumber") % 5).cast("double")).alias("Effectiveness"),
         (1 + F.col("l_quantity").cast("int") % 5).cast("double").alias("EaseOfUse"),
-        (1 + F.round(F.col("l_discount") * 100).cast("int") % 5).cast("double").alias("Satisfaction"),
-        F.round(F.col("l_tax") * 25 - 1, 2).alias("bert_compound"),
-        F.round(F.col("l_discount") * 5, 2).alias("bert_neg"),
-        F.round(F.col("l_tax") * 5, 2).alias("bert_pos"),
-        F.round(F.col("l_quantity") / 100, 2).alias("bert_neu"),
+        (1 + F.rint(F.col("l_discount") * 100).cast("int") % 5).cast("double").alias("Satisfaction"),
+        c.round_half_even(F.col("l_tax") * 25 - 1).alias("bert_compound"),
+        c.round_half_even(F.col("l_discount") * 5).alias("bert_neg"),
+        c.round_half_even(F.col("l_tax") * 5).alias("bert_pos"),
+        c.round_half_even(F.col("l_quantity") / 100).alias("bert_neu"),
         F.when(F.col("l_returnflag") == "A", "Male").when(F.col("l_returnflag") == "N", "Female").alias("Gender"),
     )
     return df.withColumn("Overall", c.row_mean_strict("Effectiveness", "EaseOfUse", "Satisfaction"))

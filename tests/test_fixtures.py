@@ -420,3 +420,38 @@ def test_built_in_plans(spark, data):
         plan = plan_of(queries[name](spark, data))
         assert "EvalPython" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
     assert "Exchange hashpartitioning" not in plan_of(queries["lexicon_sentiment"](spark, data))
+
+
+def test_ngrams_of_frequent_words_are_all_ngrams(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    docs = [(i, [str(t) for t in rng.choice(list("abcdefghij"), rng.integers(0, 9))]) for i in range(60)]
+    df = spark.createDataFrame(docs, "k int, t array<string>")
+
+    def by_hand():
+        seen = {}
+        for _, tokens in docs:
+            for term in {" ".join(tokens[i : i + n]) for n in (1, 2, 3) for i in range(len(tokens) - n + 1)}:
+                seen[term] = seen.get(term, 0) + 1
+        return {t: n for t, n in seen.items() if 60 * 0.05 <= n <= 60 * 0.5}
+
+    assert dict(values(textprep.ngram_vocabulary(df, "t", 3, 0.05, 0.5), "term", "docs")) == by_hand()
+    monkeypatch.setattr(textprep, "FREQUENT_WORDS", 1)
+    assert dict(values(textprep.ngram_vocabulary(df, "t", 3, 0.05, 0.5), "term", "docs")) == by_hand()
+
+
+def test_phrase_scores(spark):
+    docs = [(i, ["new", "york", "is", "big"]) for i in range(8)] + [(9, ["is", "big"]), (10, [])]
+    df = spark.createDataFrame(docs, "k int, t array<string>")
+    got = {(r.a, r.b): r.score for r in textprep.learn_phrases(df, "t", min_count=5, threshold=0.0).collect()}
+    size = 4 + 3
+    assert got[("new", "york")] == pytest.approx(3 * size / 64)
+    assert got[("is", "big")] == pytest.approx(4 * size / 81)
+    assert len(got) == 3
+
+
+def test_word_lists_are_quoted(spark):
+    words = ["it's", 'say "x"', "back\\slash", "plain", "\\'"]
+    df = spark.createDataFrame([(words + ["other"],), ([],)], "t array<string>")
+    got = [r[0] for r in df.select(x.known_or_null("t", words)).collect()]
+    assert got == [words + [None], []]
+    assert [len(r[0]) for r in df.select(x.positions_of("t", words)).collect()] == [5, 0]
