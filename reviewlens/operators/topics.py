@@ -91,13 +91,14 @@ def fit_topics(df: DataFrame, vector: str, topics: int, seed: int = 42, min_size
     points = df.select(F.col(vector).cast("array<double>").alias("_p"), array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
     points.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        fitted = KMeans(k=topics, seed=seed, maxIter=20).fit(points)
+        # The row solver also copes with fewer distinct vectors than topics.
+        fitted = KMeans(k=topics, seed=seed, maxIter=20, solver="row").fit(points)
         members = np.array(fitted.summary.clusterSizes)
         centres = np.array(fitted.clusterCenters())
         large = [i for i in np.argsort(-members, kind="stable") if members[i] >= min_size]
         centres = centres[large or [int(members.argmax())]]
         axes = np.zeros((centres.shape[1], 2))
-        if centres.shape[1] >= 2:
+        if centres.shape[1] >= 2 and members.sum() >= 2:
             axes = PCA(k=2, inputCol="features", outputCol="_xy").fit(points).pc.toArray()
         model = TopicModel(centres, 1.0, float("inf"), axes)
         spread = points.select(_scorer(model)("_p")["distance"].alias("d")).agg(
@@ -291,7 +292,10 @@ def apply_reduction(df: DataFrame, merged: dict[int, int], topic: str = "Topic",
 
 
 def add_coordinates(df: DataFrame, vector: str, x: str = "UMAP_x", y: str = "UMAP_y") -> DataFrame:
-    """Two coordinates per row from the two leading principal components."""
+    """Two coordinates per row from the two leading principal components; null for a single row,
+    which has none."""
+    if df.limit(2).count() < 2:
+        return df.withColumns({x: F.lit(None).cast("double"), y: F.lit(None).cast("double")})
     points = df.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
     model = PCA(k=2, inputCol="_v", outputCol="_xy").fit(points.select("_v"))
     placed = model.transform(points).withColumn("_xy", vector_to_array("_xy"))

@@ -455,3 +455,16 @@ def test_word_lists_are_quoted(spark):
     got = [r[0] for r in df.select(x.known_or_null("t", words)).collect()]
     assert got == [words + [None], []]
     assert [len(r[0]) for r in df.select(x.positions_of("t", words)).collect()] == [5, 0]
+
+
+@pytest.mark.parametrize("vectors", [[[0.0, 1.0], [1.0, 0.0]], [[0.0, 1.0]], [[0.0, 1.0]] * 5, [[0.0, 1.0], [1.0, 0.0]] * 4])
+def test_fewer_vectors_than_topics(spark, vectors):
+    df = spark.createDataFrame(list(enumerate(vectors)), "k int, v array<double>")
+    assigned = topics.assign_topics(df, "v", topics.fit_topics(df, "v", 4)).collect()
+    assert len(assigned) == len(vectors)
+    assert all(r.Topic >= -1 and sum(r.TopicProbability) == pytest.approx(1.0) for r in assigned)
+
+
+def test_single_topic_has_no_map(spark):
+    df = spark.createDataFrame([(0, [0.5, 0.1])], "topic int, vector array<double>").withColumn("n", F.lit(1))
+    assert tuple(topics.topic_map(df).first()) == (0, 1, None, None)
