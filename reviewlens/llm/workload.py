@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, sharding
+from . import exact_dedup, mixing, packing, quality, sharding, toxicity, wordpiece
 from .common import table
 
 SHARDS = 8
@@ -77,3 +77,23 @@ def bounded_ring_query(spark: SparkSession, directory: str) -> DataFrame:
     """Law `rows`: the ring without slack fills every shard to within one row of the mean."""
     placed = sharding.shard_documents(table(spark, directory, "documents"), SHARDS)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op2_quality")
+def quality_query(spark: SparkSession, directory: str) -> DataFrame:
+    return quality.judge(table(spark, directory, "documents"), table(spark, directory, "labels"))
+
+
+@query("op4_pattern_packing")
+def pattern_packing_query(spark: SparkSession, directory: str) -> DataFrame:
+    return packing.pack(table(spark, directory, "documents"))
+
+
+@query("op7_toxicity")
+def toxicity_query(spark: SparkSession, directory: str) -> DataFrame:
+    return toxicity.score(table(spark, directory, "documents"), table(spark, directory, "labels"))
+
+
+@query("op10_token_counts")
+def token_counts_query(spark: SparkSession, directory: str) -> DataFrame:
+    return wordpiece.token_counts(table(spark, directory, "documents"))
