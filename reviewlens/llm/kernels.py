@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK_BYTES = 2 << 20
 U64 = np.uint64
@@ -109,7 +110,7 @@ class Texts:
 def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, Texts]]:
     """Slices of a batch with about `limit` bytes of text; a longer text is a slice of its own."""
     texts = batch.column(column)
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0), np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64)
     part = (np.cumsum(sizes) - sizes) // limit
     borders = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for a, b in zip(borders[:-1], borders[1:], strict=True):
