@@ -143,3 +143,13 @@ def first_of_group(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def with_text(hashes: np.ndarray, of: np.ndarray) -> np.ndarray:
     """One key for a hash within a text."""
     return mix(hashes + (of.astype(U64) + U64(1)) * U64(_MULTIPLIER))
+
+
+def sequence_hashes(items: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the sequence of items of every text; `of` is sorted."""
+    up, down = _powers(len(items) + 1)
+    running = np.zeros(len(items) + 1, U64)
+    np.cumsum(items * up[:-1], out=running[1:])
+    borders = np.searchsorted(of, np.arange(n + 1))
+    first, end = borders[:-1], borders[1:]
+    return mix((running[end] - running[first]) * down[first] + (end - first).astype(U64))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, quality, sharding, toxicity, wordpiece
+from . import exact_dedup, html_extract, mixing, near_dedup, packing, quality, sharding, toxicity, wordpiece
 from .common import table
 
 SHARDS = 8
@@ -97,3 +97,13 @@ def toxicity_query(spark: SparkSession, directory: str) -> DataFrame:
 @query("op10_token_counts")
 def token_counts_query(spark: SparkSession, directory: str) -> DataFrame:
     return wordpiece.token_counts(table(spark, directory, "documents"))
+
+
+@query("op1_main_text")
+def main_text_query(spark: SparkSession, directory: str) -> DataFrame:
+    return html_extract.extract(table(spark, directory, "pages"))
+
+
+@query("op6_near_dedup")
+def near_dedup_query(spark: SparkSession, directory: str) -> DataFrame:
+    return near_dedup.membership(table(spark, directory, "documents"))
