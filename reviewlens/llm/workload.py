@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, mixing, near_dedup, packing, quality, sharding, toxicity, wordpiece
+from . import exact_dedup, html_extract, mixing, near_dedup, packing, quality, sharding, substring_dedup, toxicity, wordpiece
 from .common import table
 
 SHARDS = 8
@@ -107,3 +107,8 @@ def main_text_query(spark: SparkSession, directory: str) -> DataFrame:
 @query("op6_near_dedup")
 def near_dedup_query(spark: SparkSession, directory: str) -> DataFrame:
     return near_dedup.membership(table(spark, directory, "documents"))
+
+
+@query("op8_substring_dedup")
+def substring_dedup_query(spark: SparkSession, directory: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, directory, "documents"))
