@@ -1,12 +1,62 @@
-"""Documents to packed sequences: quality rules, exact and near duplicates, mix, packing."""
+"""Documents to packed sequences: quality rules, exact and near duplicates, source mix, packing.
+
+Every stage takes `(spark, docs, sf_dir)` and returns a DataFrame; all but the last return the
+columns of `docs`. Each stage's rows are written to the shared folder and read again as the next
+one's documents. An empty table passes through every stage.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from reviewlens.llm import exact_dedup, mixing, near_dedup, packing, quality
+from reviewlens.llm.common import table, written
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the likelihood ratio."""
+    return quality.good_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first of every group of equal texts."""
+    return exact_dedup.deduplicate(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of near duplicates."""
+    return near_dedup.deduplicate(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target sizes: documents cut or repeated."""
+    return mixing.mix_documents(docs)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents and their places in sequences of bounded length."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", quality_rules),
+    ("exact duplicates", exact_duplicates),
+    ("near duplicates", near_duplicates),
+    ("source mix", source_mix),
+    ("packing", packed_sequences),
+]
+
+# Hashed shingles, token ids and fitted patterns have no SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over the documents table."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
