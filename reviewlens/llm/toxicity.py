@@ -151,7 +151,7 @@ def measure(texts: k.Texts, words_of: list[str], lexicon: dict[str, float]) -> n
         if not listed.isdisjoint(words):
             hits = [(p, w) for p, w in enumerate(words) if w in lexicon]
             near = [p for p, w in enumerate(words) if w in SECOND_PERSON]
-        masked = [m.lower().translate(STANDS_FOR) for m in _MASKED.findall(text)]
+        masked = [m.rstrip("!*|@$").lower().translate(STANDS_FOR) for m in _MASKED.findall(text)]
         hidden = [m for m in masked if m in lexicon]
         weights = [lexicon[w] for _, w in hits] + [lexicon[w] for w in hidden]
         count = max(len(words), 1)
