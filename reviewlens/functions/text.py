@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from .columns import _col
 
 # What separates words: ASCII white space and the Unicode spaces.
-SPACES = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+SPACE_CLASS = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACES = f"[{SPACE_CLASS}]+"
 
 
 def tokens(text: Column | str) -> Column:
@@ -23,7 +24,7 @@ def word_count(text: Column | str) -> Column:
 
 def letters_only(text: Column | str) -> Column:
     """Lower case, then without punctuation, then without digits."""
-    kept = F.regexp_replace(F.lower(_col(text)), r"[^\p{L}\p{N}_\s]", "")
+    kept = F.regexp_replace(F.lower(_col(text)), rf"[^\p{{L}}\p{{N}}_{SPACE_CLASS}]", "")
     return F.regexp_replace(kept, r"\p{Nd}+", "")
 
 

@@ -1,7 +1,8 @@
 """Between nested review lists and flat review rows.
 
 Flat rows are the working shape. A list is only built on the way out, and a group larger
-than `max_elements` becomes several lists, numbered by `part`.
+than `max_elements` becomes several consecutive lists, numbered by `part`: part p holds the
+elements from p * max_elements on.
 """
 
 from __future__ import annotations
@@ -9,9 +10,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from . import sizes
 
 MAX_ELEMENTS = 20_000
@@ -54,10 +56,11 @@ def nest_reviews(
     order: Sequence[str],
     fields: Sequence[str],
     array: str = "Reviews",
-    max_elements: int = MAX_ELEMENTS,
+    max_elements: int | None = None,
 ) -> DataFrame:
     """`(keys…, part, array)` with the elements of each list ordered by `order`."""
     keys, order, fields = list(keys), list(order), list(fields)
+    max_elements = max_elements or MAX_ELEMENTS
     large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > max_elements)
     few = sizes.rows_within(large, sizes.BROADCAST_ROWS)
     if few == []:
@@ -66,10 +69,11 @@ def nest_reviews(
         side = large if few is None else F.broadcast(large)
         side = side.select(*[F.col(k).alias(f"_{k}") for k in keys], "_size")
         same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-        parts = F.ceil(F.col("_size") * 2 / F.lit(max_elements))
-        numbered = df.join(side, same, "left").withColumn(
-            "part", F.coalesce(F.pmod(F.xxhash64(*order), parts), F.lit(0)).cast("int")
-        )
+        sized = df.join(side, same, "left").drop(*[f"_{k}" for k in keys])
+        small = sized.where(F.col("_size").isNull()).drop("_size").withColumn("part", F.lit(0))
+        ranked = _ranked(sized.where(F.col("_size").isNotNull()).drop("_size"), keys, order)
+        parts = F.floor(F.col("_rank") / F.lit(max_elements)).cast("int")
+        numbered = small.unionByName(ranked.withColumn("part", parts).drop("_rank"))
     element = F.struct(*[F.col(o).alias(f"_order{i}") for i, o in enumerate(order)], *fields)
     lists = numbered.groupBy(*keys, "part").agg(F.array_sort(F.collect_list(element)).alias("_sorted"))
     return lists.select(
@@ -77,6 +81,21 @@ def nest_reviews(
     )
 
 
+def _ranked(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rank of every row within its key. The rows are cut into ranges of key and order, so a large
+    key is ranked by many tasks; ranks are shifted by the counts of the ranges before."""
+    path = scratch_path(df.sparkSession, "ranges")
+    df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    cut = df.sparkSession.read.parquet(path)
+    counts = cut.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_range").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], F.col("_range") == F.col("_of"))
+    within = Window.partitionBy(*keys, "_range").orderBy(*order)
+    ranked = cut.join(starts, same).withColumn("_rank", F.col("_start") + F.row_number().over(within) - 1)
+    return ranked.drop("_range", "_of", "_start", *[f"_{k}" for k in keys])
+
+
 def combine_parts(df: DataFrame, keys: Sequence[str], sums: Sequence[str]) -> DataFrame:
     """Add up per-list numbers over the parts of one key."""
     return df.groupBy(*keys).agg(*[F.sum(s).alias(s) for s in sums])

@@ -6,7 +6,10 @@ parameters with defaults for plain markup.
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Sequence
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +21,7 @@ from . import nested
 LINK = r'<a\s[^>]*?href="([^"]*)"[^>]*>([^<]*)</a>'
 
 # Names of the feed's elements and the record fields they fill, the phrases that
-# tell page kinds apart, and the entities decoded by name.
+# tell page kinds apart.
 
 REVIEW_TAGS = {
     "Id": "userreviewid",
@@ -45,13 +48,6 @@ NO_REVIEW_PHRASES = [
     "Rate this treatment and share your opinion",
     "Be the first to share your experience with this treatment",
 ]
-ENTITIES = {
-    "nbsp": "\xa0", "copy": "©", "reg": "®", "middot": "·", "eacute": "é",
-    "egrave": "è", "ntilde": "ñ", "ouml": "ö", "uuml": "ü", "auml": "ä",
-    "szlig": "ß", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’",
-    "ldquo": "“", "rdquo": "”", "bull": "•", "hellip": "…", "trade": "™",
-    "quot": '"', "apos": "'", "lt": "<", "gt": ">",
-}
 
 # End of the fixed values.
 
@@ -166,28 +162,50 @@ def build_url(base: str, **parameters: Column | str) -> Column:
 # --- entities and the review feed ---------------------------------------------------------
 
 
-def _code_point(hex_digits: Column) -> Column:
-    return F.decode(F.unhex(F.lpad(hex_digits, 8, "0")), "UTF-32")
+_ENTITY_BUCKETS = 512
+_REFERENCE = r"^(#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);"
 
 
-def unescape(text: Column | str) -> Column:
-    """Decode named and numeric entities and drop CDATA marks, in one pass over the text.
+def named_entities() -> dict[str, str]:
+    """All names of the HTML standard that end with a semicolon, without it."""
+    return {name[:-1]: char for name, char in html5.items() if name.endswith(";")}
 
-    The ampersand comes last, so an escaped entity is decoded once only.
-    """
-    out = c._col(text)
-    for name, char in ENTITIES.items():
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-    decimal = F.array_distinct(F.regexp_extract_all(out, F.lit(r"&#(\d{1,6});"), 1))
-    out = F.aggregate(
-        decimal, out, lambda acc, n: F.replace(acc, F.concat(F.lit("&#"), n, F.lit(";")), _code_point(F.hex(n.cast("bigint"))))
-    )
-    hexadecimal = F.array_distinct(F.regexp_extract_all(out, F.lit(r"&#[xX]([0-9A-Fa-f]{1,5});"), 1))
-    out = F.aggregate(
-        hexadecimal, out, lambda acc, n: F.regexp_replace(acc, F.concat(F.lit("&#[xX]"), n, F.lit(";")), _code_point(n))
-    )
-    out = F.replace(out, F.lit("&amp;"), F.lit("&"))
-    return F.replace(F.replace(out, F.lit("<![CDATA["), F.lit("")), F.lit("]]>"), F.lit(""))
+
+def _named(name: Column) -> Column:
+    """Character of a name or null. One small map per bucket, since a lookup walks through its map."""
+    buckets: list[dict[str, str]] = [{} for _ in range(_ENTITY_BUCKETS)]
+    for known, char in named_entities().items():
+        buckets[zlib.crc32(known.encode()) % _ENTITY_BUCKETS][known] = char
+    table = F.from_json(F.lit(json.dumps(buckets)), "array<map<string, string>>")
+    return F.try_element_at(F.get(table, (F.crc32(F.encode(name, "UTF-8")) % _ENTITY_BUCKETS).cast("int")), name)
+
+
+def _code_point(number: Column) -> Column:
+    """Character of a code point; the replacement character where there is none."""
+    none = (number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+    sure = F.when(none, F.lit(0xFFFD)).otherwise(number)
+    return F.decode(F.unhex(F.lpad(F.hex(sure), 8, "0")), "UTF-32")
+
+
+def _decoded(piece: Column) -> Column:
+    """A piece behind an ampersand with its reference replaced."""
+    name = F.regexp_extract(piece, _REFERENCE, 1)
+    rest = F.substr(piece, F.length(name) + 2)
+    # Only the last digits count, so that any number of leading zeros can be read.
+    hexadecimal = F.conv(F.right(F.concat(F.lit("0000000"), F.substr(name, F.lit(3))), F.lit(8)), 16, 10).cast("bigint")
+    decimal = F.right(F.concat(F.lit("0000000"), F.substr(name, F.lit(2))), F.lit(9)).try_cast("bigint")
+    char = F.when(F.lower(F.substr(name, F.lit(1), F.lit(2))) == "#x", _code_point(hexadecimal))
+    char = char.when(name.startswith("#"), _code_point(decimal)).otherwise(_named(name))
+    return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), piece))
+
+
+def unescape(text: Column | str) -> Column:
+    """Decode named and numeric references and drop CDATA marks, in one pass: the text is split at
+    its ampersands, and every piece is decoded once."""
+    out = F.replace(F.replace(c._col(text), F.lit("<![CDATA["), F.lit("")), F.lit("]]>"), F.lit(""))
+    pieces = F.split(out, "&")
+    later = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), _decoded)
+    return F.concat(F.get(pieces, F.lit(0)), F.array_join(later, ""))
 
 
 def xml_reviews(xml: Column | str, expected: Column, element: str = "review", tags: dict[str, str] = REVIEW_TAGS) -> Column:

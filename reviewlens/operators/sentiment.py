@@ -152,16 +152,15 @@ def _scores_or_null(predict: Callable[[Sequence[str]], np.ndarray], texts: pd.Se
     """Three scores per text; a text the predictor fails on gets nulls, the others their scores."""
     names = ["neg", "neu", "pos"]
     out = np.full((len(texts), 3), np.nan)
-    present = np.flatnonzero(texts.notna().to_numpy())
-    try:
-        if len(present):
-            out[present] = predict(texts.iloc[present].tolist())
-    except Exception:  # noqa: BLE001 - any failure of a foreign predictor: find the rows it fails on
-        for i in present:
-            try:
-                out[i] = predict([texts.iloc[i]])[0]
-            except Exception:  # noqa: BLE001
-                out[i] = np.nan
+    waiting = [np.flatnonzero(texts.notna().to_numpy())]
+    while waiting:
+        part = waiting.pop()
+        try:
+            if len(part):
+                out[part] = predict(texts.iloc[part].tolist())
+        except Exception:  # noqa: BLE001 - any failure of a foreign predictor: halve until the failing text is alone
+            if len(part) > 1:
+                waiting += [part[: len(part) // 2], part[len(part) // 2 :]]
     return pd.DataFrame(out, columns=names)
 
 

@@ -69,16 +69,21 @@ def _scorer(model: TopicModel):
     @F.pandas_udf(SCORES)
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         norms = (centres**2).sum(axis=1)
-        for vectors in batches:
+        for every in batches:
+            present = every.notna().to_numpy()
+            vectors = every[present]
             v = np.stack(vectors.to_numpy()).astype(float) if len(vectors) else np.zeros((0, centres.shape[1]))
             squared = np.maximum((v**2).sum(axis=1)[:, None] - 2 * v @ centres.T + norms, 0.0)
             logits = -squared / scale
             weights = np.exp(logits - logits.max(axis=1, keepdims=True))
             weights /= weights.sum(axis=1, keepdims=True)
             placed = v @ axes
-            yield pd.DataFrame(
-                {"distance": np.sqrt(squared.min(axis=1)), "probabilities": list(weights), "x": placed[:, 0], "y": placed[:, 1]}
+            scored = pd.DataFrame(
+                {"distance": np.sqrt(squared.min(axis=1)), "probabilities": list(weights), "x": placed[:, 0], "y": placed[:, 1]},
+                index=vectors.index,
             )
+            # A row without a vector has no scores.
+            yield scored.reindex(every.index).astype({"probabilities": object}).where(lambda d: d.notna(), None)
 
     return score
 
@@ -88,7 +93,9 @@ def fit_topics(df: DataFrame, vector: str, topics: int, seed: int = 42, min_size
 
     The vectors are kept (memory, then disk) while the passes over them run.
     """
-    points = df.select(F.col(vector).cast("array<double>").alias("_p"), array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+    points = df.where(F.col(vector).isNotNull()).select(
+        F.col(vector).cast("array<double>").alias("_p"), array_to_vector(F.col(vector).cast("array<double>")).alias("features")
+    )
     points.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         # The row solver also copes with fewer distinct vectors than topics.
@@ -118,10 +125,10 @@ def assign_topics(df: DataFrame, vector: str, model: TopicModel) -> DataFrame:
     best = F.array_position(F.col("_s.probabilities"), F.array_max("_s.probabilities")) - 1
     return scored.withColumns(
         {
-            "Topic": F.when(F.col("_s.distance") > model.limit, OUTLIER).otherwise(best).cast("int"),
+            "Topic": F.when(c.nan_to_null("_s.distance") > model.limit, OUTLIER).otherwise(best).cast("int"),
             "TopicProbability": F.col("_s.probabilities"),
-            "UMAP_x": F.col("_s.x"),
-            "UMAP_y": F.col("_s.y"),
+            "UMAP_x": c.nan_to_null("_s.x"),
+            "UMAP_y": c.nan_to_null("_s.y"),
         }
     ).drop("_s")
 

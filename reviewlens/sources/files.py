@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.sizes import broadcast_within
+
 SEGMENT = ("DrugFamily", "bert_compound_threshold")
 
 # The fields of a drug record and of the reviews within it, in file order.
@@ -79,7 +82,8 @@ def write_csv(df: DataFrame, path: str) -> None:
     )
 
 
-_QUOTED = r"""('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")"""
+# Possessive loops: no step per character, so strings may have any length.
+_QUOTED = r"""('[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+")"""
 _MARK = "\x01"
 
 
@@ -96,7 +100,7 @@ def _replace_bare(text: Column, word: str, replacement: str) -> Column:
 def decode_records(text: Column | str, schema: str | T.DataType) -> Column:
     """Records written as JSON or as a Python literal with bare None, True and False."""
     text = F.col(text) if isinstance(text, str) else text
-    text = F.regexp_replace(text, r"(?<!\\)((?:\\\\)*)\\x([0-9a-fA-F]{2})", r"$1\\u00$2")
+    text = F.regexp_replace(text, r"(?<!\\)((?:\\\\)*+)\\x([0-9a-fA-F]{2})", r"$1\\u00$2")
     for python, json in (("None", "null"), ("True", "true"), ("False", "false")):
         text = _replace_bare(text, python, json)
     return F.from_json(text, schema, {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"})
@@ -110,11 +114,18 @@ def project(df: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 
 def write_segments(df: DataFrame, path: str, segment: Sequence[str] = SEGMENT, rows_per_file: int = 1_000_000) -> None:
-    """One directory per segment, in files of bounded size.
+    """One directory per segment, in files of about `rows_per_file` rows.
 
-    Rows stay where they are: a segment holding a third of all rows is written by all tasks.
+    The rows are dealt out by segment and, within a large one, over as many tasks as it has files:
+    a small segment is one file, one with a third of all rows is written by many tasks.
     """
-    writer = df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file)
+    counts = df.groupBy(*segment).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.select(*[F.col(s).alias(f"_{s}") for s in segment], F.ceil(F.col("_n") / rows_per_file).alias("_files"))
+    same = reduce(lambda a, b: a & b, [F.col(s).eqNullSafe(F.col(f"_{s}")) for s in segment])
+    salted = df.join(broadcast_within(counts), same, "left").drop(*[f"_{s}" for s in segment])
+    salted = salted.withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.greatest(F.col("_files"), F.lit(1))))
+    dealt = salted.repartition(*segment, "_salt").drop("_salt", "_files")
+    writer = dealt.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file)
     writer.partitionBy(*segment).parquet(path)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
@@ -265,30 +265,62 @@ def xml_reviews(t: Source) -> DataFrame:
         )
 
     lists = nested.nest_reviews(t.conversations, ["conv_id"], ["turn"], ["turn", "role", "text"])
+    last = F.col("part") == F.max("part").over(Window.partitionBy("conv_id"))
     feeds = lists.select(
-        "conv_id", (F.size("Reviews") + 1).alias("expected"),
+        "conv_id", (F.col("part") * nested.MAX_ELEMENTS).alias("before"), (F.size("Reviews") + last.cast("int")).alias("expected"),
         F.concat(F.lit("<feed>"), F.array_join(F.transform("Reviews", element), ""), F.lit("</feed>")).alias("xml"),
     )
-    parsed = feeds.select("conv_id", F.posexplode(pages.xml_reviews("xml", F.col("expected"))).alias("position", "r"))
+    parsed = feeds.select("conv_id", "before", F.posexplode(pages.xml_reviews("xml", F.col("expected"))).alias("position", "r"))
     return parsed.select(
-        "conv_id", "position", "r.Id", "r.Condition", "r.Age", F.col("r.Comment").isNull().alias("no_comment"),
+        "conv_id", (F.col("before") + F.col("position")).alias("position"), "r.Id", "r.Condition", "r.Age", F.col("r.Comment").isNull().alias("no_comment"),
         F.regexp_replace("r.Comment", r"\s+", " ").alias("Comment"),
     )
 
 
-def _unescape_sql(column: str) -> str:
-    for name, char in pages.ENTITIES.items():
-        quoted = char.replace("'", "''")
-        column = f"replace({column}, '&{name};', '{quoted}')"
-    column = f"replace({column}, '&amp;', '&')"
-    return f"replace(replace({column}, '<![CDATA[', ''), ']]>', '')"
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+# Every piece behind an ampersand begins with a reference or is left as it is.
+_NAMED_SQL = ", ".join(f"({_quoted(name)}, {_quoted(char)})" for name, char in pages.named_entities().items())
+UNESCAPE_SQL = rf"""
+names(name, char) AS (VALUES {_NAMED_SQL}),
+pieces AS (SELECT page_id, unnest(string_split(html, '&')) AS piece, unnest(range(len(string_split(html, '&')))) AS place FROM page_texts),
+found AS (SELECT *, CASE WHEN place > 0 THEN regexp_extract(piece, '^(#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);', 1) ELSE '' END AS ref FROM pieces),
+coded AS (
+  SELECT *, CASE WHEN starts_with(lower(ref), '#x') THEN CAST('0x' || right('0000000' || substr(ref, 3), 8) AS BIGINT)
+                 WHEN starts_with(ref, '#') THEN CAST(right('0000000' || substr(ref, 2), 9) AS BIGINT) END AS code FROM found),
+decoded AS (
+  SELECT page_id, place, piece, ref, CASE WHEN code = 0 OR code > 1114111 OR code BETWEEN 55296 AND 57343 THEN chr(65533)
+         WHEN code IS NOT NULL THEN chr(CAST(code AS INTEGER)) ELSE char END AS char
+  FROM coded LEFT JOIN names ON ref = name)
+SELECT page_id, string_agg(CASE WHEN place = 0 THEN piece WHEN char IS NULL THEN '&' || piece
+                           ELSE char || substr(piece, length(ref) + 2) END, '' ORDER BY place) AS html
+FROM decoded GROUP BY page_id
+"""
 
 
-@query("html_unescape", f"SELECT page_id, {_unescape_sql('html')} AS html FROM pages")
+@query(
+    "html_unescape",
+    f"WITH page_texts AS (SELECT page_id, replace(replace(html, '<![CDATA[', ''), ']]>', '') AS html FROM pages), {UNESCAPE_SQL}",
+)
 def html_unescape(t: Source) -> DataFrame:
     return t.pages.select("page_id", pages.unescape("html").alias("html"))
 
 
+# References of every kind, made from the urls: named, decimal, hexadecimal, escaped and unknown ones.
+_REFERENCES = ["&euro;", "&pound;&#38;amp;", "&#1114109;", "&#x10FFFD;", "&#x0;&#55296;", "&nope;&amp;lt;", "&#00065;&#X41;&", "&NotEqualTilde;"]
+
+
+@query(
+    "decode_references",
+    f"""WITH page_texts AS (SELECT page_id, url || {' || url || '.join(_quoted(r) for r in _REFERENCES)} AS html FROM pages), {UNESCAPE_SQL}""",
+)
+def decode_references(t: Source) -> DataFrame:
+    marked = F.concat(*[v for r in _REFERENCES for v in (F.col("url"), F.lit(r))])
+    return t.pages.select("page_id", pages.unescape(marked).alias("html"))
+
+
 # --- records ------------------------------------------------------------------------------------
 
 

@@ -89,28 +89,38 @@ def batch_model_score(t: Source) -> DataFrame:
 
 
 def letter_predictor():
-    """Scores from the share of vowels and capitals: a predictor that fails on empty text."""
+    """Softmax of the shares of capitals and vowels and one half: fails on a batch with empty text."""
     import numpy as np
+    import pandas as pd
 
     def predict(texts):
-        out = []
-        for text in texts:
-            vowels = sum(text.lower().count(v) for v in "aeiou") / len(text)
-            capitals = sum(ch.isupper() for ch in text) / len(text)
-            logits = np.array([capitals, 0.5, vowels])
-            weights = np.exp(logits - logits.max())
-            out.append(weights / weights.sum())
-        return np.array(out)
+        texts = pd.Series(texts)
+        length = texts.str.len()
+        if (length == 0).any():
+            raise ValueError("empty text")
+        logits = np.stack([texts.str.count("[A-Z]") / length, np.full(len(texts), 0.5), texts.str.count("[aeiou]") / length], axis=1)
+        weights = np.exp(logits)
+        return weights / weights.sum(axis=1, keepdims=True)
 
     return predict
 
 
-@query("score_or_null")
+@query(
+    "score_or_null",
+    """WITH s AS (SELECT doc_id, CASE WHEN n_chars >= 500 THEN text END AS text FROM documents),
+       e AS (SELECT doc_id, exp(len(regexp_extract_all(text, '[A-Z]'))::DOUBLE / length(text)) AS a, exp(0.5::DOUBLE) AS b,
+                    exp(len(regexp_extract_all(text, '[aeiou]'))::DOUBLE / length(text)) AS c FROM s)
+       SELECT doc_id, round(a / (a + b + c), 6) AS neg, round(b / (a + b + c), 6) AS neu, round(c / (a + b + c), 6) AS pos,
+              round((c - a) / (a + b + c), 6) AS compound FROM e""",
+)
 def score_or_null(t: Source) -> DataFrame:
     """A text the predictor fails on has null scores, the others are scored."""
     texts = t.documents.select("doc_id", F.when(F.col("n_chars") < 500, "").otherwise(F.col("text")).alias("text"))
     scored = sentiment.add_predictor_scores(texts, "text", letter_predictor)
-    return scored.select("doc_id", *[F.round(f"bert_{n}", 6).alias(n) for n in ("neg", "neu", "pos", "compound")])
+    return scored.select(
+        "doc_id", *[F.round(f"bert_{n}", 6).alias(n) for n in ("neg", "neu", "pos")],
+        F.round(F.col("bert_pos") - F.col("bert_neg"), 6).alias("compound"),
+    )
 
 
 # --- ratings from scores ---------------------------------------------------------------------------------

@@ -163,11 +163,15 @@ def expand_reviews(t: Source) -> DataFrame:
 )
 def nest_reviews(t: Source) -> DataFrame:
     lists = nested_conversations(t)
-    return lists.select(
-        "conv_id", F.size("Reviews").cast("bigint").alias("turns"),
+    parts = lists.select(
+        "conv_id", "part", F.size("Reviews").cast("bigint").alias("turns"),
         F.array_join(F.transform("Reviews", lambda e: e["role"]), "|").alias("roles"),
         F.aggregate("Reviews", F.lit(0).cast("bigint"), lambda acc, e: acc + F.length(e["text"])).alias("chars"),
     )
+    ordered = F.array_sort(F.collect_list(F.struct("part", "roles")))
+    return parts.groupBy("conv_id").agg(
+        F.sum("turns").alias("turns"), F.array_join(F.transform(ordered, lambda p: p["roles"]), "|").alias("roles"), F.sum("chars").alias("chars")
+    )
 
 
 WORDS_SQL = r"regexp_extract_all(text, '\S+')"
@@ -195,12 +199,11 @@ def array_to_columns(t: Source) -> DataFrame:
 
 @query(
     "bind_columns",
-    """SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS Topic0, CAST(embedding[2] AS DOUBLE) AS Topic1,
-              CAST(embedding[3] AS DOUBLE) AS Topic2 FROM embeddings""",
+    "SELECT vec_id, label, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS Topic{i}" for i in range(64)) + " FROM embeddings",
 )
 def bind_columns(t: Source) -> DataFrame:
     wide = t.embeddings.withColumn("embedding", F.col("embedding").cast("array<double>"))
-    return nested.array_to_columns(wide, "embedding", 3, "Topic")
+    return nested.array_to_columns(wide, "embedding", 64, "Topic")
 
 
 # --- joins ------------------------------------------------------------------------------------
@@ -229,7 +232,7 @@ def join_left_nullsafe(t: Source) -> DataFrame:
 )
 def join_inner_totals(t: Source) -> DataFrame:
     counts = t.documents.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-    totals = t.documents.groupBy("lang").agg(F.count(F.lit(1)).alias("total"))
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     return counts.join(totals, "lang")
 
 

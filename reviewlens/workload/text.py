@@ -19,15 +19,18 @@ STOP_WORDS = list(dict.fromkeys(dims.ENGLISH_STOP_WORDS + dims.CUSTOM_STOP_WORDS
 STOP_WORDS_SQL = f"""
 stop AS (SELECT word FROM (VALUES {values_sql(STOP_WORDS)}) v(word) UNION SELECT p_name FROM part)
 """
+# What separates words, in the notation of the SQL engine.
+SPACE_CLASS_SQL = r"\x09-\x0D\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 # Letters without punctuation and digits, split into words with their position.
-CLEAN_TOKENS_SQL = r"""
+CLEAN_TOKENS_SQL = rf"""
 split AS (
-  SELECT doc_id, regexp_extract_all(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', '', 'g'), '\p{Nd}+', '', 'g'), '\S+') AS ws
+  SELECT doc_id, regexp_extract_all(regexp_replace(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_{SPACE_CLASS_SQL}]', '', 'g'), '\p{{Nd}}+', '', 'g'),
+                                    '[^{SPACE_CLASS_SQL}]+') AS ws
   FROM documents),
 toks AS (SELECT doc_id, unnest(range(len(ws))) AS pos, unnest(ws) AS token FROM split)
 """
-PLAIN_TOKENS_SQL = r"""
-split AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS ws FROM documents),
+PLAIN_TOKENS_SQL = rf"""
+split AS (SELECT doc_id, regexp_extract_all(text, '[^{SPACE_CLASS_SQL}]+') AS ws FROM documents),
 toks AS (SELECT doc_id, unnest(range(len(ws))) AS pos, unnest(ws) AS token FROM split)
 """
 

@@ -155,15 +155,19 @@ def reduce_topics(t: Source) -> DataFrame:
           UNION SELECT r.topic, c.topic_b FROM reach r JOIN cosines c ON r.other = c.topic_a WHERE c.cosine >= 0.05),
         merged AS (SELECT topic, min(other) AS merged FROM reach GROUP BY topic),
         slots AS (SELECT topic, merged, dense_rank() OVER (ORDER BY merged) - 1 AS slot FROM merged),
-        p AS (SELECT vec_id, label, unnest(range(10)) AS topic, CAST(unnest(embedding[1:10]) AS DOUBLE) AS v FROM embeddings)
+        p AS (SELECT vec_id, label, unnest(range(64)) % 10 AS topic, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)
         SELECT vec_id, CAST(any_value(own.slot) AS INTEGER) AS Topic, CAST(s.slot AS INTEGER) AS slot, round(sum(v), 6) AS probability
         FROM p JOIN slots s ON p.topic = s.topic JOIN slots own ON p.label = own.topic GROUP BY vec_id, s.slot""",
 )
 def apply_reduction(t: Source) -> DataFrame:
     """Rows relabelled to merged topics, with the probabilities of merged topics added up."""
-    rows = t.embeddings.select(
-        "vec_id", F.col("label").alias("Topic"), F.slice("embedding", 1, 10).cast("array<double>").alias("TopicProbability")
+    value = F.col("embedding").cast("array<double>")
+    # Ten topics: value i counts for topic i modulo 10.
+    folded = F.transform(
+        F.sequence(F.lit(0), F.lit(9)),
+        lambda k: F.aggregate(F.filter(value, lambda v, i: i % 10 == k), F.lit(0.0), lambda total, v: total + v),
     )
+    rows = t.embeddings.select("vec_id", F.col("label").alias("Topic"), folded.alias("TopicProbability"))
     reduced = topics.apply_reduction(rows, topics.merge_table(topics.reduce_topics(_centres(t), 0.05)))
     long = reduced.select("vec_id", "Topic", F.posexplode("TopicProbability").alias("slot", "probability"))
     return long.withColumn("probability", F.round("probability", 6))
@@ -175,16 +179,16 @@ def apply_reduction(t: Source) -> DataFrame:
 @query(
     "doc_map",
     """WITH v AS (SELECT vec_id, embedding, label FROM embeddings),
-       m AS (SELECT doc_id, text, source, label, CAST(list_max(embedding) AS DOUBLE) AS probability FROM documents JOIN v ON doc_id = vec_id),
+       m AS (SELECT doc_id, text, source, label, CAST(list_max(embedding) AS DOUBLE) AS probability FROM documents LEFT JOIN v ON doc_id = vec_id),
        c AS (SELECT *, CASE WHEN length(text) > 75 THEN substr(text, 1, 90) || '...' ELSE text END AS comment FROM m)
        SELECT doc_id, label AS topic, source AS topic_name, comment, probability,
-              CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS color,
-              'Review: ' || comment || '<br>Topic: ' || source || '<br>Probability: ' || CAST(CAST(probability AS DECIMAL(18, 4)) AS VARCHAR) AS hover_text
+              CASE WHEN label IS NOT NULL THEN CAST(dense_rank() OVER (ORDER BY label NULLS LAST) - 1 AS INTEGER) END AS color,
+              'Review: ' || comment || '<br>Topic: ' || source || '<br>Probability: ' || coalesce(CAST(CAST(probability AS DECIMAL(18, 4)) AS VARCHAR), 'null') AS hover_text
        FROM c""",
 )
 def doc_map(t: Source) -> DataFrame:
     vectors = t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding", "label")
-    rows = t.documents.select("doc_id", "text", "source").join(vectors, "doc_id")
+    rows = t.documents.select("doc_id", "text", "source").join(vectors, "doc_id", "left")
     return topics.document_map(rows, "doc_id", "label", "source", "text", "embedding")
 
 

@@ -127,7 +127,9 @@ def test_expand_keeps_empty_lists(spark):
 def test_long_lists_are_split_and_whole(spark):
     df = spark.range(1000).select(F.when(F.col("id") < 700, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 30)).alias("k"), "id")
     lists = nested.nest_reviews(df, ["k"], ["id"], ["id"], max_elements=100)
-    assert lists.where("k = 'hot'").count() > 6
+    assert lists.where("k = 'hot'").count() == 7
+    hot = [e["id"] for r in lists.where("k = 'hot'").orderBy("part").collect() for e in r["Reviews"]]
+    assert hot == list(range(700))
     assert lists.where("k <> 'hot'").count() == 30
     assert lists.agg(F.max(F.size("Reviews"))).first()[0] <= 100
     back = nested.expand_reviews(lists)
@@ -298,16 +300,21 @@ def test_phrase_merge_is_greedy(spark):
 
 
 def test_short_and_long_word_tables_give_the_same(spark, monkeypatch):
-    docs = spark.createDataFrame([(1, "The doctors felt better, 3 days!"), (2, ""), (3, "the the")], "k int, c string")
+    docs = spark.createDataFrame(
+        [(1, "The doctors felt better, 3 days!"), (2, ""), (3, "the the"), (4, None), (4, "felt\xa0days felt"), (4, "better")], "k int, c string"
+    )
     words = spark.createDataFrame([("the",), ("days",)], "word string")
     lemmas = dims.lemma_table(spark)
     short = textprep.clean_texts(docs, "k", "c", "t", words)
-    short = values(textprep.lemmatize_texts(short, "k", "t", "l", lemmas).orderBy("k"), "k", "t", "l")
+    short = values(textprep.lemmatize_texts(short, "k", "t", "l", lemmas).orderBy("k", "c"), "k", "t", "l")
     monkeypatch.setattr(textprep, "DRUG_NAME_LIMIT", 1)
     monkeypatch.setattr(textprep, "LEMMA_LIMIT", 1)
     long = textprep.clean_texts(docs, "k", "c", "t", words)
-    long = values(textprep.lemmatize_texts(long, "k", "t", "l", lemmas).orderBy("k"), "k", "t", "l")
-    assert short == long == [(1, "doctors felt better", "doctor feel good"), (2, "", ""), (3, "", "")]
+    long = values(textprep.lemmatize_texts(long, "k", "t", "l", lemmas).orderBy("k", "c"), "k", "t", "l")
+    assert short == long == [
+        (1, "doctors felt better", "doctor feel good"), (2, "", ""), (3, "", ""),
+        (4, None, None), (4, "better", "good"), (4, "felt felt", "feel feel"),
+    ]
 
 
 def test_lexicon_rules(spark):
@@ -468,3 +475,72 @@ def test_fewer_vectors_than_topics(spark, vectors):
 def test_single_topic_has_no_map(spark):
     df = spark.createDataFrame([(0, [0.5, 0.1])], "topic int, vector array<double>").withColumn("n", F.lit(1))
     assert tuple(topics.topic_map(df).first()) == (0, 1, None, None)
+
+
+# --- results do not depend on sizes ---------------------------------------------------------------------
+
+
+def test_long_quoted_strings_are_decoded(spark):
+    plain, escaped, quotes = "a" * 1_000_000, "\\\\" * 400_000, "it's " * 200_000
+    rows = [(f"{{'Id': '{plain}', 'C': None}}",), (f"{{'Id': '{escaped}', 'C': True}}",), (f'{{"Id": "{quotes}", "C": False}}',)]
+    df = spark.createDataFrame(rows, "t string")
+    found = df.select(files.decode_records("t", "Id string, C string").alias("r")).select("r.*").collect()
+    assert [len(r["Id"]) for r in found] == [1_000_000, 400_000, 1_000_000]
+    assert [r["C"] for r in found] == [None, "true", "false"]
+
+
+def test_unicode_spaces_separate_words(spark):
+    df = spark.createDataFrame([("Foo\xa0bar\u2009baz,\u30003qux\x1cend",)], "t string")
+    assert df.select(x.tokens(x.letters_only("t"))).first()[0] == ["foo", "bar", "baz", "qux", "end"]
+
+
+def test_references_are_decoded_once(spark):
+    cases = {
+        "&#38;amp;": "&amp;", "&euro;&pound;": "€£", "&#1114109;&#x10FFFD;": "\U0010fffd\U0010fffd", "&#0;&#xD800;&#9999999;": "\ufffd" * 3,
+        "a & b &nope; &amp": "a & b &nope; &amp", "&lt;<![CDATA[x]]>": "<x", "&#00000000065;&CounterClockwiseContourIntegral;": "A∳", "": "",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert [r[0] for r in df.select(pages.unescape("t")).collect()] == list(cases.values())
+    assert spark.sql("SELECT CAST(NULL AS STRING) AS t").select(pages.unescape("t")).first()[0] is None
+
+
+def test_records_of_several_files_keep_their_order(spark, tmp_path):
+    for name, n in (("a", 1), ("b", 50), ("c", 400)):
+        lines = "\n".join(f'{{"DrugId": "{name}{i}", "GenName": "{"x" * 200}"}}' for i in range(n))
+        (tmp_path / f"{name}.json").write_text(lines + "\n")
+    records = stages.read_records(spark, str(tmp_path))
+    found = [r["DrugId"] for r in records.orderBy("seq").select("DrugId").collect()]
+    assert found == [f"{name}{i}" for name, n in (("a", 1), ("b", 50), ("c", 400)) for i in range(n)]
+
+
+def test_rows_without_vector_have_no_topic(spark):
+    rows = [(i, [float(i % 2), float(i % 3), 1.0]) for i in range(30)] + [(30, None), (31, None)]
+    df = spark.createDataFrame(rows, "k int, v array<double>")
+    found = topics.assign_topics(df, "v", topics.fit_topics(df, "v", 2)).toPandas().set_index("k")
+    assert found.loc[[30, 31], ["Topic", "TopicProbability", "UMAP_x", "UMAP_y"]].isna().all().all()
+    assert found.loc[:29, "Topic"].notna().all()
+
+
+def test_failing_texts_are_found_by_halving():
+    import pandas as pd
+
+    calls = []
+
+    def predict(batch):
+        calls.append(len(batch))
+        if "bad" in batch:
+            raise ValueError
+        return np.ones((len(batch), 3))
+
+    texts = pd.Series(["good"] * 500 + ["bad"] + ["good"] * 523 + [None])
+    found = sentiment._scores_or_null(predict, texts)
+    assert found["neg"].isna().sum() == 2 and found["neg"].isna()[500]
+    assert len(calls) < 40
+
+
+def test_segments_are_few_files(spark, tmp_path):
+    df = spark.range(3000).repartition(16).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'a' WHEN id % 3 = 1 THEN 'b' END AS DrugFamily", "'x' AS bert_compound_threshold")
+    files.write_segments(df, str(tmp_path / "s"), rows_per_file=400)
+    count = {p.name: len(list(p.rglob("part-*.parquet"))) for p in (tmp_path / "s").iterdir() if p.is_dir()}
+    assert all(n <= 4 for n in count.values()) and len(count) == 3
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 3000

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
+from reviewlens.operators import nested
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -40,6 +41,15 @@ def test_query_equals_sql(spark, duck, data, name):
     assert rows_of(ours) == rows_of(theirs)
 
 
+@pytest.mark.parametrize(
+    "name", ["nest_reviews", "xml_reviews", "expand_reviews", "decode_literal", "sink_items", "stage1_clean", "stage1_reviews", "nested_mean", "refresh_means", "array_count"]
+)
+def test_list_length_does_not_change_the_result(spark, duck, data, name, monkeypatch):
+    monkeypatch.setattr(nested, "MAX_ELEMENTS", 2)
+    ours = entry_point.queries()[name](spark, data).toArrow()
+    assert rows_of(ours) == rows_of(duck.execute(entry_point.oracle_sql()[name]).to_arrow_table())
+
+
 def test_entry_has_rows(spark):
     assert entry_point.entry(spark).count() > 0
 
@@ -48,7 +58,7 @@ def run(spark, data, name):
     return entry_point.queries()[name](spark, data)
 
 
-@pytest.mark.parametrize("name", ["batch_model_score", "score_or_null"])
+@pytest.mark.parametrize("name", ["batch_model_score"])
 def test_scores_are_shares(spark, data, name):
     df = run(spark, data, name).toPandas()
     neg, neu, pos, compound = [c for c in df.columns if c != "doc_id"]
