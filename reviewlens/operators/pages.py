@@ -142,6 +142,38 @@ def has_no_reviews(html: Column | str, phrases: Sequence[str] = tuple(NO_REVIEW_
     return c.contains_any(html, phrases)
 
 
+GENERIC_NAME = r'<h3[^>]*class="drug-generic-name"[^>]*>\s*<a[^>]*>([^<]*)</a>'
+SECTION_PARAGRAPH = r"(?s)<p(?:\s[^>]*)?>([^<]*)"
+
+
+def brand_and_generic(html: Column | str) -> dict[str, Column]:
+    """BrandName and GenName of a drug page by the phrases of its heading."""
+    kind = kind_by_phrase(html, HEADING_PHRASES, "none", ignore_case=True)
+    names = F.regexp_extract_all(c._col(html), F.lit(GENERIC_NAME), 1)
+    first, second = F.get(names, F.lit(0)), F.get(names, F.lit(1))
+    return fields_by_kind(kind, {
+        "BrandName": {"brand and generic": first},
+        "GenName": {"brand and generic": second, "generic only": first},
+    })
+
+
+def contraindications(html: Column | str) -> dict[str, Column]:
+    """AvoidUse and Allergies of a page: the second and third paragraph of its section, by what
+    the page says it lists."""
+    section = F.regexp_extract(c._col(html), r"(?s)<section(?:\s[^>]*)?>(.*?)</section>", 1)
+    paragraphs = F.regexp_extract_all(section, F.lit(SECTION_PARAGRAPH), 1)
+    second, third = F.get(paragraphs, F.lit(1)), F.get(paragraphs, F.lit(2))
+    kind = kind_by_phrase(html, AVOID_PHRASES, "other")
+    return fields_by_kind(kind, {"AvoidUse": {"conditions": second}, "Allergies": {"conditions": third, "allergies": second}})
+
+
+def ratings_or_blank(html: Column | str, ratings: dict[str, Column], reviews: Column) -> dict[str, Column]:
+    """Rating fields and review list of a page; blanks and no review where it says there are none."""
+    empty = has_no_reviews(html)
+    fields = {name: F.when(empty, F.lit(" ")).otherwise(c.null_to_blank(value)) for name, value in ratings.items()}
+    return {**fields, "Reviews": F.when(empty, F.slice(reviews, 1, 0)).otherwise(reviews)}
+
+
 def page_id_number(html: Column | str, parameter: str = "drugid") -> Column:
     return c.blank_to_null(F.regexp_extract(F.lower(c._col(html)), rf"{parameter}=(\d+)", 1))
 

@@ -170,8 +170,10 @@ def reassign_outliers(topic: Column | str, probabilities: Column | str, threshol
 # --- terms, labels and lists ----------------------------------------------------------------
 
 
-def topic_terms(df: DataFrame, topic: str, tokens: str, top: int = 10) -> DataFrame:
-    """`(topic, rank, term, weight)`: words that set a topic apart (Grootendorst 2022)."""
+def topic_terms(df: DataFrame, topic: str, tokens: str, top: int = 10, vocabulary: DataFrame | None = None) -> DataFrame:
+    """`(topic, rank, term, weight)`: words that set a topic apart (Grootendorst 2022).
+
+    With a vocabulary `(term)` only its terms count."""
     counts = (
         nested.each(df, tokens, "term", topic)
         .withColumnRenamed(topic, "topic")
@@ -179,6 +181,8 @@ def topic_terms(df: DataFrame, topic: str, tokens: str, top: int = 10) -> DataFr
         .groupBy("topic", "term")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    if vocabulary is not None:
+        counts = counts.join(vocabulary.select("term"), "term", "left_semi")
     per_topic = counts.groupBy("topic").agg(F.sum("n").alias("words"))
     per_term = counts.groupBy("term").agg(F.sum("n").alias("everywhere"))
     average = per_topic.agg(F.avg("words").alias("a")).scalar()

@@ -107,6 +107,11 @@ def topic_overview(
     }
 
 
+def review_topics(reviews: DataFrame, key: str, value, probabilities: str = "TopicProbability") -> DataFrame:
+    """`(topic, probability)` of one review, for the chart beside its details."""
+    return topics.topic_distribution(reviews, key, value, probabilities)
+
+
 def review_details(reviews: DataFrame, key: str, value) -> DataFrame:
     """What is shown of one review: demographics, date, ratings, prediction and votes."""
     one = reviews.where(F.col(key) == F.lit(value))

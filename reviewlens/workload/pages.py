@@ -226,6 +226,62 @@ def empty_page_filter(t: Source) -> DataFrame:
     )
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+# Pages with the marks of a drug page set in: every phrase by turns, names and paragraphs from the url.
+_MARKS = [*pages.HEADING_PHRASES.values(), *pages.AVOID_PHRASES.values(), *pages.NO_REVIEW_PHRASES, "nothing of the kind"]
+_MARKED_SQL = f"""marked AS (SELECT page_id, url, [{", ".join(_quoted(m) for m in _MARKS)}][CAST(page_id % {len(_MARKS)} AS INTEGER) + 1] AS mark FROM pages)"""
+
+
+def _marked(t: Source) -> DataFrame:
+    marks = F.array(*[F.lit(m) for m in _MARKS])
+    mark = F.upper(F.get(marks, (F.col("page_id") % len(_MARKS)).cast("int")))
+    mark = F.when(mark.isin([m.upper() for m in pages.HEADING_PHRASES.values()]), mark)
+    mark = F.coalesce(mark, F.get(marks, (F.col("page_id") % len(_MARKS)).cast("int")))
+    name = lambda n: F.concat(F.lit(f'<h3 class="drug-generic-name"><a href="/">{n} '), F.col("url"), F.lit("</a></h3>"))
+    text = lambda n: F.concat(F.lit(f"<p>{n} "), F.col("url"), F.lit("</p>"))
+    html = F.concat(
+        F.col("html"), F.lit("<div>"), mark, F.lit("</div>"), name("one"), name("two"),
+        F.lit("<section>"), text("first"), text("second"), text("third"), F.lit("</section>"),
+    )
+    return t.pages.select("page_id", "url", html.alias("html"))
+
+
+@query(
+    "page_drug_names",
+    f"""WITH {_MARKED_SQL}
+        SELECT page_id, CASE WHEN mark = 'common brand' THEN 'one ' || url ELSE ' ' END AS BrandName,
+               CASE mark WHEN 'common brand' THEN 'two ' || url WHEN 'generic name' THEN 'one ' || url ELSE ' ' END AS GenName FROM marked""",
+)
+def page_drug_names(t: Source) -> DataFrame:
+    return _marked(t).select("page_id", *[v.alias(n) for n, v in pages.brand_and_generic("html").items()])
+
+
+@query(
+    "page_contraindications",
+    f"""WITH {_MARKED_SQL}
+        SELECT page_id, CASE WHEN mark = 'Conditions:' THEN 'second ' || url ELSE ' ' END AS AvoidUse,
+               CASE mark WHEN 'Conditions:' THEN 'third ' || url WHEN 'Allergies:' THEN 'second ' || url ELSE ' ' END AS Allergies FROM marked""",
+)
+def page_contraindications(t: Source) -> DataFrame:
+    return _marked(t).select("page_id", *[v.alias(n) for n, v in pages.contraindications("html").items()])
+
+
+@query(
+    "page_without_reviews",
+    f"""WITH {_MARKED_SQL}, e AS (SELECT *, mark IN ({", ".join(_quoted(p) for p in pages.NO_REVIEW_PHRASES)}) AS empty FROM marked)
+        SELECT page_id, CASE WHEN empty THEN ' ' ELSE url END AS Effectiveness, CASE WHEN empty THEN ' ' ELSE 'x' END AS EaseOfUse,
+               ' ' AS Satisfaction, CASE WHEN empty THEN 0 ELSE 2 END::BIGINT AS n_reviews FROM e""",
+)
+def page_without_reviews(t: Source) -> DataFrame:
+    ratings = {"Effectiveness": F.col("url"), "EaseOfUse": F.lit("x"), "Satisfaction": F.lit(None).cast("string")}
+    fields = pages.ratings_or_blank("html", ratings, F.array(F.lit("a"), F.lit("b")))
+    shown = {**fields, "n_reviews": F.size(fields["Reviews"]).cast("bigint")}
+    return _marked(t).select("page_id", *[v.alias(n) for n, v in shown.items() if n != "Reviews"])
+
+
 @query(
     "positional_numbers",
     r"""WITH n AS (SELECT doc_id, regexp_extract_all(text, '[^ \n]*[0-9][^ \n]*') AS v FROM documents)
@@ -277,10 +333,6 @@ def xml_reviews(t: Source) -> DataFrame:
     )
 
 
-def _quoted(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
 # Every piece behind an ampersand begins with a reference or is left as it is.
 _NAMED_SQL = ", ".join(f"({_quoted(name)}, {_quoted(char)})" for name, char in pages.named_entities().items())
 UNESCAPE_SQL = rf"""

@@ -42,6 +42,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def near(a, b, tolerance: float = 1e-6):
+    """Whether two numbers agree, for results that SQL can only state as a property."""
+    return F.abs(a - b) < tolerance
+
+
 # --- ratings: one review per order line ------------------------------------------------------
 
 REVIEW_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]

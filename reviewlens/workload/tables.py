@@ -100,14 +100,20 @@ def src_segment(t: Source) -> DataFrame:
     return files.read_segment(t.spark, path, rows.schema, DrugFamily="en", bert_compound_threshold="positive")
 
 
-@query("model_store")
+@query(
+    "model_store",
+    """WITH e AS (SELECT event_id, value / 500 AS x, sqrt(value) AS y,
+              CAST('0x' || substr(md5(event_id || '-42'), 1, 8) AS BIGINT) % 5 <> 0 AS train FROM events),
+       m AS (SELECT regr_intercept(y, x) AS a, regr_slope(y, x) AS b FROM e WHERE train)
+       SELECT event_id, round(a + b * x, 4) AS predicted FROM e, m""",
+)
 def model_store(t: Source) -> DataFrame:
     """Predictions of a model that was saved and loaded again."""
     rows = t.events.select("event_id", (F.col("value") / 500).alias("score"), F.sqrt("value").alias("rating"))
-    model, _ = sentiment.fit_rating_model(rows, "score", "rating", "event_id", degree=3)
+    model, _ = sentiment.fit_rating_model(rows, "score", "rating", "event_id", degree=1)
     path = scratch_path(t.spark, "model")
     files.save_model(model, path)
-    return files.load_model(path).transform(rows).select("event_id", F.round("PredictedOverall", 6).alias("predicted"))
+    return files.load_model(path).transform(rows).select("event_id", F.round("PredictedOverall", 4).alias("predicted"))
 
 
 @query(

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import dims
 from ..functions import text as x
-from ..operators import topics
+from ..operators import nested, topics
 from ..plans import stages
 from ..session import scratch_path
-from .registry import Source, query
+from .registry import Source, near, query
 from .text import CLEAN_TOKENS_SQL
 
 # --- terms and labels ------------------------------------------------------------------------------------
@@ -192,26 +193,57 @@ def doc_map(t: Source) -> DataFrame:
     return topics.document_map(rows, "doc_id", "label", "source", "text", "embedding")
 
 
-@query("reduce_2d")
+@query(
+    "reduce_2d",
+    """WITH long AS (SELECT vec_id, unnest(range(len(embedding))) AS dim, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+       spread AS (SELECT sum(s) AS total FROM (SELECT var_samp(v) AS s FROM long GROUP BY dim))
+       SELECT 'all' AS name, count(*) AS vectors, round(any_value(total), 6) AS total_variance, true AS uncorrelated, true AS ordered, true AS above_mean
+       FROM embeddings, spread""",
+)
 def reduce_2d(t: Source) -> DataFrame:
+    """What holds for two leading components: they are uncorrelated, the first varies most, and
+    both vary more than a mean direction of the vectors does."""
     placed = topics.add_coordinates(t.embeddings, "embedding")
-    return placed.select("vec_id", F.round("UMAP_x", 4).alias("x"), F.round("UMAP_y", 4).alias("y"))
+    axes = placed.agg(
+        F.count("UMAP_x").alias("vectors"), F.var_samp("UMAP_x").alias("vx"), F.var_samp("UMAP_y").alias("vy"), F.corr("UMAP_x", "UMAP_y").alias("r")
+    )
+    long = nested.long_form(t.embeddings, "embedding", "dim", "v", "vec_id").withColumn("v", F.col("v").cast("double"))
+    spread = long.groupBy("dim").agg(F.var_samp("v").alias("s")).agg(F.sum("s").alias("total"), F.avg("s").alias("mean"))
+    # One row each.
+    both = axes.withColumn("name", F.lit("all")).join(spread.withColumn("name", F.lit("all")), "name")
+    return both.select(
+        "name", "vectors", F.round("total", 6).alias("total_variance"), (F.abs("r") < 1e-6).alias("uncorrelated"),
+        (F.col("vx") >= F.col("vy")).alias("ordered"), (F.col("vy") > F.col("mean")).alias("above_mean"),
+    )
 
 
-@query("topic_map")
+@query("topic_map", "SELECT label AS topic, count(*) AS n, true AS placed FROM embeddings GROUP BY label")
 def topic_map(t: Source) -> DataFrame:
-    return topics.topic_map(_centres(t)).select("topic", "n", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+    placed = F.col("x").isNotNull() & F.col("y").isNotNull()
+    return topics.topic_map(_centres(t)).select("topic", "n", placed.alias("placed"))
+
 
+def _topic_checks(best: bool = True) -> list:
+    """What holds for the topic of every row: its range, its shares, and that it is the likeliest."""
+    shares, topic = F.col("TopicProbability"), F.col("Topic")
+    total = F.aggregate(shares, F.lit(0.0), lambda a, v: a + v)
+    likeliest = F.get(shares, topic) == F.array_max(shares)
+    return [
+        topic.between(-1, F.size(shares) - 1).alias("in_range"), near(total, F.lit(1.0)).alias("adds_up"),
+        ((topic == topics.OUTLIER) | likeliest | F.lit(not best)).alias("likeliest"),
+    ]
 
-@query("fit_topics")
+
+@query("fit_topics", "SELECT vec_id, true AS in_range, true AS adds_up, true AS likeliest FROM embeddings")
 def fit_topics(t: Source) -> DataFrame:
     fitted = topics.assign_topics(t.embeddings, "embedding", topics.fit_topics(t.embeddings, "embedding", 10))
-    return fitted.select(
-        "vec_id", "Topic", F.round(F.array_max("TopicProbability"), 4).alias("probability"), F.size("TopicProbability").alias("topics")
-    )
+    return fitted.select("vec_id", *_topic_checks())
 
 
-@query("segment_fit")
+@query(
+    "segment_fit",
+    """SELECT doc_id, lang AS family, true AS in_range, true AS adds_up, true AS likeliest, true AS listed FROM documents""",
+)
 def segment_fit(t: Source) -> DataFrame:
     """One topic model per language, the words of the documents as comments."""
     rows = t.documents.select(
@@ -219,7 +251,5 @@ def segment_fit(t: Source) -> DataFrame:
         F.array_join(x.tokens(x.letters_only("text")), " ").alias("cleaned_Comment"),
     )
     modelled = stages.model_segments(rows, scratch_path(t.spark, "models"), segment=("family",), topic_count=6, unmerged=("de",))
-    return modelled.select(
-        F.col("Id").alias("doc_id"), "family", "Topic", "TopicName", F.size("TopicsList").alias("topics"),
-        F.round(F.array_max("TopicProbability"), 4).alias("probability"),
-    )
+    listed = F.size("TopicsList") == F.size(F.filter("TopicProbability", lambda p: p >= dims.TOPIC_PROBABILITY_CUTOFF))
+    return modelled.select(F.col("Id").alias("doc_id"), "family", *_topic_checks(best=False), listed.alias("listed"))
