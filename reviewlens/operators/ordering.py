@@ -1,44 +1,37 @@
 """Global positions of values without a window over one partition.
 
 Values are counted first, so a value held by a third of all rows is one row here. The
-distinct values are cut into ranges at a small, repeatable sample of themselves; each range
-is numbered on its own and shifted by the totals of the ranges before it.
+distinct values are dealt out in ranges, as many as their number asks for; each range is
+numbered on its own and shifted by the totals of the ranges before it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import scratch_path, shared_dir
+from . import sizes
 
-RANGES = 64
+VALUES_PER_RANGE = 100_000
 
 
-def _range_of(values: DataFrame, column: str, ranges: int) -> Column:
-    """Number of cut points at or below the value. Cut points only steer the balance."""
-    sample = (
-        values.select(column).orderBy(F.xxhash64(column), column).limit(ranges * 16)
-    ).collect()
-    points = sorted(r[0] for r in sample)[15::16]
-    if len(sample) < ranges * 16 or not points:
-        return F.lit(0)
-    cuts = F.array(*[F.lit(p) for p in points])
-    return F.size(F.filter(cuts, lambda p: p <= F.col(column)))
-
-
-def value_positions(df: DataFrame, column: str, weight: str | None = None, ranges: int = RANGES) -> DataFrame:
+def value_positions(df: DataFrame, column: str, weight: str | None = None, ranges: int | None = None) -> DataFrame:
     """`(column, n, rows_before, values_before)` for every distinct non-null value."""
     amount = F.sum(weight) if weight else F.count(F.lit(1))
     values = df.where(F.col(column).isNotNull()).groupBy(column).agg(amount.cast("bigint").alias("n"))
-    # Read three times below, and far smaller than the rows it counts.
+    # Far smaller than the rows it counts; counted, then cut.
     shared_dir(df.sparkSession)
     values = values.checkpoint()
-    values = values.withColumn("_range", _range_of(values, column, ranges))
+    ranges = ranges or 1 + values.count() // VALUES_PER_RANGE
+    # Written with its range, so that all readings see the same borders.
+    path = scratch_path(df.sparkSession, "ranges")
+    values.repartitionByRange(ranges, column).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    cut = df.sparkSession.read.parquet(path)
 
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = values.groupBy("_range").agg(F.sum("n").alias("_rows"), F.count(F.lit(1)).alias("_values"))
-    # At most `ranges` + 1 rows: the one ordered window here has a fixed size.
+    totals = cut.groupBy("_range").agg(F.sum("n").alias("_rows"), F.count(F.lit(1)).alias("_values"))
+    # One row per range: a hundred-thousandth of the distinct values.
     starts = totals.select(
         "_range",
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows_start"),
@@ -47,7 +40,7 @@ def value_positions(df: DataFrame, column: str, weight: str | None = None, range
     inside = Window.partitionBy("_range").orderBy(column)
     running = inside.rowsBetween(Window.unboundedPreceding, -1)
     return (
-        values.join(F.broadcast(starts), "_range")
+        cut.join(sizes.broadcast_within(starts), "_range")
         .withColumn("rows_before", F.col("_rows_start") + F.coalesce(F.sum("n").over(running), F.lit(0)))
         .withColumn("values_before", F.col("_values_start") + F.row_number().over(inside) - 1)
         .select(column, "n", "rows_before", "values_before")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions import columns as c
 from ..functions import text as x
-from . import sizes
+from . import nested, sizes
 
 # Constants of the published lexicon method (Hutto & Gilbert 2014).
 CAPS_STEP = 0.733
@@ -51,14 +51,24 @@ def _negates(word: Column) -> Column:
     return F.coalesce(word.isin(dims.NEGATIONS) | word.contains("n't"), F.lit(False))
 
 
-def _lexicon_rows(lexicon: DataFrame) -> list[tuple[str, float, int]]:
-    """Words with valence and hash bucket. A lexicon is a fixed resource that does not grow with
-    the data; its size is checked, as it becomes part of the expression."""
+def _lexicon_rows(lexicon: DataFrame) -> list[tuple[str, float, int]] | None:
+    """Words with valence and hash bucket, None for a lexicon too long to be part of an expression."""
     bucket = F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int")
     rows = sizes.rows_within(lexicon.select("token", F.col("weight").cast("double"), bucket), LEXICON_WORDS)
-    if rows is None:
-        raise ValueError(f"the lexicon has over {LEXICON_WORDS} words")
-    return [tuple(r) for r in rows]
+    return None if rows is None else [tuple(r) for r in rows]
+
+
+def _hits_by_join(words: DataFrame, text: str, lexicon: DataFrame) -> DataFrame:
+    """Add the lexicon words `_hits` of every text by a join of its tokens. A text is known by its
+    digest, so copies are looked up once."""
+    digest = F.sha2(text, 256).alias("_digest")
+    texts = words.where(F.col(text).isNotNull()).select(digest, "_low").dropDuplicates(["_digest"])
+    tokens = nested.each(texts, "_low", "token", "_digest", position="i")
+    known = tokens.join(lexicon.select("token", F.col("weight").cast("double").alias("v")), "token")
+    hits = known.groupBy("_digest").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("_found"))
+    joined = words.withColumn("_digest", digest).join(hits, "_digest", "left")
+    none = F.array().cast("array<struct<i: int, v: double>>")
+    return joined.withColumn("_hits", F.when(F.col(text).isNotNull(), F.coalesce("_found", none))).drop("_digest", "_found")
 
 
 def _valence_table(rows: list[tuple[str, float, int]]) -> Column:
@@ -73,7 +83,8 @@ def add_lexicon_scores(df: DataFrame, text: str, lexicon: DataFrame, prefix: str
     """Add neg, neu, pos and compound of a text.
 
     Everything happens within the row: lexicon words are found in its token array, each is
-    scored from its three predecessors, and the scores are added up. No rows are shuffled.
+    scored from its three predecessors, and the scores are added up. No rows are shuffled. Only a
+    lexicon of over LEXICON_WORDS words is joined to the tokens of the distinct texts.
     """
     before = df.columns
     stripped = F.transform(
@@ -89,14 +100,17 @@ def add_lexicon_scores(df: DataFrame, text: str, lexicon: DataFrame, prefix: str
     words = words.withColumn("_low", F.transform("_w", lambda w: F.lower(w)))
 
     rows = _lexicon_rows(lexicon)
-    listed, table = [r[0] for r in rows], _valence_table(rows)
+    if rows is None:
+        words = _hits_by_join(words, text, lexicon)
+    else:
+        listed, table = [r[0] for r in rows], _valence_table(rows)
 
-    def valence(token: Column) -> Column:
-        return F.try_element_at(F.get(table, F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")), token)
+        def valence(token: Column) -> Column:
+            return F.try_element_at(F.get(table, F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")), token)
 
-    hits = x.positions_of("_low", listed)
+        hits = F.transform(x.positions_of("_low", listed), lambda e: F.struct(e["i"].alias("i"), valence(e["t"]).alias("v")))
+        words = words.withColumn("_hits", hits)
     words = words.withColumns({
-        "_hits": F.transform(hits, lambda e: F.struct(e["i"].alias("i"), valence(e["t"]).alias("v"))),
         "_but": F.array_position("_low", F.lit("but")),
         "_mixed": F.exists("_w", _is_caps) & F.exists("_w", lambda w: ~_is_caps(w)),
     })

@@ -544,3 +544,13 @@ def test_segments_are_few_files(spark, tmp_path):
     count = {p.name: len(list(p.rglob("part-*.parquet"))) for p in (tmp_path / "s").iterdir() if p.is_dir()}
     assert all(n <= 4 for n in count.values()) and len(count) == 3
     assert spark.read.parquet(str(tmp_path / "s")).count() == 3000
+
+
+def test_long_lexicons_score_the_same(spark, monkeypatch):
+    texts = ["a very GOOD day!", "not good but awful", "", None, "a very GOOD day!", "good good bad"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, c string")
+    lexicon = dims.word_weights(spark, dims.LEXICON)
+    scores = lambda: sentiment.add_lexicon_scores(df, "c", lexicon).orderBy("k").collect()
+    short = scores()
+    monkeypatch.setattr(sentiment, "LEXICON_WORDS", 1)
+    assert scores() == short
