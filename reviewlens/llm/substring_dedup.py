@@ -28,9 +28,11 @@ from .common import attach, written
 from .suffixes import repeated_starts
 
 LENGTH = 200
-BLOCK_BYTES = 2 << 20
-RUNS_PER_ANCHOR = 4096
+BLOCK_BYTES = 512 << 10
+RUNS_PER_ANCHOR = 2048
+TEXT_BYTES = 512 << 10
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 SEGMENT = 64 << 20
 _PLACE_BITS = 28
 
@@ -78,7 +80,7 @@ def _segments(data: bytes, length: int) -> Iterator[tuple[int, bytes]]:
 def _runs(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, texts in k.chunks(batch, "text"):
+            for rows, texts in k.chunks(batch, "text", TEXT_BYTES):
                 numbers = rows.column("row").to_numpy()
                 parts = [(numbers, 0, texts)]
                 if len(texts.data) > SEGMENT and texts.n == 1:
@@ -153,7 +155,7 @@ def _compare(length: int):
 def _window_hashes(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, texts in k.chunks(batch, "body"):
+            for rows, texts in k.chunks(batch, "body", TEXT_BYTES):
                 places = np.arange(max(len(texts.data) - length + 1, 0))
                 of = texts.document_of(places)
                 inside = places + length <= texts.offsets[of + 1]
@@ -210,6 +212,21 @@ def covered_ranges(docs: DataFrame, length: int = LENGTH, runs_per_anchor: int =
     return whole.unionByName(usual).unionByName(often)
 
 
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ranges of every row joined where they touch, as pairs of little-endian 64-bit numbers."""
+    for batch in batches:
+        out = []
+        for ranges in batch.column("ranges"):
+            merged: list[list[int]] = []
+            for begin, end in sorted((r["begin"], r["end"]) for r in ranges.as_py()):
+                if merged and begin <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], end)
+                else:
+                    merged.append([begin, end])
+            out.append(np.array(merged, "<i8").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.binary())], ["row", "spans"])
+
+
 def _remove(texts_back: bool, rest: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,13 +234,7 @@ def _remove(texts_back: bool, rest: list[str]):
             for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
                 data = text.as_py()
                 kept, at, removed, count = [], 0, 0, 0
-                merged: list[list[int]] = []
-                for span in sorted((s["begin"], s["end"]) for s in spans.as_py() or ()):
-                    if merged and span[0] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], span[1])
-                    else:
-                        merged.append(list(span))
-                for begin, end in merged:
+                for begin, end in np.frombuffer(spans.as_py() or b"", "<i8").reshape(-1, 2).tolist():
                     kept.append(data[at:begin])
                     removed, count, at = removed + end - begin, count + 1, end
                 kept.append(data[at:])
@@ -250,8 +261,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, runs_per_anchor: int =
     data = F.coalesce(F.encode(text, "UTF-8"), F.lit(b""))
     whole = written(docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), data.alias("text")), "numbered")
     ranges = covered_ranges(whole.select("row", "text"), length, runs_per_anchor)
-    spans = written(ranges.groupBy("row").agg(F.collect_set(F.struct("begin", "end")).alias("spans")), "spans")
-    joined = whole.join(broadcast_within(spans, BROADCAST_ROWS), "row", "left")
+    ranges = ranges.groupBy("row").agg(F.collect_set(F.struct("begin", "end")).alias("ranges"))
+    spans = written(ranges.mapInArrow(_merge, "row long, spans binary"), "spans")
+    size = spans.agg(F.sum(F.octet_length("spans") + 16)).first()[0] or 0
+    joined = whole.join(F.broadcast(spans) if size <= BROADCAST_BYTES else spans, "row", "left")
     kind = whole.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, {'text string, ' if texts else ''}n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return joined.select("doc_id", "text", "spans").mapInArrow(_remove(texts, ["doc_id"]), schema)
