@@ -9,6 +9,8 @@ from ..session import scratch_path
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
+# A group of fewer rows is never worth a plan of its own.
+LEAST_HOT = 1000
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -31,14 +33,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, shares: int = 1000) -> DataFrame:
     """Every row joined to the one row of its group; `size` counts the rows of a group.
 
-    Fewer than `shares` groups can hold more than 1/shares of all rows: those are broadcast, so
-    their rows stay where they are. The others are joined by shuffle, where no key is hot.
+    Fewer than `shares` groups can hold more than 1/shares of all rows: where there are any (and
+    they are large at all), those are broadcast, so their rows stay where they are. The others are
+    joined by shuffle, where no key is hot.
     """
-    limit = max(total // shares, 1)
-    hot = F.broadcast(groups.where(F.col(size) > limit))
-    cold = groups.where(F.col(size) <= limit)
-    spread = rows.join(F.broadcast(groups.where(F.col(size) > limit).select(key)), key, "left_anti")
-    return rows.join(hot, key).unionByName(spread.join(cold, key))
+    limit = max(total // shares, LEAST_HOT)
+    hot = groups.where(F.col(size) > limit)
+    if total <= limit or hot.isEmpty():
+        return rows.join(groups, key)
+    spread = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(spread.join(groups.where(F.col(size) <= limit), key))
 
 
 def orderable(df: DataFrame) -> list[str]:

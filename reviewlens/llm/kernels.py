@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
 U64 = np.uint64
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
@@ -117,6 +117,8 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         if b > a:
             piece = batch.slice(a, b - a)
             yield piece, Texts(piece.column(column))
+    # A worker lives on after its task: give back what the batch has used.
+    pa.default_memory_pool().release_unused()
 
 
 def grams(hashes: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -8,8 +8,9 @@ once they are later than all registers of the text.
 
 Texts with the same words are one node. Nodes that agree in a band of registers meet in a bucket
 and are compared with its centre, the node with most meetings, by the exact similarity of their
-bags; buckets that still hold several groups are then compared between the groups, pair by pair.
-Classes are the connected components of the pairs at THRESHOLD or more.
+bags. Where the members of a centre are still in several groups, they are compared across the groups
+in blocks, first by their registers. Classes are the connected components of the pairs at THRESHOLD
+or more; a pair at the threshold misses all 32 bands with a probability of 3e-6.
 
 Texts of one to four words have one shingle of all words; texts without words, null ones too, are
 one class. Rows that repeat an id are rows of their own; of a class the smallest id stays (null
@@ -38,8 +39,12 @@ REGISTERS = BANDS * ROWS
 # Registers agree in at least this share or a pair is not verified: over five standard deviations below the threshold.
 LEAST_ESTIMATE = 0.62
 BROADCAST_ROWS = 500_000
+# Members of one centre compared with each other or with another block in one task.
+BLOCK = 512
 _FIRST_ROUNDS = 2
 _LARGEST_BLOCK = 128
+# Arrivals made at once, over all shingles of some texts.
+POINTS = 1 << 18
 
 
 def bags(texts: k.Texts, n: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -87,15 +92,21 @@ def signatures(owner: np.ndarray, hashes: np.ndarray, weight: np.ndarray, n: int
         point += block
         rounds += 1
         if rounds >= _FIRST_ROUNDS:
-            block = min(block * 2, _LARGEST_BLOCK, max(1, (1 << 21) // max(len(alive), 1)))
+            block = min(block * 2, _LARGEST_BLOCK, max(1, POINTS // max(len(alive), 1)))
     return winner.reshape(n, registers)
 
 
 def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
     """Probability Jaccard similarity of two bags (sorted hashes, weights)."""
-    common, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
-    if not len(common):
+    if not len(x[0]) or not len(y[0]):
         return 0.0
+    j = np.minimum(np.searchsorted(y[0], x[0]), len(y[0]) - 1)
+    i = np.flatnonzero(y[0][j] == x[0])
+    j = j[i]
+    if not len(i):
+        return 0.0
+    if x[1].max() == y[1].max() == 1:
+        return len(i) / (len(x[0]) + len(y[0]) - len(i))  # all weights equal: plain Jaccard
     a, b = x[1].astype(float), y[1].astype(float)
     rest_a, rest_b = a.sum() - a[i].sum(), b.sum() - b[j].sum()
     pairs, times = np.unique(np.stack([a[i], b[j]], axis=1), axis=0, return_counts=True)
@@ -178,14 +189,72 @@ def near_pairs(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, threshold:
     likely = _both_ends(pairs, nodes, ["signature"], pairs.count()).mapInArrow(_estimate, "a binary, b binary")
     likely = written(likely, "likely")
     ends = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-    # Bags of the nodes that are compared, and of no other: one text per node, found by its row.
-    ends = written(nodes.select("node", "row").join(ends, "node"), "ends")
-    chosen = texts.select("row", "text").join(broadcast_within(ends, BROADCAST_ROWS), "row")
-    found = written(chosen.mapInArrow(_bag, "node binary, hashes binary, weights binary"), "bags")
+    # Bags of the nodes that are compared, and of no other.
+    found = _bags_of(written(nodes.select("node", "row").join(ends, "node"), "ends"), texts)
     whole = _both_ends(likely, found, ["hashes", "weights"], likely.count())
     return written(whole.mapInArrow(_verify(threshold), "a binary, b binary"), "near")
 
 
+def _links_in_block(threshold: float):
+    """Links between the members of one block pair that are in different groups."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        left, block = (table.column(c).to_numpy() for c in ("i", "block"))
+        signs = np.array([np.frombuffer(v, np.uint16) for v in table.column("signature").to_pylist()])
+        groups = np.unique(np.array([r.hex() for r in table.column("root").to_pylist()]), return_inverse=True)[1]
+        hashes, weights, nodes = (table.column(c) for c in ("hashes", "weights", "node"))
+        read: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def bag(x: int) -> tuple[np.ndarray, np.ndarray]:
+            if x not in read:
+                read[x] = _read_bag(hashes[x].as_py(), weights[x].as_py())
+            return read[x]
+
+        same_block = table.column("j")[0].as_py() == left[0]
+        found = []
+        for x in np.flatnonzero(block == left[0]):
+            others = np.arange(x + 1, len(block)) if same_block else np.flatnonzero(block != left[0])
+            others = others[groups[others] != groups[x]]
+            likely = others[(signs[others] == signs[x]).mean(axis=1) >= LEAST_ESTIMATE]
+            for y in likely:
+                # Members linked on the way are in one group from then on.
+                if groups[y] != groups[x] and similarity(bag(x), bag(y)) >= threshold - 1e-12:
+                    found.append((nodes[int(x)].as_py(), nodes[int(y)].as_py()))
+                    groups[groups == groups[y]] = groups[x]
+        ends = [pa.array([f[k] for f in found], pa.binary()) for k in range(2)]
+        return pa.Table.from_arrays(ends, ["a", "b"])
+
+    return run
+
+
+def _links_between_groups(stars: DataFrame, roots: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links `(a, b)` that join further groups. Nodes that share a bucket share its centre, so the
+    members of a centre are compared where they are in several groups. They are dealt into blocks
+    of BLOCK and compared block with block in tasks of their own: a pair is looked at by its
+    registers, verified where those agree, and only links come out."""
+    members = stars.join(roots, "node", "left").select("centre", "node", F.coalesce("root", "node").alias("root"))
+    members = written(members, "members")
+    per = members.groupBy("centre").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
+    per = per.where("low != high").select("centre", "n")
+    members = written(attach(members, per, "centre", "n", members.count()), "open")
+    ends = written(nodes.select("node", "row").join(members.select("node").distinct(), "node"), "ends")
+    found = _bags_of(ends, texts)
+    whole = members.join(nodes.select("node", "signature"), "node").join(found, "node")
+    blocks = F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int")
+    whole = whole.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    whole = whole.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    whole = whole.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    whole = whole.select("centre", "i", "j", "block", "node", "root", "signature", "hashes", "weights")
+    return written(whole.groupBy("centre", "i", "j").applyInArrow(_links_in_block(threshold), "a binary, b binary"), "more")
+
+
+def _bags_of(ends: DataFrame, texts: DataFrame) -> DataFrame:
+    """`(node, hashes, weights)` of the nodes `(node, row)`: one text per node, found by its row."""
+    chosen = texts.select("row", "text").join(broadcast_within(ends, BROADCAST_ROWS), "row")
+    return written(chosen.mapInArrow(_bag, "node binary, hashes binary, weights binary"), "bags")
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """`(row, doc_id, node, root, class_id, class_size)` for every row of the written `docs` (row, doc_id, text)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -206,21 +275,15 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     centres = met.join(meetings, "node").groupBy("bucket").agg(
         F.max(F.struct("meetings", "node"))["node"].alias("centre"), F.first("size").alias("size")
     )
-    stars = attach(met.drop("size"), centres, "bucket", "size", n_met)
-    pairs = stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
-    pairs = written(pairs.where("a != b").distinct(), "star-pairs")
+    stars = attach(met.drop("size"), centres, "bucket", "size", n_met).where("node != centre")
+    stars = written(stars.select("node", "centre").distinct(), "stars")
+    pairs = stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     near = near_pairs(pairs, nodes, read, threshold)
 
-    # Buckets of three and more that still hold several groups: all pairs between the groups.
     roots = written(components(near), "roots")
-    large = met.where("size > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    large = written(large, "large")
-    split = large.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
-    open_ = written(large.join(split, "bucket").select("bucket", "node", "root"), "open")
-    left, right = (open_.select("bucket", F.col("node").alias(n), F.col("root").alias(f"root_{n}")) for n in "ab")
-    rest = left.join(right, "bucket").where("a < b and root_a != root_b").select("a", "b").distinct()
-    more = near_pairs(rest.join(pairs, ["a", "b"], "left_anti"), nodes, read, threshold)
-    roots = written(components(near.unionByName(more)), "roots")
+    more = _links_between_groups(stars, roots, nodes, read, threshold)
+    if not more.isEmpty():
+        roots = written(components(near.unionByName(more)), "roots")
 
     grouped = nodes.select("node", "copies", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     grouped = written(grouped, "grouped")

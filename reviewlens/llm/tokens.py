@@ -15,7 +15,8 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
-KEPT_WORDS = 400_000
+KEPT_WORDS = 120_000
+KEPT_PRE_TOKENS = 240_000
 LONG_WORD = 64
 
 # The file's pre-token pattern, with its classes written out up to U+024F.
@@ -40,14 +41,14 @@ def _byte_letters() -> dict[int, str]:
 class _Table(dict):
     """A look-up that makes missing entries and forgets all when it is full."""
 
-    def __init__(self, make):
+    def __init__(self, make, size: int):
         super().__init__()
-        self.make = make
+        self.make, self.size = make, size
 
     def __missing__(self, key: str) -> bytes:
         value = self.make(key)
         if len(key) <= LONG_WORD:
-            if len(self) >= KEPT_WORDS:
+            if len(self) >= self.size:
                 self.clear()
             self[key] = value
         return value
@@ -59,8 +60,8 @@ class Encoder:
     def __init__(self, path: str | None = None):
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
         self.letters = _byte_letters()
-        self.pre_tokens = _Table(self._model)
-        self.words = _Table(self._word)
+        self.pre_tokens = _Table(self._model, KEPT_PRE_TOKENS)
+        self.words = _Table(self._word, KEPT_WORDS)
 
     def _model(self, pre_token: str) -> bytes:
         spelled = pre_token.encode().decode("latin1").translate(self.letters)

@@ -74,15 +74,17 @@ def test_near_duplicates_of_documents(documents):
     assert found == near_expected([(r["doc_id"], r["text"]) for r in documents.collect()])
 
 
-def test_chain_of_near_copies(spark):
-    """A hub with many copies, each unlike the others, and a chain whose ends are unlike."""
+def test_chain_of_near_copies(spark, monkeypatch):
+    """A hub with many copies, each unlike the others, and a chain whose ends are unlike, in blocks
+    of seven."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)
     r = random.Random(3)
     base = [f"t{r.randrange(10**6)}" for _ in range(300)]
     texts = [" ".join(base)]
     for k in range(40):
         words = list(base)
-        for p in range(5):
-            words[(k * 7 + p * 59) % 300] = f"n{k}x{p}"
+        for p in range(4 + k % 9):
+            words[(k * 7 + p * 59) % 300] = f"n{k // 2}x{p}"
         texts.append(" ".join(words))
     chain = [f"c{r.randrange(10**6)}" for _ in range(200)]
     for k in range(12):
