@@ -1,9 +1,11 @@
 """Main text of web pages by scoring the tree of blocks.
 
 A page is read once into a tree of block elements; inline elements only lend their text to the
-block around them. Parts that never belong to an article (menus, forms, scripts, adverts,
-comments and the like, by element, role or class) are left out while reading. Every paragraph
-then passes points for its length and commas to its ancestors, less with distance, and a
+block around them. Parts that never belong to an article (menus, scripts, hidden elements) are
+left out while reading. Blocks named as other parts (forms, adverts, comments and the like, by
+element, role, class or id) are left out after it, for each word only if its blocks do not hold
+most of the text of the page; where they do, the word is a weight. Inline elements are not judged
+by names. Every paragraph then passes points for its length and commas to its ancestors, less with distance, and a
 container's points are discounted by the share of its text that is links. The best container,
 or the article element around it, is kept, together with siblings that score near it or are
 plain paragraphs.
@@ -31,9 +33,10 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 LEFT_OUT = frozenset(
-    "aside audio button canvas datalist dialog fieldset footer form head iframe map math menu nav noscript object "
+    "annotation annotation-xml audio button canvas datalist head iframe map menu nav noscript object "
     "select svg template video".split()
 )
+PARTS = frozenset("aside dialog fieldset footer form".split())
 RAW_TEXT = frozenset("script style textarea title xmp noembed noframes".split())
 PARAGRAPHS = frozenset("p pre blockquote td li dd".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
@@ -43,6 +46,13 @@ UNLIKELY = (
     "overlay pagination pager popup promo promoted promotion recommended recommendations related replies respond "
     "share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola toolbar widget widgets"
 ).split()
+# Of these the ones whose parts may well be longer than the article.
+FOREIGN = (
+    "ad ads adv advert adverts advertisement advertising adslot adsense comment comments commentlist consent cookie cookies "
+    "disqus gdpr outbrain replies respond sponsor sponsored taboola"
+).split()
+# A name with one of these tells how the page is set up, as in has-sidebar or menu-open.
+SETTINGS = "has with no without open opened closed enabled disabled".split()
 LIKELY = "article body content entry main post story text".split()
 CLOSED_BY = {
     "li": ("ul", "ol", "menu", "dir"), "dd": ("dl",), "dt": ("dl",), "td": ("tr", "table"), "th": ("tr", "table"),
@@ -52,48 +62,117 @@ CLOSED_BY = {
 # End of the fixed values.
 
 LEAST_PARAGRAPH = 25
+LEAST_TEXT = 140
 SIBLING_SHARE = 0.2
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
     re.S,
 )
-_NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?=\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-_PARTS = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
-_UNLIKELY, _LIKELY = frozenset(UNLIKELY), frozenset(LIKELY)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>\"']+)))?")
+_MAY_HIDE = re.compile(r"hidden|display", re.I)
+_NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
+_SPLIT = re.compile(r"[\W_]+")
+_PARTS = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
+_HEADING = re.compile("h[1-6]")
+_UNLIKELY, _LIKELY, _FOREIGN, _SETTINGS = frozenset(UNLIKELY), frozenset(LIKELY), frozenset(FOREIGN), frozenset(SETTINGS)
+_NONE: frozenset[str] = frozenset()
 
 
 class Block:
-    __slots__ = ("tag", "parent", "content", "likely", "length", "commas", "linked", "own_length", "own_commas", "score")
+    __slots__ = ("tag", "parent", "content", "likely", "length", "commas", "linked", "own_length", "own_commas", "score", "doubts")
 
-    def __init__(self, tag: str, parent: Block | None, likely: int):
-        self.tag, self.parent, self.likely = tag, parent, likely
+    def __init__(self, tag: str, parent: Block | None, likely: int, doubts: frozenset[str] = _NONE):
+        self.tag, self.parent, self.likely, self.doubts = tag, parent, likely, doubts
         self.content: list[str | Block] = []
         self.own_length = self.own_commas = self.length = self.commas = self.linked = 0
         self.score = 0.0
 
 
-def _judge(tag: str, attributes: str) -> tuple[bool, int]:
-    """Whether the element is left out, and what its names speak for (1, 0, -1)."""
+def _words(value: str) -> set[str]:
+    """The words of a class or id, whole and split at capitals, without names of settings."""
+    words: set[str] = set()
+    for name in value.split():
+        found: set[str] = set()
+        for part in _SPLIT.split(name):
+            found.add(part.lower())
+            found.update(p.lower() for p in _PARTS.split(part))
+        if not found & _SETTINGS:
+            words |= found
+    return words
+
+
+def _judge(tag: str, attributes: str) -> tuple[bool, int, frozenset[str]]:
+    """Whether the element is left out, what its names speak for (1, 0, -1), and the words that
+    speak for another part than the article."""
     if tag in LEFT_OUT:
-        return True, -1
+        return True, -1, _NONE
+    doubts = {tag} if tag in PARTS else set()
     if not attributes or tag in ("html", "body"):
-        return False, 0
-    if _HIDDEN.search(attributes):
-        return True, -1
+        return False, -len(doubts), frozenset(doubts)
+    block = tag in BLOCKS
+    if not block and not _MAY_HIDE.search(attributes):
+        return False, 0, _NONE
     words: set[str] = set()
-    for name, *values in _NAMES.findall(attributes):
-        value = "".join(values)
-        if name.lower() == "role":
-            if value.strip().lower() in ROLES:
-                return True, -1
-        else:
-            words.update(p.lower() for p in _PARTS.split(value) if p)
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(values)
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _NOT_SHOWN.search(value):
+            return True, -1, _NONE
+        if not block:
+            continue
+        if name == "role":
+            doubts |= ROLES & {value.strip().lower()}
+        elif name in ("class", "id"):
+            words |= _words(value)
     unlikely, likely = words & _UNLIKELY, words & _LIKELY
-    if unlikely and tag not in ("article", "main") and not (likely & {"article", "main"}):
-        return True, -1
-    return False, bool(likely) - bool(unlikely)
+    if tag not in ("article", "main") and not (likely & {"article", "main"}):
+        doubts |= unlikely
+    return False, bool(likely) - bool(unlikely or doubts), frozenset(doubts)
+
+
+def _without_parts(blocks: list[Block]) -> list[Block]:
+    """The blocks without those that are named as another part of the page.
+
+    A word tells nothing on a page where its blocks hold most of the text, nor does any when
+    hardly a text is left. Comments, adverts and notices may be longer than the article: their
+    words count until nothing else is there."""
+    if not any(b.doubts for b in blocks):
+        return blocks
+    within: dict[int, frozenset[str]] = {}
+    held: dict[str, int] = {}
+    texts: list[tuple[int, frozenset[str]]] = []
+    whole = foreign = 0
+    for block in blocks:
+        words = within[id(block.parent)] if block.parent is not None else _NONE
+        if not block.doubts <= words:
+            words |= block.doubts
+        within[id(block)] = words
+        text = block.own_length - block.linked
+        if block.own_length < LEAST_PARAGRAPH or _HEADING.fullmatch(block.tag):
+            continue
+        if words & _FOREIGN:
+            foreign += text
+            continue
+        whole += text
+        texts.append((text, words))
+        for word in words:
+            held[word] = held.get(word, 0) + text
+    mute = {word for word, text in held.items() if 2 * text > whole}
+    left = sum(text for text, words in texts if words <= mute)
+    if whole < LEAST_TEXT <= foreign:
+        mute = _UNLIKELY | ROLES | PARTS
+    elif left < LEAST_TEXT <= whole:
+        mute = (_UNLIKELY | ROLES | PARTS) - _FOREIGN
+    gone: set[int] = set()
+    for block in blocks:
+        if id(block.parent) in gone or not block.doubts <= mute:
+            gone.add(id(block))
+    if not gone:
+        return blocks
+    kept = [b for b in blocks if id(b) not in gone]
+    for block in kept:
+        block.content = [" " if isinstance(c, Block) and id(c) in gone else c for c in block.content]
+    return kept
 
 
 def _pop_to(stack: list[tuple[str, Block, bool, bool]], at: int) -> None:
@@ -180,16 +259,16 @@ def parse(page: str) -> list[Block]:
         attributes = attributes or attributes2 or ""
         if attributes.endswith("/") and tag in ("svg", "path", "use"):
             continue
-        gone, likely = (True, 0) if out else _judge(tag, attributes)
+        gone, likely, doubts = (True, 0, _NONE) if out else _judge(tag, attributes)
         if tag == "header" and not gone:
             gone = not any(name in ("article", "main") for name, *_ in stack)
         inner = block
         if tag in BLOCKS and not gone:
-            inner = Block(tag, block, likely)
+            inner = Block(tag, block, likely, doubts)
             block.content.append(inner)
             blocks.append(inner)
         stack.append((tag, inner, gone, linked or tag == "a"))
-    return blocks
+    return _without_parts(blocks)
 
 
 def score(blocks: list[Block]) -> None:
@@ -220,7 +299,7 @@ def link_density(block: Block) -> float:
 
 
 def _best(blocks: list[Block]) -> Block | None:
-    held = [b for b in blocks if b.tag not in PARAGRAPHS and not re.fullmatch("h[1-6]", b.tag) and b.length]
+    held = [b for b in blocks if b.tag not in PARAGRAPHS and not _HEADING.fullmatch(b.tag) and b.length]
     return max(held, key=lambda b: b.score * (1 - link_density(b)), default=None)
 
 

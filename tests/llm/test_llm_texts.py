@@ -35,6 +35,31 @@ def test_main_text(page, text):
     assert html_extract.main_text(page) == text
 
 
+TEXT = " ".join(LINES)
+# Names that do not part an article from its page, and some that do.
+NAMED = [
+    (f'<body>{MENU}<div class="elementor-widget elementor-widget-text-editor">{BODY}</div><footer>foot, er</footer></body>', TEXT),
+    ("<body><div class='page'>" + "".join(f"<div class='elementor-widget'><p>{x}</p></div>" for x in LINES) + "</div></body>", TEXT),
+    (f'<body><div class="content has-sidebar">{BODY}</div><div class="sidebar"><p>{LINES[0]}</p></div></body>', TEXT),
+    (f"<body><div class='content comments-open'>{BODY}</div><div class='comments'>{3 * BODY}</div></body>", TEXT),
+    (f"<body><div class='content'>{BODY}</div><div id='cookieNotice'>{3 * BODY}</div></body>", TEXT),
+    (f"<body><div class='comment'>{BODY}</div></body>", TEXT),
+    (f"<body><form action='x'>{MENU}<div id='content'>{BODY}</div><select><option>one</select></form></body>", TEXT),
+    (f"<article>{BODY}<pre><span class='token comment'># note</span> code <i id='ad'>b</i></pre></article>", f"{TEXT} # note code b"),
+    (f"<article>{BODY}<p><math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math></p></article>", f"{TEXT} x=1"),
+    (f"<article>{BODY}<p>Read <a title='the hidden cost' data-id='ad'>more</a> on</p></article>", f"{TEXT} Read more on"),
+    (f"<article>{BODY}<p alt=\"x display:none y\">Shown</p><p hidden>a</p><p HIDDEN=''>b</p><i aria-hidden=true>c</i></article>", f"{TEXT} Shown"),
+    (f"<article>{BODY}<div class='Sidebar'>a</div><div class='sideBar'>b</div><div id='relatedLinks'>c</div><div class='ADBanner'>d</div></article>", TEXT),
+    (f"<article>{BODY}<div class='Loads'>a</div><div class='Bad'>b</div><p class='Cadé'>c</p></article>", f"{TEXT} a b c"),
+    (f"<article>{BODY}one<div class='ad'>x</div>two</article>", f"{TEXT} one two"),
+]
+
+
+@pytest.mark.parametrize("page, text", NAMED)
+def test_main_text_of_named_blocks(page, text):
+    assert html_extract.main_text(page) == text
+
+
 def test_pages_query(spark, data):
     pages = spark.createDataFrame([(1, "u", PAGES[0][0], "x"), (1, "u", PAGES[0][0], "x"), (None, None, None, "y")], "page_id long, url string, html string, text string")
     found = html_extract.extract(pages).collect()
