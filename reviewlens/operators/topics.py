@@ -1,8 +1,8 @@
 """Topics of reviews: fitting, labels, similarity, merging and positions.
 
-A topic model here is a list of centres in a vector space. Reviews with text only get vectors
-by hashing their words, so no vocabulary has to fit anywhere. What comes to the driver is one
-centre per topic.
+A topic model here is a list of centres in a vector space. Reviews with text only get sparse
+vectors with one dimension per term of a counted vocabulary. What comes to the driver is that
+vocabulary, whose length is checked, one centre per topic and two axes.
 """
 
 from __future__ import annotations
@@ -12,12 +12,14 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer
+from pyspark.ml.feature import IDF, PCA, CountVectorizerModel, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,23 +32,37 @@ from . import nested, ordering, sizes
 
 OUTLIER = -1
 OUTLIER_DEVIATIONS = 3.0
+VOCABULARY = 200_000
+# Up to so many dimensions the axes come from a covariance matrix, beyond that from passes over
+# the vectors with a few columns.
+COVARIANCE_COLUMNS = 1_000
+AXIS_COLUMNS, AXIS_PASSES, AXIS_CHANGE = 10, 20, 1e-4
+_BLOCK = 4_096
+_ENTRIES = 200_000
 
 
 # --- fitting ------------------------------------------------------------------------------
 
 
-def text_vectorizer(df: DataFrame, tokens: str, size: int = 256) -> PipelineModel:
-    """Hashed word counts, weighted by rarity, of unit length."""
-    stages = [
-        HashingTF(inputCol=tokens, outputCol="_tf", numFeatures=size),
-        IDF(inputCol="_tf", outputCol="_idf"),
-        Normalizer(inputCol="_idf", outputCol="_unit"),
-    ]
-    return Pipeline(stages=stages).fit(df)
+def text_vectorizer(df: DataFrame, terms: str, vocabulary: Sequence[str]) -> PipelineModel:
+    """Counts of the vocabulary's terms, a dimension each, weighted by rarity, of unit length."""
+    # A vocabulary without terms gives the same vector to all rows; no term is a single space.
+    counts = CountVectorizerModel.from_vocabulary(list(vocabulary) or [" "], inputCol=terms, outputCol="_tf")
+    stages = [IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="_unit")]
+    rest = Pipeline(stages=stages).fit(counts.transform(df))
+    return PipelineModel([counts, *rest.stages])
 
 
-def add_text_vectors(df: DataFrame, tokens: str, model: PipelineModel, target: str = "vector") -> DataFrame:
-    return model.transform(df).withColumn(target, vector_to_array("_unit")).drop("_tf", "_idf", "_unit")
+def add_text_vectors(df: DataFrame, terms: str, model: PipelineModel, target: str = "vector") -> DataFrame:
+    """Adds sparse vectors."""
+    return model.transform(df).withColumnRenamed("_unit", target).drop("_tf", "_idf")
+
+
+def _features(df: DataFrame, vector: str) -> Column:
+    """A vector column as it is, an array as a vector."""
+    if isinstance(df.schema[vector].dataType, VectorUDT):
+        return F.col(vector)
+    return array_to_vector(F.col(vector).cast("array<double>"))
 
 
 @dataclass
@@ -62,40 +78,135 @@ class TopicModel:
 SCORES = "distance double, probabilities array<double>, x double, y double"
 
 
+@dataclass
+class _Rows:
+    """Vectors of a batch, none of them null: where each row starts, its entries and its length."""
+
+    starts: np.ndarray
+    indices: np.ndarray
+    values: np.ndarray
+    lengths: np.ndarray
+
+    @classmethod
+    def of(cls, vectors: pa.StructArray) -> _Rows:
+        kind, values = vectors.field("type").to_numpy(zero_copy_only=False), vectors.field("values")
+        lengths = pc.list_value_length(values).to_numpy(zero_copy_only=False).astype(np.int64)
+        starts = np.cumsum(lengths) - lengths
+        flat = values.flatten().to_numpy(zero_copy_only=False)
+        # A dense vector has its entries in order.
+        indices = np.arange(len(flat)) - np.repeat(starts, lengths)
+        indices[np.repeat(kind == 0, lengths)] = vectors.field("indices").flatten().to_numpy(zero_copy_only=False)
+        return cls(starts, indices, flat, lengths)
+
+    def pieces(self) -> Iterator[tuple[slice, slice]]:
+        """Rows and their entries, a bounded number of entries at a time or one row."""
+        at = 0
+        while at < len(self.starts):
+            to = max(at + 1, int(np.searchsorted(self.starts + self.lengths, self.starts[at] + _ENTRIES, "right")))
+            yield slice(at, to), slice(int(self.starts[at]), int(self.starts[to - 1] + self.lengths[to - 1]))
+            at = to
+
+    def times(self, matrix: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(self.starts), matrix.shape[1]))
+        for rows, entries in self.pieces():
+            filled = np.flatnonzero(self.lengths[rows])
+            if len(filled):
+                products = matrix[self.indices[entries]] * self.values[entries, None]
+                out[rows.start + filled] = np.add.reduceat(products, self.starts[rows][filled] - entries.start)
+        return out
+
+    def transposed_times(self, columns: np.ndarray, size: int) -> np.ndarray:
+        out = np.zeros((size, columns.shape[1]))
+        for rows, entries in self.pieces():
+            weights = np.repeat(columns[rows], self.lengths[rows], axis=0) * self.values[entries, None]
+            for i in range(columns.shape[1]):
+                out[:, i] += np.bincount(self.indices[entries], weights[:, i], size)
+        return out
+
+
+def _present(vectors: pa.Array) -> tuple[np.ndarray, pa.StructArray]:
+    present = vectors.is_valid()
+    return present.to_numpy(zero_copy_only=False), vectors.filter(present)
+
+
 def _scorer(model: TopicModel):
     """Distance to the nearest centre, topic probabilities and coordinates, by batches."""
-    centres, axes, scale = model.centres, model.axes, model.scale
+    count, scale = len(model.centres), model.scale
+    matrix = np.hstack([model.centres.T, model.axes])
+    norms = (model.centres**2).sum(axis=1)
 
-    @F.pandas_udf(SCORES)
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        norms = (centres**2).sum(axis=1)
+    @F.arrow_udf(SCORES)
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for every in batches:
-            present = every.notna().to_numpy()
-            vectors = every[present]
-            v = np.stack(vectors.to_numpy()).astype(float) if len(vectors) else np.zeros((0, centres.shape[1]))
-            squared = np.maximum((v**2).sum(axis=1)[:, None] - 2 * v @ centres.T + norms, 0.0)
+            present, vectors = _present(every)
+            rows = _Rows.of(vectors)
+            products = rows.times(matrix)
+            own = np.bincount(np.repeat(np.arange(len(rows.starts)), rows.lengths), rows.values**2, len(rows.starts))
+            squared = np.maximum(own[:, None] - 2 * products[:, :count] + norms, 0.0)
             logits = -squared / scale
             weights = np.exp(logits - logits.max(axis=1, keepdims=True))
             weights /= weights.sum(axis=1, keepdims=True)
-            placed = v @ axes
-            scored = pd.DataFrame(
-                {"distance": np.sqrt(squared.min(axis=1)), "probabilities": list(weights), "x": placed[:, 0], "y": placed[:, 1]},
-                index=vectors.index,
-            )
+            shares = pa.ListArray.from_arrays(pa.array(np.arange(len(weights) + 1) * count, pa.int32()), pa.array(weights.ravel()))
+            found = [pa.array(np.sqrt(squared.min(axis=1))), shares, pa.array(products[:, count].copy()), pa.array(products[:, count + 1].copy())]
             # A row without a vector has no scores.
-            yield scored.reindex(every.index).astype({"probabilities": object}).where(lambda d: d.notna(), None)
+            place = pa.array(np.cumsum(present) - 1, mask=~present)
+            yield pa.StructArray.from_arrays([f.take(place) for f in found], ["distance", "probabilities", "x", "y"])
 
     return score
 
 
+def _covariance_times(points: DataFrame, mean: np.ndarray, n: int, columns: np.ndarray) -> np.ndarray:
+    """The covariance matrix of `features` times a few columns, in one pass; sums are sent in blocks."""
+    size, width = columns.shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((size, width))
+        for batch in batches:
+            rows = _Rows.of(batch.column(0))
+            total += rows.transposed_times(rows.times(columns), size)
+        flat = np.concatenate([total.ravel(), np.zeros(-total.size % _BLOCK)])
+        blocks = len(flat) // _BLOCK
+        sums = pa.ListArray.from_arrays(pa.array(np.arange(blocks + 1) * _BLOCK, pa.int32()), pa.array(flat))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(blocks)), sums], ["block", "sums"])
+
+    parts = points.select("features").mapInArrow(run, "block long, sums array<double>")
+    added = parts.groupBy("block").agg(Summarizer.metrics("sum").summary(array_to_vector("sums")).alias("s"))
+    rows = sorted(added.select("block", "s.sum").collect())
+    flat = np.concatenate([r["sum"].toArray() for r in rows])[: size * width]
+    return flat.reshape(size, width) / n - np.outer(mean, mean @ columns)
+
+
+def principal_axes(points: DataFrame, size: int, seed: int = 42) -> np.ndarray:
+    """The two leading principal components of `features`, a column each.
+
+    Beyond `COVARIANCE_COLUMNS` dimensions the covariance matrix is never made: a few columns are
+    multiplied by it, pass by pass, until the leading variances settle."""
+    if size <= COVARIANCE_COLUMNS:
+        return PCA(k=2, inputCol="features", outputCol="_xy").fit(points).pc.toArray()
+    known = points.agg(F.count(F.lit(1)).alias("n"), Summarizer.metrics("mean").summary(F.col("features")).alias("s")).first()
+    mean, n = known["s"]["mean"].toArray(), known["n"]
+    columns = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, AXIS_COLUMNS)))[0]
+    before = np.zeros(2)
+    for _ in range(AXIS_PASSES):
+        product = _covariance_times(points, mean, n, columns)
+        small = columns.T @ product
+        variances, turned = np.linalg.eigh((small + small.T) / 2)
+        axes = columns @ turned[:, :-3:-1]
+        leading = variances[:-3:-1]
+        if np.abs(leading - before).max() <= AXIS_CHANGE * max(leading[0], 1e-300):
+            break
+        before = leading
+        columns = np.linalg.qr(product)[0]
+    # The sign is free: the largest entry of an axis is positive.
+    return axes * np.sign(axes[np.abs(axes).argmax(axis=0), [0, 1]])
+
+
 def fit_topics(df: DataFrame, vector: str, topics: int, seed: int = 42, min_size: int = 2) -> TopicModel:
     """Cluster the vectors; clusters below `min_size` are left out of the model.
 
     The vectors are kept (memory, then disk) while the passes over them run.
     """
-    points = df.where(F.col(vector).isNotNull()).select(
-        F.col(vector).cast("array<double>").alias("_p"), array_to_vector(F.col(vector).cast("array<double>")).alias("features")
-    )
+    points = df.where(F.col(vector).isNotNull()).select(_features(df, vector).alias("features"))
     points.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         # The row solver also copes with fewer distinct vectors than topics.
@@ -106,9 +217,9 @@ def fit_topics(df: DataFrame, vector: str, topics: int, seed: int = 42, min_size
         centres = centres[large or [int(members.argmax())]]
         axes = np.zeros((centres.shape[1], 2))
         if centres.shape[1] >= 2 and members.sum() >= 2:
-            axes = PCA(k=2, inputCol="features", outputCol="_xy").fit(points).pc.toArray()
+            axes = principal_axes(points, centres.shape[1], seed)
         model = TopicModel(centres, 1.0, float("inf"), axes)
-        spread = points.select(_scorer(model)("_p")["distance"].alias("d")).agg(
+        spread = points.select(_scorer(model)("features")["distance"].alias("d")).agg(
             F.avg("d").alias("mean"), F.stddev_pop("d").alias("deviation"), F.avg(F.col("d") * F.col("d")).alias("square")
         ).first()
     finally:
@@ -121,7 +232,7 @@ def fit_topics(df: DataFrame, vector: str, topics: int, seed: int = 42, min_size
 def assign_topics(df: DataFrame, vector: str, model: TopicModel) -> DataFrame:
     """Add Topic, TopicProbability and coordinates. A review farther from every centre than the
     mean distance plus three deviations is an outlier, topic -1."""
-    scored = df.withColumn("_s", _scorer(model)(F.col(vector).cast("array<double>")))
+    scored = df.withColumn("_s", _scorer(model)(F.when(F.col(vector).isNotNull(), _features(df, vector))))
     best = F.array_position(F.col("_s.probabilities"), F.array_max("_s.probabilities")) - 1
     return scored.withColumns(
         {

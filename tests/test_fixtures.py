@@ -360,6 +360,56 @@ def test_topic_model_round_trip(spark, tmp_path):
     assert len({r.Topic for r in first if r.Topic >= 0}) == 3
 
 
+def test_words_of_one_bucket_are_apart(spark):
+    """Two groups of comments whose words meet in the same 256 hash buckets are two topics."""
+    from pyspark.ml.feature import HashingTF
+
+    index, found = HashingTF(numFeatures=256).indexOf, {}
+    for i in range(4_000):
+        found.setdefault(index(f"w{i}"), []).append(f"w{i}")
+    pairs = [words[:2] for words in list(found.values())[:12]]
+    rows = [(i, " ".join(pairs[(i // 2 + j) % 12][i % 2] for j in range(6))) for i in range(96)]
+    modelled, model = stages.model_segment(spark.createDataFrame(rows, "Id int, cleaned_Comment string"), 2, None)
+    topic = {r["Id"]: r["Topic"] for r in modelled.collect()}
+    assert len(topic) == 96 and {topic[i] for i in range(0, 96, 2)} != {topic[i] for i in range(1, 96, 2)}
+    assert all(topic[i] in (topic[i % 2], topics.OUTLIER) for i in range(96))
+    assert model.centres.shape[1] > 24
+
+
+@pytest.mark.parametrize("comments", [["same words here"] * 5, ["one comment"], [None, "", None], [None, "pain relief", "pain", "relief pain", ""]])
+def test_segment_without_usual_terms(spark, comments):
+    df = spark.createDataFrame(list(enumerate(comments)), "Id int, cleaned_Comment string")
+    for merge_at in (None, 0.9):
+        rows = stages.model_segment(df, 3, merge_at, plain=merge_at is None)[0].collect()
+        assert sorted(r["Id"] for r in rows) == list(range(len(comments)))
+        assert all(sum(r["TopicProbability"]) == pytest.approx(1.0) for r in rows)
+
+
+def test_axes_of_many_dimensions(spark):
+    rng = np.random.default_rng(3)
+    x = (rng.random((120, 1_500)) < 0.02) * rng.random((120, 1_500))
+    x[:, :40] += np.outer(np.arange(120) % 2, np.ones(40)) * 2
+    x[:, 40:60] += np.outer(np.arange(120) % 3 == 0, np.ones(20)) * 2
+    from pyspark.ml.linalg import Vectors
+
+    rows = [(i, Vectors.sparse(1_500, {int(j): float(v[j]) for j in np.flatnonzero(v)})) for i, v in enumerate(x)]
+    sparse = spark.createDataFrame([*rows, (120, None)], ["k", "v"]).repartition(5)
+    dense = spark.createDataFrame([*((i, v.tolist()) for i, v in enumerate(x)), (120, None)], "k long, v array<double>")
+    axes = topics.principal_axes(sparse.dropna().select(F.col("v").alias("features")), 1_500)
+    expected = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)[2][:2].T
+    assert np.abs((axes * expected).sum(axis=0)) == pytest.approx([1, 1], abs=1e-3)
+    model = topics.TopicModel(x[:4], 0.7, 1e9, axes)
+    first, second = (topics.assign_topics(df, "v", model).drop("v").orderBy("k").collect() for df in (sparse, dense))
+    for one_row, other, v in zip(first, second, [*x, None]):
+        if v is None:
+            assert one_row.asDict() == other.asDict() == {"k": 120, "Topic": None, "TopicProbability": None, "UMAP_x": None, "UMAP_y": None}
+            continue
+        weights = np.exp(-((v - x[:4]) ** 2).sum(axis=1) / 0.7 + ((v - x[:4]) ** 2).sum(axis=1).min() / 0.7)
+        for row in (one_row, other):
+            assert row["TopicProbability"] == pytest.approx(weights / weights.sum(), abs=1e-9)
+            assert (row["UMAP_x"], row["UMAP_y"]) == pytest.approx(tuple(v @ axes))
+
+
 def test_merged_topics_agree(spark):
     centres = np.array([[1, 0, 0], [0.99, 0.1, 0], [0, 1, 0], [0, 0.99, 0.1], [0, 0, 1.0]])
     table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(centres)], "topic int, vector array<double>")
