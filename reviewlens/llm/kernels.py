@@ -111,8 +111,8 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
     """Slices of a batch with about `limit` bytes of text; a longer text is a slice of its own."""
     texts = batch.column(column)
     sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64)
-    part = (np.cumsum(sizes) - sizes) // limit
-    borders = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    part, longer = (np.cumsum(sizes) - sizes) // limit, sizes > limit
+    borders = [0, *(np.flatnonzero((np.diff(part) > 0) | longer[1:] | longer[:-1]) + 1).tolist(), batch.num_rows]
     for a, b in zip(borders[:-1], borders[1:], strict=True):
         if b > a:
             piece = batch.slice(a, b - a)

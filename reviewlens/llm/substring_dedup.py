@@ -41,6 +41,8 @@ def anchor_runs(texts: k.Texts, length: int) -> tuple[np.ndarray, ...]:
     """Text, begin, number of windows, anchor hash and hash of all bytes of every run."""
     size = max(length // 3, 1)
     window = length - size + 1
+    if len(texts.data) > 1 << _PLACE_BITS:
+        raise ValueError(f"{len(texts.data)} bytes at once; a place has {_PLACE_BITS} bits")
     running = texts.running()
     places = np.arange(max(len(texts.data) - size + 1, 0))
     if len(places) < window:
@@ -71,21 +73,21 @@ def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
 
-def _segments(data: bytes, length: int) -> Iterator[tuple[int, bytes]]:
+def _segments(data: bytes, length: int, segment: int) -> Iterator[tuple[int, bytes]]:
     """A very long text in overlapping parts, so that every window is in one of them."""
-    for begin in range(0, max(len(data) - length + 1, 1), SEGMENT):
-        yield begin, data[begin : begin + SEGMENT + length - 1]
+    for begin in range(0, max(len(data) - length + 1, 1), segment):
+        yield begin, data[begin : begin + segment + length - 1]
 
 
-def _runs(length: int):
+def _runs(length: int, segment: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, texts in k.chunks(batch, "text", TEXT_BYTES):
+            for rows, texts in k.chunks(batch, "text", min(TEXT_BYTES, segment)):
                 numbers = rows.column("row").to_numpy()
                 parts = [(numbers, 0, texts)]
-                if len(texts.data) > SEGMENT and texts.n == 1:
+                if len(texts.data) > segment and texts.n == 1:
                     whole = texts.data.tobytes()
-                    parts = [(numbers, b, k.Texts(pa.array([p], pa.large_binary()))) for b, p in _segments(whole, length)]
+                    parts = [(numbers, b, k.Texts(pa.array([p], pa.large_binary()))) for b, p in _segments(whole, length, segment)]
                 for owners, shift, part in parts:
                     of, low, windows, anchor, bytes_ = anchor_runs(part, length)
                     yield pa.RecordBatch.from_arrays(
@@ -172,7 +174,7 @@ def _window_hashes(length: int):
 
 def covered_ranges(docs: DataFrame, length: int = LENGTH, runs_per_anchor: int = RUNS_PER_ANCHOR) -> DataFrame:
     """`(row, begin, end)`: byte ranges to remove, possibly overlapping, of the written `docs` (row, text)."""
-    runs = written(docs.mapInArrow(_runs(length), "row long, span long, anchor long, bytes long"), "runs")
+    runs = written(docs.mapInArrow(_runs(length, SEGMENT), "row long, span long, anchor long, bytes long"), "runs")
     often = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = written(attach(runs, often, "anchor", "n", runs.count()).drop("n"), "shared")
     total = shared.count()

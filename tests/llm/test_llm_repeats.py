@@ -5,9 +5,10 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from reviewlens.llm import components, near_dedup, substring_dedup, suffixes
+from reviewlens.llm import components, kernels, near_dedup, substring_dedup, suffixes
 
 
 def shingles(text, n=5):
@@ -181,6 +182,24 @@ def test_removed_bytes_of_periodic_and_cut_texts(spark, monkeypatch):
     assert left[6] == "" and left[1] == "x" * 150
 
 
+def test_long_text_behind_a_short_one_is_cut(monkeypatch):
+    r = random.Random(4)
+    texts = ["short one", "".join(r.choice("ab ") for _ in range(5_000)), "x" * 300, None, "y" * 1_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5), pa.int64()), pa.array(texts)], ["row", "text"])
+    assert [rows.num_rows for rows, _ in kernels.chunks(batch, "text", 1_000)] == [1, 1, 3]
+    seen, anchor_runs = [], substring_dedup.anchor_runs
+    monkeypatch.setattr(substring_dedup, "anchor_runs", lambda t, n: seen.append(len(t.data)) or anchor_runs(t, n))
+    starts = Counter()
+    for part in substring_dedup._runs(200, 1_000)(iter([batch])):
+        for row, span in zip(part["row"].to_pylist(), part["span"].to_pylist()):
+            starts.update((row, (span >> 16) + i) for i in range(span & 0xFFFF))
+    assert starts == Counter((i, at) for i, t in enumerate(texts) for at in range(len(t or "") - 199))
+    assert max(seen) <= 1_300
+    monkeypatch.setattr(substring_dedup, "_PLACE_BITS", 10)
+    with pytest.raises(ValueError, match="10 bits"):
+        anchor_runs(kernels.Texts(pa.array(["a" * 1_025])), 200)
+
+
 def test_removal_of_empty_table(empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
