@@ -385,6 +385,16 @@ def test_segment_without_usual_terms(spark, comments):
         assert all(sum(r["TopicProbability"]) == pytest.approx(1.0) for r in rows)
 
 
+def test_rows_without_segment_are_returned(spark, tmp_path):
+    rows = [(i, "en", f"pain relief w{i % 3}") for i in range(12)] + [(12, None, "pain"), (13, "", "relief"), (14, None, None)]
+    df = spark.createDataFrame(rows, "Id int, family string, cleaned_Comment string")
+    found = stages.model_segments(df, str(tmp_path / "a"), ("family",), topic_count=2).collect()
+    assert sorted((r["Id"], r["family"] or "", r["family"] is None) for r in found) == [(i, f or "", f is None) for i, f, _ in rows]
+    assert all((r["Topic"] is None) == (r["TopicProbability"] is None) == (not r["family"]) for r in found)
+    alone = stages.model_segments(df.where("Id > 11"), str(tmp_path / "b"), ("family",), topic_count=2)
+    assert sorted(alone.columns) == sorted(found[0].asDict()) and alone.where("Topic IS NULL").count() == 3
+
+
 def test_axes_of_many_dimensions(spark):
     rng = np.random.default_rng(3)
     x = (rng.random((120, 1_500)) < 0.02) * rng.random((120, 1_500))
