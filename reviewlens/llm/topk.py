@@ -6,7 +6,7 @@ their distance, so (|q|^2 + |c|^2 - bound^2) / 2 is an upper bound of their inne
 origin as a pivot it is never above |q| |c|. Candidates are scored from the highest bound down until
 no bound left reaches the k-th score found, equal ones included, as a tie may go to a smaller id.
 
-Rows lie in the cell of their nearest pivot, and a cell is cut into blocks of bounded size, however
+Rows lie in the cell of their nearest pivot but the origin, and a cell is cut into blocks of bounded size, however
 many rows it has. Queries are dealt out in bundles of bounded size: first each to one block of the
 cell with its highest bound, which gives a k-th score; then, with that score, to those blocks whose
 cell may still hold better rows. One task sees one block and one bundle. The driver sees the pivots,
@@ -65,7 +65,9 @@ def _measure(pivots: np.ndarray):
             points = _real(batch.column("_v"), pivots.shape[1])
             far = np.stack([np.sqrt(((points - p) ** 2).sum(axis=1)) for p in pivots], axis=1)
             table = pa.ListArray.from_arrays(pa.array(np.arange(len(far) + 1) * far.shape[1], pa.int32()), pa.array(far.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, table, pa.array(far.argmin(axis=1), pa.int32())], [*batch.schema.names, "_far", "_cell"])
+            # The origin is as near to all rows where they are of one length, and so parts none of them.
+            cell = far[:, 1:].argmin(axis=1) + 1 if far.shape[1] > 1 else np.zeros(len(far))
+            yield pa.RecordBatch.from_arrays([*batch.columns, table, pa.array(cell.astype(np.int32))], [*batch.schema.names, "_far", "_cell"])
 
     return run
 
