@@ -1,8 +1,7 @@
 """Topics of reviews: fitting, labels, similarity, merging and positions.
 
-A topic model here is a list of centres in a vector space. Reviews with text only get sparse
-vectors with one dimension per term of a counted vocabulary. What comes to the driver is that
-vocabulary, whose length is checked, one centre per topic and two axes.
+A topic model here is a list of centres in a vector space. What comes to the driver is one centre
+per topic and two axes. Models of reviews with text only are in `segments`.
 """
 
 from __future__ import annotations
@@ -15,9 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import IDF, PCA, CountVectorizerModel, Normalizer
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.stat import Summarizer
@@ -32,7 +30,6 @@ from . import nested, ordering, sizes
 
 OUTLIER = -1
 OUTLIER_DEVIATIONS = 3.0
-VOCABULARY = 200_000
 # Up to so many dimensions the axes come from a covariance matrix, beyond that from passes over
 # the vectors with a few columns.
 COVARIANCE_COLUMNS = 1_000
@@ -44,20 +41,6 @@ _ENTRIES = 200_000
 # --- fitting ------------------------------------------------------------------------------
 
 
-def text_vectorizer(df: DataFrame, terms: str, vocabulary: Sequence[str]) -> PipelineModel:
-    """Counts of the vocabulary's terms, a dimension each, weighted by rarity, of unit length."""
-    # A vocabulary without terms gives the same vector to all rows; no term is a single space.
-    counts = CountVectorizerModel.from_vocabulary(list(vocabulary) or [" "], inputCol=terms, outputCol="_tf")
-    stages = [IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="_unit")]
-    rest = Pipeline(stages=stages).fit(counts.transform(df))
-    return PipelineModel([counts, *rest.stages])
-
-
-def add_text_vectors(df: DataFrame, terms: str, model: PipelineModel, target: str = "vector") -> DataFrame:
-    """Adds sparse vectors."""
-    return model.transform(df).withColumnRenamed("_unit", target).drop("_tf", "_idf")
-
-
 def _features(df: DataFrame, vector: str) -> Column:
     """A vector column as it is, an array as a vector."""
     if isinstance(df.schema[vector].dataType, VectorUDT):

@@ -380,7 +380,7 @@ def test_words_of_one_bucket_are_apart(spark):
 def test_segment_without_usual_terms(spark, comments):
     df = spark.createDataFrame(list(enumerate(comments)), "Id int, cleaned_Comment string")
     for merge_at in (None, 0.9):
-        rows = stages.model_segment(df, 3, merge_at, plain=merge_at is None)[0].collect()
+        rows = stages.model_segment(df, 3, merge_at)[0].collect()
         assert sorted(r["Id"] for r in rows) == list(range(len(comments)))
         assert all(sum(r["TopicProbability"]) == pytest.approx(1.0) for r in rows)
 
