@@ -248,7 +248,7 @@ def segment_fit(t: Source) -> DataFrame:
     """One topic model per language, the words of the documents as comments."""
     rows = t.documents.select(
         F.col("doc_id").alias("Id"), F.col("lang").alias("family"),
-        F.array_join(x.tokens(x.letters_only("text")), " ").alias("cleaned_Comment"),
+        x.letters_only("text").alias("cleaned_Comment"),
     )
     modelled = stages.model_segments(rows, scratch_path(t.spark, "models"), segment=("family",), topic_count=6, unmerged=("de",))
     listed = F.size("TopicsList") == F.size(F.filter("TopicProbability", lambda p: p >= dims.TOPIC_PROBABILITY_CUTOFF))
