@@ -23,10 +23,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_of, written
+from .kernels import chunks
 from .tokens import encoder
 
 CAPACITY = 2048
 CLOSING_ID = 0
+CHUNK_BYTES = 2 << 20
 FIT_STEPS = 200
 ROWS_PER_BUCKET = 200_000
 LEAST_BUCKETS = 16
@@ -166,23 +168,22 @@ def places(groups: list[tuple[tuple[int, ...], int]], capacity: int) -> Places:
 def _pieces(capacity: int, path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
-        closing = np.array([CLOSING_ID], "<u4").tobytes()
         for batch in batches:
-            source, piece, length, crc = [], [], [], []
-            for i, text in enumerate(batch.column("text")):
-                ids = encode(text.as_py()) + closing
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    source.append(i)
-                    piece.append(k)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-            piece = np.array(piece, np.int64)
-            columns = [
-                batch.column("doc_id").take(pa.array(source, pa.int64())), pa.array(piece, pa.int32()),
-                pa.array(piece * capacity), pa.array(length, pa.int64()), pa.array(crc, pa.int64()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
+            for part, _ in chunks(batch, "text", CHUNK_BYTES):
+                ids, begins = encode(part.column("text"))
+                # The closing id is 0, which `encode` puts behind every text.
+                sizes = np.diff(begins)
+                count = -(-sizes // capacity)
+                source = np.repeat(np.arange(len(sizes)), count)
+                piece = np.arange(len(source)) - np.repeat(np.cumsum(count) - count, count)
+                start = piece * capacity
+                length = np.minimum(sizes[source] - start, capacity)
+                at = begins[source] + start
+                crc = [zlib.crc32(ids[a:b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
+                columns = [
+                    part.column("doc_id").take(pa.array(source)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 

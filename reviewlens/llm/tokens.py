@@ -1,34 +1,35 @@
-"""Token ids of whole texts by the `word_bpe` tokenizer file, with words looked up once.
-
-The tokenizer drops white space and works word by word, so the ids of a text are those of its
-words. Words are kept in a table of bounded size; one not seen yet is cut as the file's own
-pattern does and goes through the file's model. Texts with characters where the short way could
-differ (anything beyond Latin, control separators, special tokens) go through the tokenizer whole.
+"""Token ids of whole texts by the `word_bpe` tokenizer file, with pieces of words looked up once.
+
+The tokenizer writes a text in lower case, cuts it by a pattern, drops white space and cuts each part on its
+own, so the ids of a text are those of its parts. The parts of some texts are found together by Arrow's
+functions, and the different ones looked up once each; what was looked up is kept
+in a table of bounded size, and a part not seen yet goes through the file's model. Texts with
+characters where this way could differ (anything beyond Latin, letters whose lower case is beyond it, control
+separators, special tokens) go through the tokenizer whole.
 """
 
 from __future__ import annotations
 
-import re
+from array import array
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
-KEPT_WORDS = 120_000
-KEPT_PRE_TOKENS = 240_000
-LONG_WORD = 64
+KEPT_PARTS = 240_000
+LONG_PART = 64
 
-# The file's pre-token pattern, with its classes written out up to U+024F.
+# The file's pattern.
 
-_LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
-_NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
-_SPACE = "\\t-\\r \x85\xa0"
-_PRE_TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
+_PART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 # End of the fixed values.
 
-_OTHER = re.compile("[^\x00-ɏ]|[\x1c-\x1f]|<\\|(?:startoftext|endoftext)\\|>")
+# Beyond U+024F, or a letter whose lower case is: there the tokenizer's own functions decide.
+_OTHER = r"[^\x00-\x{24f}]|[\x{130}\x{23a}\x{23e}]|[\x1c-\x1f]|<\|(?:startoftext|endoftext)\|>"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -39,41 +40,68 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Table(dict):
-    """A look-up that makes missing entries and forgets all when it is full."""
+    """A look-up that makes missing entries. When it is full it becomes the older half and a new one
+    begins; what is asked for again moves over, so frequent entries stay."""
 
     def __init__(self, make, size: int):
         super().__init__()
-        self.make, self.size = make, size
+        self.make, self.size, self.older = make, size // 2, {}
 
     def __missing__(self, key: str) -> bytes:
-        value = self.make(key)
-        if len(key) <= LONG_WORD:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= LONG_PART:
             if len(self) >= self.size:
+                self.older = dict(self)
                 self.clear()
             self[key] = value
         return value
 
 
 class Encoder:
-    """Ids as little-endian unsigned 32-bit bytes."""
+    """Ids as little-endian unsigned 32-bit numbers."""
 
     def __init__(self, path: str | None = None):
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
         self.letters = _byte_letters()
-        self.pre_tokens = _Table(self._model, KEPT_PRE_TOKENS)
-        self.words = _Table(self._word, KEPT_WORDS)
-
-    def _model(self, pre_token: str) -> bytes:
-        spelled = pre_token.encode().decode("latin1").translate(self.letters)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], "<u4").tobytes()
-
-    def _word(self, word: str) -> bytes:
-        return b"".join(map(self.pre_tokens.__getitem__, _PRE_TOKEN.findall(word.lower())))
-
-    def encode(self, text: str) -> bytes:
-        if _OTHER.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.words.__getitem__, text.split()))
+        self.parts = _Table(self._model, KEPT_PARTS)
+
+    def _model(self, part: str) -> bytes:
+        spelled = part if part.isascii() and part.isprintable() else part.encode().decode("latin1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, each followed by a 0, and where each text begins; one more at the end."""
+        whole = pc.match_substring_regex(texts, _OTHER).to_numpy(zero_copy_only=False).astype(bool)
+        marked = pc.replace_substring_regex(pc.utf8_lower(pc.if_else(pa.array(whole), "", texts)), _PART, r"\0 ")
+        lists = pc.utf8_split_whitespace(marked)
+        coded = lists.flatten().dictionary_encode()
+        part, of = coded.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+        # Different parts, the ids of each end to end; white space at an end is an empty part without ids.
+        known = list(map(self.parts.__getitem__, coded.dictionary.to_pylist()))
+        ids, lengths = np.frombuffer(b"".join(known), "<u4"), np.fromiter(map(len, known), np.int64, len(known)) // 4
+        starts = np.cumsum(lengths) - lengths
+        others = {i: self._whole(texts[i].as_py()) for i in np.flatnonzero(whole).tolist()}
+        each = lengths[part]
+        sizes = np.bincount(of, each, len(texts)).astype(np.int64) + 1
+        for i, own in others.items():
+            sizes[i] += len(own)
+        begins = np.concatenate([[0], np.cumsum(sizes)])
+        out = np.zeros(begins[-1], "<u4")
+        # A part's place: after the parts before it, moved by the closing ids and whole texts before its text.
+        before = np.cumsum(each) - each
+        first = np.searchsorted(of, np.arange(len(texts)))
+        shift = begins[:-1] - np.append(before, each.sum())[first]
+        place = before + shift[of]
+        steps = np.arange(int(each.sum())) - np.repeat(before, each)
+        out[np.repeat(place, each) + steps] = ids[np.repeat(starts[part], each) + steps]
+        for i, own in others.items():
+            out[begins[i] : begins[i] + len(own)] = own
+        return out, begins
 
 
 _encoders: dict[str | None, Encoder] = {}

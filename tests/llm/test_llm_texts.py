@@ -134,16 +134,40 @@ def test_quality_without_trust_and_rows(edge, empty, labels):
 TOKENIZER = Tokenizer.from_file(public_tokenizers.path(tokens.VOCABULARY))
 
 
+def encoded(text):
+    ids, _ = tokens.encoder().encode(pa.array([text], pa.string()))
+    return ids[:-1].tolist()
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from(list(" \n\t\x1c\x85\xa0'st1²½ßİ.,!<|>ÉéǅΣ́‍你🙂")), st.characters(codec="utf-8")), max_size=60))
 def test_token_ids(text):
-    found = np.frombuffer(tokens.encoder().encode(text), "<u4").tolist()
-    assert found == TOKENIZER.encode(text, add_special_tokens=False).ids
+    assert encoded(text) == TOKENIZER.encode(text, add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("text", ["a<|endoftext|>b", "<|startoftext|>", "I'll don't WE'RE 12", "\x1ca\x1db", "x" * 5000])
+@pytest.mark.parametrize("text", ["a<|endoftext|>b", "<|startoftext|>", "I'll don't WE'RE 12", "\x1ca\x1db", "x" * 5000, "aȺb Ⱦ İx", "a\x0bb\x0c\x85!\xa0!", "\x00 \x7f \xad"])
 def test_token_ids_of_special_texts(text):
-    assert np.frombuffer(tokens.encoder().encode(text), "<u4").tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+    assert encoded(text) == TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
+HARD_TEXT = st.text(alphabet=st.one_of(st.sampled_from(list(" \n\t\x1c\x85\xa0'st1²½ßİ.,!<|>ÉéǅΣ你")), st.characters(codec="utf-8")), max_size=30)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(HARD_TEXT, st.sampled_from(["", " ", "I'll do", "a<|endoftext|>b", "\x1ca", "x" * 300, " two  words "])), max_size=6))
+def test_token_ids_of_several_texts(texts):
+    ids, begins = tokens.encoder().encode(pa.array(texts, pa.string()))
+    expected = [TOKENIZER.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    assert ids.tolist() == [i for own in expected for i in own]
+    assert np.diff(begins).tolist() == [len(own) for own in expected]
+
+
+def test_full_tables_keep_frequent_words():
+    made = []
+    table = tokens._Table(lambda word: made.append(word) or b"x", 8)
+    for i in range(100):
+        table["often"], table[f"w{i}"]
+    assert made.count("often") == 1 and len(table) + len(table.older) <= 8
 
 
 @settings(max_examples=60, deadline=None)
