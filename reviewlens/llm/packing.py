@@ -28,7 +28,7 @@ from .tokens import encoder
 
 CAPACITY = 2048
 CLOSING_ID = 0
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 4 << 20
 FIT_STEPS = 200
 ROWS_PER_BUCKET = 200_000
 LEAST_BUCKETS = 16

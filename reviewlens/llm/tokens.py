@@ -80,28 +80,21 @@ class Encoder:
         marked = pc.replace_substring_regex(pc.utf8_lower(pc.if_else(pa.array(whole), "", texts)), _PART, r"\0 ")
         lists = pc.utf8_split_whitespace(marked)
         coded = lists.flatten().dictionary_encode()
-        part, of = coded.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+        part = coded.indices.to_numpy(zero_copy_only=False)
         # Different parts, the ids of each end to end; white space at an end is an empty part without ids.
         known = list(map(self.parts.__getitem__, coded.dictionary.to_pylist()))
-        ids, lengths = np.frombuffer(b"".join(known), "<u4"), np.fromiter(map(len, known), np.int64, len(known)) // 4
-        starts = np.cumsum(lengths) - lengths
-        others = {i: self._whole(texts[i].as_py()) for i in np.flatnonzero(whole).tolist()}
+        ids, lengths = np.frombuffer(b"".join(known), "<u4"), np.fromiter(map(len, known), np.int32, len(known)) // 4
+        starts = np.cumsum(lengths, dtype=np.int32) - lengths
         each = lengths[part]
-        sizes = np.bincount(of, each, len(texts)).astype(np.int64) + 1
-        for i, own in others.items():
-            sizes[i] += len(own)
-        begins = np.concatenate([[0], np.cumsum(sizes)])
-        out = np.zeros(begins[-1], "<u4")
-        # A part's place: after the parts before it, moved by the closing ids and whole texts before its text.
-        before = np.cumsum(each) - each
-        first = np.searchsorted(of, np.arange(len(texts)))
-        shift = begins[:-1] - np.append(before, each.sum())[first]
-        place = before + shift[of]
-        steps = np.arange(int(each.sum())) - np.repeat(before, each)
-        out[np.repeat(place, each) + steps] = ids[np.repeat(starts[part], each) + steps]
-        for i, own in others.items():
-            out[begins[i] : begins[i] + len(own)] = own
-        return out, begins
+        after = np.cumsum(each, dtype=np.int32)
+        flat = ids[np.repeat(starts[part] - after + each, each) + np.arange(after[-1] if len(after) else 0, dtype=np.int32)]
+        # What stands behind the parts of each text: nothing but the closing id, or the ids of a whole text and it.
+        ends = np.append(0, after)[lists.offsets.to_numpy()[1:]]
+        closing = np.zeros(1, "<u4")
+        behind = [np.append(self._whole(texts[i].as_py()), closing) if w else closing for i, w in enumerate(whole.tolist())] if whole.any() else None
+        more = np.array([len(b) for b in behind]) if behind else 1
+        out = np.insert(flat, np.repeat(ends, more), np.concatenate(behind) if behind else 0)
+        return out, np.append(0, ends + np.cumsum(np.broadcast_to(more, len(texts))))
 
 
 _encoders: dict[str | None, Encoder] = {}
