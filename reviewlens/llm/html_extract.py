@@ -2,10 +2,11 @@
 
 A page is read once into a tree of block elements; inline elements only lend their text to the
 block around them. Parts that never belong to an article (menus, scripts, hidden elements) are
-left out while reading. Blocks named as other parts (forms, adverts, comments and the like, by
-element, role, class or id) are left out after it, for each word only if its blocks do not hold
-most of the text of the page; where they do, the word is a weight. Inline elements are not judged
-by names. Every paragraph then passes points for its length and commas to its ancestors, less with distance, and a
+left out while reading. Blocks named as other parts (by element, role, class or id) are left out after it.
+Names of sidebars, footers, comments, adverts, notices and the like hold unless no other text is
+on the page. Names that also wrap whole articles (forms, widgets, dialogs) are a weight in the
+scores where the best container lies in such a block, or takes most of its text from them, and
+hold elsewhere. Inline elements are not judged by names. Every paragraph then passes points for its length and commas to its ancestors, less with distance, and a
 container's points are discounted by the share of its text that is links. The best container,
 or the article element around it, is kept, together with siblings that score near it or are
 plain paragraphs.
@@ -51,6 +52,8 @@ FOREIGN = (
     "ad ads adv advert adverts advertisement advertising adslot adsense comment comments commentlist consent cookie cookies "
     "disqus gdpr outbrain replies respond sponsor sponsored taboola"
 ).split()
+# Of these the ones that pages also wrap their article in.
+WRAPPERS = "alertdialog dialog fieldset form modal overlay popup widget widgets".split()
 # A name with one of these tells how the page is set up, as in has-sidebar or menu-open.
 SETTINGS = "has with no without open opened closed enabled disabled".split()
 LIKELY = "article body content entry main post story text".split()
@@ -62,7 +65,6 @@ CLOSED_BY = {
 # End of the fixed values.
 
 LEAST_PARAGRAPH = 25
-LEAST_TEXT = 140
 SIBLING_SHARE = 0.2
 
 _TOKEN = re.compile(
@@ -75,31 +77,33 @@ _NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 _SPLIT = re.compile(r"[\W_]+")
 _PARTS = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 _HEADING = re.compile("h[1-6]")
-_UNLIKELY, _LIKELY, _FOREIGN, _SETTINGS = frozenset(UNLIKELY), frozenset(LIKELY), frozenset(FOREIGN), frozenset(SETTINGS)
+_UNLIKELY, _LIKELY, _FOREIGN, _SETTINGS, _WRAPPERS = map(frozenset, (UNLIKELY, LIKELY, FOREIGN, SETTINGS, WRAPPERS))
+_STRONG = (_UNLIKELY | ROLES | PARTS) - _WRAPPERS
+_SOLID = BLOCKS | LEFT_OUT
 _NONE: frozenset[str] = frozenset()
 
 
 class Block:
-    __slots__ = ("tag", "parent", "content", "likely", "length", "commas", "linked", "own_length", "own_commas", "score", "doubts")
+    __slots__ = ("tag", "parent", "content", "likely", "length", "commas", "linked", "own_length", "own_commas", "own_linked", "score", "doubts")
 
     def __init__(self, tag: str, parent: Block | None, likely: int, doubts: frozenset[str] = _NONE):
         self.tag, self.parent, self.likely, self.doubts = tag, parent, likely, doubts
         self.content: list[str | Block] = []
-        self.own_length = self.own_commas = self.length = self.commas = self.linked = 0
+        self.own_length = self.own_commas = self.own_linked = self.length = self.commas = self.linked = 0
         self.score = 0.0
 
 
-def _words(value: str) -> set[str]:
-    """The words of a class or id, whole and split at capitals, without names of settings."""
-    words: set[str] = set()
+def _names(value: str) -> list[set[str]]:
+    """The words of each name in a class or id, whole and split at capitals, without names of settings."""
+    names = []
     for name in value.split():
         found: set[str] = set()
         for part in _SPLIT.split(name):
             found.add(part.lower())
             found.update(p.lower() for p in _PARTS.split(part))
         if not found & _SETTINGS:
-            words |= found
-    return words
+            names.append(found)
+    return names
 
 
 def _judge(tag: str, attributes: str) -> tuple[bool, int, frozenset[str]]:
@@ -113,7 +117,7 @@ def _judge(tag: str, attributes: str) -> tuple[bool, int, frozenset[str]]:
     block = tag in BLOCKS
     if not block and not _MAY_HIDE.search(attributes):
         return False, 0, _NONE
-    words: set[str] = set()
+    names: list[set[str]] = []
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
         if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _NOT_SHOWN.search(value):
@@ -123,49 +127,20 @@ def _judge(tag: str, attributes: str) -> tuple[bool, int, frozenset[str]]:
         if name == "role":
             doubts |= ROLES & {value.strip().lower()}
         elif name in ("class", "id"):
-            words |= _words(value)
-    unlikely, likely = words & _UNLIKELY, words & _LIKELY
-    if tag not in ("article", "main") and not (likely & {"article", "main"}):
-        doubts |= unlikely
-    return False, bool(likely) - bool(unlikely or doubts), frozenset(doubts)
+            names += _names(value)
+    unlikely = _UNLIKELY.intersection(*[set().union(*names)])
+    likely = any(name & _LIKELY for name in names)
+    # A name of its own says that this is the article; only what others write is told from it.
+    article = tag in ("article", "main") or any(name & {"article", "main"} and not name & _UNLIKELY for name in names)
+    doubts |= unlikely & _FOREIGN if article else unlikely
+    return False, likely - bool(unlikely or doubts), frozenset(doubts)
 
 
-def _without_parts(blocks: list[Block]) -> list[Block]:
-    """The blocks without those that are named as another part of the page.
-
-    A word tells nothing on a page where its blocks hold most of the text, nor does any when
-    hardly a text is left. Comments, adverts and notices may be longer than the article: their
-    words count until nothing else is there."""
-    if not any(b.doubts for b in blocks):
-        return blocks
-    within: dict[int, frozenset[str]] = {}
-    held: dict[str, int] = {}
-    texts: list[tuple[int, frozenset[str]]] = []
-    whole = foreign = 0
-    for block in blocks:
-        words = within[id(block.parent)] if block.parent is not None else _NONE
-        if not block.doubts <= words:
-            words |= block.doubts
-        within[id(block)] = words
-        text = block.own_length - block.linked
-        if block.own_length < LEAST_PARAGRAPH or _HEADING.fullmatch(block.tag):
-            continue
-        if words & _FOREIGN:
-            foreign += text
-            continue
-        whole += text
-        texts.append((text, words))
-        for word in words:
-            held[word] = held.get(word, 0) + text
-    mute = {word for word, text in held.items() if 2 * text > whole}
-    left = sum(text for text, words in texts if words <= mute)
-    if whole < LEAST_TEXT <= foreign:
-        mute = _UNLIKELY | ROLES | PARTS
-    elif left < LEAST_TEXT <= whole:
-        mute = (_UNLIKELY | ROLES | PARTS) - _FOREIGN
+def _pruned(blocks: list[Block], words: frozenset[str], spared: frozenset[int] = frozenset()) -> list[Block]:
+    """The blocks without those that one of the words is said of, and without what is in these."""
     gone: set[int] = set()
     for block in blocks:
-        if id(block.parent) in gone or not block.doubts <= mute:
+        if id(block.parent) in gone or (block.doubts & words and id(block) not in spared):
             gone.add(id(block))
     if not gone:
         return blocks
@@ -175,16 +150,130 @@ def _without_parts(blocks: list[Block]) -> list[Block]:
     return kept
 
 
-def _pop_to(stack: list[tuple[str, Block, bool, bool]], at: int) -> None:
-    del stack[at:]
+def _without_strong(blocks: list[Block]) -> list[Block]:
+    """Without sidebars, footers, comments and the like, unless they hold the only text of the page: then
+    those stay that hold a first heading or an article, or else all of the kind that is left."""
+    inside: dict[int, tuple[bool, bool]] = {}
+    rest = structure = foreign = 0
+    # Text outside of any such part, in parts of the page, and in what others wrote.
+    for block in blocks:
+        in_part, in_foreign = inside[id(block.parent)] if block.parent is not None else (False, False)
+        in_part, in_foreign = in_part or bool(block.doubts & _STRONG), in_foreign or bool(block.doubts & _FOREIGN)
+        inside[id(block)] = in_part, in_foreign
+        if _HEADING.fullmatch(block.tag):
+            continue
+        text = block.own_length - block.own_linked
+        if in_foreign:
+            foreign += text
+        elif in_part:
+            structure += text
+        else:
+            rest += text
+    if rest >= LEAST_PARAGRAPH or rest >= max(structure, foreign):
+        return _pruned(blocks, _STRONG)
+    if structure < LEAST_PARAGRAPH and rest + structure:
+        return _pruned(blocks, _STRONG if rest else _FOREIGN)
+    strong = _FOREIGN if not rest + structure else _STRONG - _FOREIGN
+    holders: set[int] = set()
+    for block in blocks:
+        if block.tag in ("h1", "article", "main"):
+            above: Block | None = block
+            while above is not None and id(above) not in holders:
+                holders.add(id(above))
+                above = above.parent
+    # The parts that are left are judged one by one only where some of them hold a heading or an article.
+    if any(id(b) in holders and b.doubts & strong for b in blocks):
+        blocks = _pruned(blocks, strong, frozenset(holders))
+    return blocks if strong == _FOREIGN else _pruned(blocks, _FOREIGN)
+
+
+def _without_parts(blocks: list[Block]) -> list[Block]:
+    if not any(b.doubts for b in blocks):
+        return blocks
+    blocks = _without_strong(blocks)
+    if not any(b.doubts & _WRAPPERS for b in blocks):
+        return blocks
+    score(blocks)
+    best = _best(blocks)
+    spared: set[str] = set()
+    above = best
+    while above is not None:
+        spared |= above.doubts & _WRAPPERS
+        above = above.parent
+    if best is not None and not spared:
+        held: dict[str, int] = {}
+        below: list[str | Block] = list(best.content)
+        while below:
+            block = below.pop()
+            if isinstance(block, Block):
+                words = block.doubts & _WRAPPERS
+                for word in words:
+                    held[word] = held.get(word, 0) + block.length
+                if not words:
+                    below += block.content
+        spared = {word for word, length in held.items() if 2 * length > best.length}
+    return _pruned(blocks, frozenset(_WRAPPERS - spared))
+
+
+class _Open:
+    """Open elements, and where those of each kind are, so that none is looked for."""
+
+    def __init__(self, root: Block):
+        # Tag, block its text belongs to, left out, within a link.
+        self.stack: list[tuple[str, Block, bool, bool]] = [("root", root, False, False)]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.solid: list[int] = []
+        self.left_out: list[int] = []
+
+    def push(self, tag: str, block: Block, out: bool, linked: bool) -> None:
+        place = len(self.stack)
+        self.stack.append((tag, block, out, linked))
+        self.places.setdefault(tag, []).append(place)
+        if tag in BLOCKS:
+            self.blocks.append(place)
+        if tag in LEFT_OUT:
+            self.left_out.append(place)
+        if tag in _SOLID:
+            self.solid.append(place)
+
+    def pop_to(self, at: int) -> None:
+        while len(self.stack) > at:
+            tag = self.stack.pop()[0]
+            self.places[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
+            if tag in LEFT_OUT:
+                self.left_out.pop()
+            if tag in _SOLID:
+                self.solid.pop()
+
+    def last(self, *tags: str) -> int:
+        return max((self.places[tag][-1] for tag in tags if self.places.get(tag)), default=0)
+
+    def close(self, tag: str) -> None:
+        at = self.last(tag)
+        # An inline element is only closed within its block.
+        if at and (tag in BLOCKS or not self.blocks or at > self.blocks[-1]):
+            self.pop_to(at)
+
+    def begin(self, tag: str) -> None:
+        """A block ends an open paragraph; items end the item before them."""
+        if self.solid and self.stack[self.solid[-1]][0] == "p":
+            self.pop_to(self.solid[-1])
+        if tag in CLOSED_BY:
+            same = {"dd": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, (tag,))
+            at = self.last(*same)
+            if at > max(self.last(*CLOSED_BY[tag]), self.left_out[-1] if self.left_out else 0):
+                self.pop_to(at)
 
 
 def parse(page: str) -> list[Block]:
     """All blocks that are not left out, parents before children; the first is the root."""
     root = Block("root", None, 0)
     blocks = [root]
-    # Open elements: tag, block its text belongs to, left out, within a link.
-    stack: list[tuple[str, Block, bool, bool]] = [("root", root, False, False)]
+    opened = _Open(root)
+    stack = opened.stack
     end, size = 0, len(page)
 
     def text(piece: str) -> None:
@@ -198,7 +287,7 @@ def parse(page: str) -> list[Block]:
         block.own_length += trimmed
         block.own_commas += piece.count(",") + piece.count("، ") + piece.count("，")
         if linked:
-            block.linked += trimmed
+            block.own_linked += trimmed
 
     while end < size:
         found = _TOKEN.search(page, end)
@@ -212,18 +301,8 @@ def parse(page: str) -> list[Block]:
         tag = (tag or tag2 or "").lower()
         if not tag:
             continue
-        closing = slash or slash2
-        if closing:
-            at = len(stack) - 1
-            block_tag = tag in BLOCKS
-            while at > 0 and stack[at][0] != tag:
-                # An inline element is only closed within its block.
-                if not block_tag and stack[at][0] in BLOCKS:
-                    at = 0
-                    break
-                at -= 1
-            if at > 0:
-                _pop_to(stack, at)
+        if slash or slash2:
+            opened.close(tag)
             continue
         if tag in RAW_TEXT:
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, end)
@@ -235,22 +314,7 @@ def parse(page: str) -> list[Block]:
                 block.content.append(" ")
             continue
         if tag in BLOCKS:
-            # A block ends an open paragraph; items end the item before them.
-            for at in range(len(stack) - 1, 0, -1):
-                name = stack[at][0]
-                if name == "p":
-                    _pop_to(stack, at)
-                    break
-                if name in BLOCKS or name in LEFT_OUT:
-                    break
-            if tag in CLOSED_BY:
-                for at in range(len(stack) - 1, 0, -1):
-                    name = stack[at][0]
-                    if name == tag or {name, tag} == {"dd", "dt"} or {name, tag} == {"td", "th"}:
-                        _pop_to(stack, at)
-                        break
-                    if name in CLOSED_BY[tag] or name in LEFT_OUT:
-                        break
+            opened.begin(tag)
             _, block, out, linked = stack[-1]
         if tag in VOID:
             if tag == "hr" and not out:
@@ -261,26 +325,26 @@ def parse(page: str) -> list[Block]:
             continue
         gone, likely, doubts = (True, 0, _NONE) if out else _judge(tag, attributes)
         if tag == "header" and not gone:
-            gone = not any(name in ("article", "main") for name, *_ in stack)
+            gone = not opened.last("article", "main")
         inner = block
         if tag in BLOCKS and not gone:
             inner = Block(tag, block, likely, doubts)
             block.content.append(inner)
             blocks.append(inner)
-        stack.append((tag, inner, gone, linked or tag == "a"))
+        opened.push(tag, inner, gone, linked or tag == "a")
     return _without_parts(blocks)
 
 
 def score(blocks: list[Block]) -> None:
+    for block in blocks:
+        block.length, block.commas, block.linked = block.own_length, block.own_commas, block.own_linked
     for block in reversed(blocks):
-        block.length += block.own_length
-        block.commas += block.own_commas
         if block.parent is not None:
             block.parent.length += block.length
             block.parent.commas += block.commas
             block.parent.linked += block.linked
     for block in blocks:
-        block.score += 25 * block.likely + {"article": 25, "main": 20, "section": 5, "div": 5, "body": 1}.get(block.tag, 0)
+        block.score = 25 * block.likely + {"article": 25, "main": 20, "section": 5, "div": 5, "body": 1}.get(block.tag, 0)
     for block in blocks:
         whole = block.tag in PARAGRAPHS
         length, commas = (block.length, block.commas) if whole else (block.own_length, block.own_commas)

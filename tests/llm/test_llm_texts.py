@@ -55,6 +55,51 @@ NAMED = [
 ]
 
 
+SHORT = "A short report on one event of the day, which says in two sentences, and no more, what has been known of it. The rest is to be told later."
+TEASERS = "".join(f"<p>Teaser number {i} of another story, with a few words more, and an end that makes one curious.</p>" for i in range(12))
+# Parts that are longer than the article, and what readers wrote.
+LONG_PARTS = [
+    (f'<body>{MENU}<div class="content"><h1>Title</h1><p>{SHORT}</p></div><div class="sidebar">{TEASERS}</div></body>', f"Title {SHORT}"),
+    (f'<body><div id="page"><h1>Title</h1><p>{SHORT}</p></div><aside id="right-sidebar">{TEASERS}</aside></body>', f"Title {SHORT}"),
+    (f"<body><div class='story'><p>{SHORT}</p></div><footer>{TEASERS}</footer></body>", SHORT),
+    (f"<body><article><h1>Title</h1>{BODY}<section><article class='comment'><p>{SHORT}</p></article></section></article></body>", f"Title {TEXT}"),
+    (f"<body><article><h1>Title</h1>{BODY}</article><article class='comment depth-1'><p>{SHORT}</p></article></body>", f"Title {TEXT}"),
+    (f"<body><div><p>{SHORT[:57]}</p></div><div class='comments'>{BODY}</div></body>", SHORT[:57]),
+    (f"<body><div class='article-comments'>{BODY}</div><div class='article-body'><p>{SHORT}</p></div></body>", SHORT),
+    (f"<body><div class='main sidebar-right'>{BODY}</div><div class='main-sidebar'>{TEASERS}</div></body>", TEXT),
+    (f"<body><div class='advert'>{TEASERS}</div><div class='cookie-notice'>{BODY}</div><p>{SHORT}</p></body>", SHORT),
+    (f"<body><div class='sidebar'><h1>Title</h1>{BODY}</div><footer>{TEASERS}</footer></body>", f"Title {TEXT}"),
+    (f"<body><form id='page'><div class='content'>{BODY}</div><div class='newsletter'><p>{SHORT}</p></div></form></body>", TEXT),
+    (f"<body><div class='content'><p>{SHORT}</p><form><p>Write to us, if you like, or leave it, as you please.</p></form></div></body>", SHORT),
+    (f"<body><article class='post sponsored'><h1>Title</h1>{BODY}</article></body>", f"Title {TEXT}"),
+]
+
+
+@pytest.mark.parametrize("page, text", LONG_PARTS)
+def test_long_parts_are_no_article(page, text):
+    assert html_extract.main_text(page) == text
+
+
+HOSTILE = [
+    lambda n: "<b>" * n + "</div>" * n, lambda n: "<b>" * n + "<p>x</p>" * n, lambda n: "<div>" * n + "<li>x</li>" * n,
+    lambda n: "<b><div>" + "<i>" * n + "</b>" * n, lambda n: "<div>" * n + "<header>x</header>" * n, lambda n: "<div class='widget'>" * n + "x" * 100,
+    lambda n: "<article>" * n + "text, and more text than a few words" + "</article>" * n,
+]
+
+
+@pytest.mark.parametrize("page", HOSTILE)
+def test_time_grows_with_the_page(page):
+    import time
+
+    def seconds(n):
+        start = time.process_time()
+        html_extract.main_text(page(n))
+        return time.process_time() - start
+
+    seconds(1_000)
+    assert seconds(100_000) < 3 + 30 * seconds(10_000)
+
+
 @pytest.mark.parametrize("page, text", NAMED)
 def test_main_text_of_named_blocks(page, text):
     assert html_extract.main_text(page) == text
