@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions import text as x
-from ..operators import nested, topics
+from ..operators import mixtures, nested, topics
 from ..plans import stages
 from ..session import scratch_path
 from .registry import Source, near, query
@@ -253,3 +253,23 @@ def segment_fit(t: Source) -> DataFrame:
     modelled = stages.model_segments(rows, scratch_path(t.spark, "models"), segment=("family",), topic_count=6, unmerged=("de",))
     listed = F.size("TopicsList") == F.size(F.filter("TopicProbability", lambda p: p >= dims.TOPIC_PROBABILITY_CUTOFF))
     return modelled.select(F.col("Id").alias("doc_id"), "family", *_topic_checks(best=False), listed.alias("listed"))
+
+
+@query("topic_mixture", "SELECT doc_id, true AS adds_up, true AS in_range, true AS likelier FROM documents")
+def topic_mixture(t: Source) -> DataFrame:
+    """Documents as mixtures of eight topics over their words, by what holds: shares add up, and the
+    words are likelier under the mixtures than under one topic."""
+    rows = t.documents.select("doc_id", x.tokens(x.letters_only("text")).alias("tokens"))
+    model = mixtures.fit_mixture(rows, "tokens", 8)
+    path = scratch_path(t.spark, "mixtures")
+    mixtures.add_mixture(rows, "tokens", model, 8).write.parquet(path)
+    mixed = t.spark.read.parquet(path)
+    likelier = True
+    if model is not None:
+        own, plain = mixtures.log_likelihood(mixed, "tokens", "TopicShares", model)
+        likelier = own > plain
+    shares = F.col("TopicShares")
+    return mixed.select(
+        "doc_id", near(F.aggregate(shares, F.lit(0.0), lambda a, v: a + v), F.lit(1.0)).alias("adds_up"),
+        F.forall(shares, lambda v: v.between(0, 1)).alias("in_range"), F.lit(likelier).alias("likelier"),
+    )
