@@ -5,7 +5,9 @@ of equal size. The schedule has one slot per block to take. Slot j of K belongs
 whose share of the cumulative weights holds j/K; the slots are served in van der Corput order
 (the bits of j reversed), so every stretch of the schedule holds the sources near their shares
 and, over the whole, each exactly. The slots of a source are ranked in that order and take its
-blocks one after the other, going round a second time where the target is above the size.
+blocks one after the other, going round a second time where the target is above the size. A document
+has the positions of the slots that take its words; the mixed documents come in the order of the first of
+them, so every stretch of the output holds the sources near their shares.
 
 Null text has no words, null sources are one source and come last, repeated rows are documents
 of their own, empty texts take nothing, an empty table gives an empty result.
@@ -161,27 +163,35 @@ def mixture(docs: DataFrame, sources: DataFrame, block: int = BLOCK_WORDS) -> Da
 
 
 def taken_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """`(doc_id, size, source_size, target, taken)`, one row per row of `docs`."""
+    """`(doc_id, size, source_size, target, taken, first_position, last_position)`, one row per row of
+    `docs`; the positions of the schedule are null where nothing is taken."""
     placed, sources = streams(numbered(docs, doc_id, text, source))
     mixed = mixture(written(placed, "streams"), written(sources, "targets"))
+    position = F.when(F.col("to_word") > F.col("from_word"), F.col("position"))
     return (
         mixed.groupBy("row", "doc_id", "size", "source_size", "target")
-        .agg(F.sum(F.col("to_word") - F.col("from_word")).cast("bigint").alias("taken"))
+        .agg(
+            F.sum(F.col("to_word") - F.col("from_word")).cast("bigint").alias("taken"),
+            F.min(position).alias("first_position"), F.max(position).alias("last_position"),
+        )
         .drop("row")
     )
 
 
 def mix_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mix as documents: the columns of `docs`, one row per round that takes words of it. A
-    document taken in part keeps those words, joined by a space; one taken in full its text."""
+    """The mix as documents: the columns of `docs`, one row per round that takes words of it, in the order of
+    the schedule (partitions are ranges of it). A document taken in part keeps those words, joined by a space;
+    one taken in full its text."""
     columns = docs.columns
     whole = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc")), "numbered")
     names = {"doc_id": doc_id, "text": text, "source": source}
     placed, sources = streams(whole.select("row", *[F.col(f"doc.`{c}`").alias(n) for n, c in names.items()]))
     mixed = mixture(written(placed, "streams"), written(sources, "targets")).where("to_word > from_word")
     # What a round takes of a document is one run of its words.
-    runs = mixed.groupBy("row", "round", "size").agg(F.min("from_word").alias("first"), F.max("to_word").alias("end"))
-    joined = whole.join(runs, "row")
+    runs = mixed.groupBy("row", "round", "size").agg(
+        F.min("from_word").alias("first"), F.max("to_word").alias("end"), F.min("position").alias("position")
+    )
+    joined = whole.join(runs, "row").repartitionByRange("position", "row").sortWithinPartitions("position", "row")
     words = F.regexp_extract_all(F.col(f"doc.`{text}`"), F.lit(f"({WORD})"), F.lit(1))
     part = F.array_join(F.slice(words, F.col("first").cast("int") + 1, (F.col("end") - F.col("first")).cast("int")), " ")
     full = (F.col("first") == 0) & (F.col("end") == F.col("size"))

@@ -64,11 +64,25 @@ t AS (
   FROM s),
 p AS (
   SELECT d.*, t.source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS words,
-         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a,
+         row_number() OVER () AS n
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (
+  SELECT source, quota, sum(quota) OVER (ORDER BY encode(source) NULLS LAST) - quota AS low, length(bin(CAST(sum(quota) OVER () AS BIGINT))) AS bits
+  FROM (SELECT source, CAST(ceil(floor(target + 0.5) / 1024) AS BIGINT) AS quota FROM t)),
+slots AS (
+  SELECT source, position, row_number() OVER (PARTITION BY source ORDER BY position) - 1 AS block FROM (
+    SELECT source, CAST('0b' || reverse(lpad(bin(j), CAST(bits AS INTEGER), '0')) AS BIGINT) AS position
+    FROM (SELECT source, bits, unnest(range(CAST(low AS BIGINT), CAST(low + quota AS BIGINT))) AS j FROM q))),
+laps AS (
+  SELECT n, source, a + lap * source_size AS lo, least(a + lap * source_size + size, words) AS hi FROM p, (VALUES (0), (1)) AS v(lap)),
+places AS (
+  SELECT n, min(position) AS first_position, max(position) AS last_position
+  FROM laps l JOIN slots s ON l.source IS NOT DISTINCT FROM s.source AND hi > lo AND block BETWEEN lo // 1024 AND (hi - 1) // 1024 GROUP BY n)
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target,
-       CAST(greatest(0, least(a + size, words) - a) + greatest(0, least(a + source_size + size, words) - a - source_size) AS BIGINT) AS taken
-FROM p""",
+       CAST(greatest(0, least(a + size, words) - a) + greatest(0, least(a + source_size + size, words) - a - source_size) AS BIGINT) AS taken,
+       first_position, last_position
+FROM p LEFT JOIN places USING (n)""",
 )
 def source_mix_query(spark: SparkSession, directory: str) -> DataFrame:
     return mixing.taken_words(table(spark, directory, "documents"))

@@ -172,6 +172,32 @@ def test_mixed_documents(edge, rows):
     assert all(abs(words[s] - target[s]) <= 1 for s in target)
 
 
+def test_every_stretch_of_the_output_is_mixed(spark, documents):
+    """Documents come in the order of the schedule: no prefix is far from the shares of the sources."""
+    mixed = [(r["source"], r["n"]) for r in mixing.mix_documents(documents).selectExpr("source", "regexp_count(text, '[^ \\t-\\r]+') AS n").collect()]
+    total, longest = sum(n for _, n in mixed), max(n for _, n in mixed)
+    share = defaultdict(float)
+    for source, n in mixed:
+        share[source] += n / total
+    seen, so_far, worst = Counter(), 0, 0.0
+    for source, n in mixed:
+        seen[source] += n
+        so_far += n
+        worst = max(worst, *(abs(seen[s] - share[s] * so_far) for s in share))
+    # A document is taken whole at its first slot; blocks are within a few of their place.
+    assert worst <= 2 * longest + 8 * mixing.BLOCK_WORDS
+    by_source = max(abs(n - share[s] * n) for s, n in Counter({s: round(v * total) for s, v in share.items()}).items())
+    assert worst < by_source / 2
+
+
+def test_positions_follow_the_schedule(documents):
+    rows = mixing.taken_words(documents).collect()
+    for r in rows:
+        assert (r["taken"] == 0) == (r["first_position"] is None) == (r["last_position"] is None)
+    big = [r for r in rows if r["taken"] > 3 * mixing.BLOCK_WORDS]
+    assert big and all(r["last_position"] > r["first_position"] for r in big)
+
+
 @pytest.mark.parametrize("operator", NATIVE)
 def test_empty_table(empty, operator):
     assert operator(empty).count() == 0
