@@ -4,7 +4,8 @@ Each shard owns many points of a ring of 64-bit hashes. A key belongs to the fir
 clockwise of its hash. All keys between two points share their way round the ring, so the
 bounded loads are worked out on counts per arc: a shard takes the keys that reach it until it is
 full, the rest go on clockwise to the next point of a shard with room. Rows then look up their
-place by their rank within the arc.
+place by their rank within the arc. That rank follows from hashes of the rows alone, so a row's shard
+does not depend on the files or partitions it came in.
 
 With no slack, every shard is filled exactly to the floor or the ceiling of the mean: counts are
 at most one apart. Null text has no bytes, a null id is a key of its own, repeated rows each get
@@ -89,8 +90,9 @@ def arc_bins(points: list[int]) -> list[tuple[int, int, int, int]]:
 def place(rows: DataFrame, key: str, shards: int, slack: float = SLACK) -> DataFrame:
     """The rows with `shard` and `slot`. `rows` must be a written table: its ranks are used twice.
 
-    Ranks within an arc are made per bucket of rows and shifted by the counts of the buckets
-    before; a key that many rows share is spread over all buckets."""
+    Ranks within an arc are made per bucket, a range of the hash of whole rows, and shifted by the counts of
+    the buckets before; a key that many rows share is spread over all buckets. Rows that are equal
+    throughout, and too many for one, have buckets of their own: which of them is which makes no difference."""
     spark = rows.sparkSession
     total = rows.count()
     points = ring_points(spark, shards)
@@ -102,7 +104,14 @@ def place(rows: DataFrame, key: str, shards: int, slack: float = SLACK) -> DataF
     hashed = rows.withColumn("_hash", F.xxhash64(key)).withColumn("_at", F.shiftright("_hash", _BIN_SHIFT))
     hashed = hashed.join(F.broadcast(bins), (F.col("_at") == F.col("_bin")) & inside)
     buckets = 1 + total // ROWS_PER_BUCKET
-    hashed = hashed.withColumn("_bucket", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(buckets)))
+    hashed = hashed.withColumn("_row", F.xxhash64(F.lit("row"), *rows.columns))
+    # At most one in ROWS_PER_BUCKET rows.
+    many = hashed.groupBy("_row").agg(F.count(F.lit(1)).alias("_copies")).where(F.col("_copies") > ROWS_PER_BUCKET)
+    hashed = hashed.join(F.broadcast(many), "_row", "left")
+    salt = F.when(F.col("_copies").isNotNull(), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(buckets)))
+    ranged = F.shiftright("_row", 63 - buckets.bit_length())
+    alone = F.when(F.col("_copies").isNotNull(), F.col("_row"))
+    hashed = hashed.withColumn("_bucket", F.struct(ranged.alias("range"), alone.alias("copies"), salt.alias("salt"))).drop("_copies")
     hashed = written(hashed.drop("_at", "_bin", "_low", "_high", "_from_start"), "ring")
 
     counts = written(hashed.groupBy("_arc", "_bucket").agg(F.count(F.lit(1)).alias("_n")), "arc-counts")
@@ -113,8 +122,10 @@ def place(rows: DataFrame, key: str, shards: int, slack: float = SLACK) -> DataF
     )
     before = Window.partitionBy("_arc").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_arc", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("_arc", "_bucket").orderBy("_hash", *rows.columns)
-    ranked = hashed.join(starts, ["_arc", "_bucket"]).withColumn("_rank", F.col("_start") + F.row_number().over(within) - 1)
+    within = Window.partitionBy("_arc", "_bucket").orderBy("_row", "_hash", *rows.columns)
+    same = (F.col("_arc") == F.col("_a")) & F.col("_bucket").eqNullSafe(F.col("_b"))
+    starts = starts.withColumnsRenamed({"_arc": "_a", "_bucket": "_b"})
+    ranked = hashed.join(starts, same).withColumn("_rank", F.col("_start") + F.row_number().over(within) - 1)
     # At most one row per arc and shard.
     plan = F.broadcast(plan.withColumnRenamed("_arc", "_of"))
     here = (F.col("_arc") == F.col("_of")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_end"))

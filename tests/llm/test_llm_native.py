@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from reviewlens.llm import exact_dedup, mixing, sharding
 
@@ -79,8 +80,6 @@ def test_keys_go_to_their_point_or_clockwise(spark, slack):
     """The rows of every shard are those that a walk round the ring gives, arc by arc."""
     keys = spark.range(3000).withColumnRenamed("id", "key")
     found = sharding.place(keys, "key", 5, slack)
-    from pyspark.sql import functions as F
-
     points = sharding.ring_points(spark, 5)
     arcs = defaultdict(Counter)
     for r in found.withColumn("hash", F.xxhash64("key")).collect():
@@ -96,6 +95,26 @@ def test_keys_go_to_their_point_or_clockwise(spark, slack):
     assert at_home > (0.8 if slack == 0 else 0.95) * 3000
 
 
+def test_shards_do_not_depend_on_the_layout(spark, documents, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS_PER_BUCKET", 10)
+    # A third of all rows are equal, as many again share an id.
+    same = documents.limit(1).crossJoin(spark.range(90)).drop("id")
+    rows = documents.unionByName(same).unionByName(same.withColumn("text", F.concat("text", F.rand(3).cast("string"))).cache())
+    first, second = (
+        Counter((r["doc_id"], r["size"], r["text_crc32"], r["shard"]) for r in sharding.shard_documents(df, 8).collect())
+        for df in (rows, rows.repartition(7))
+    )
+    assert first == second and sum(first.values()) == documents.count() + 180
+
+
+def test_one_more_shard_moves_few_keys(spark):
+    keys = spark.range(9_000).withColumnRenamed("id", "key").cache()
+    before, after = ({r["key"]: r["shard"] for r in sharding.place(keys, "key", n).collect()} for n in (8, 9))
+    moved = [k for k in before if before[k] != after[k]]
+    needed = sum(s == 8 for s in after.values())
+    assert needed == 1_000 and len(moved) <= 2 * needed
+
+
 def test_fill_ring_keeps_every_key():
     counts = {0: 10, 1: 0, 2: 500, 3: 7}
     placed = sharding.fill_ring(counts, [0, 1, 2, 1], sharding.capacities(517, 3))
