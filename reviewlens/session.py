@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -56,13 +57,33 @@ def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete what this library wrote to the shared folder. Tables read from there are gone then."""
+_folder: ContextVar[str] = ContextVar("folder", default="reviewlens")
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/reviewlens")
+    path = jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def passing_scratch(spark: SparkSession) -> Iterator[None]:
+    """What is written to the scratch folder meanwhile is deleted at the end: for steps whose result is
+    written to a path taken before. Tables of these steps cannot be read afterwards."""
+    folder = f"{_folder.get()}/passing-{uuid.uuid4().hex}"
+    token = _folder.set(folder)
+    try:
+        yield
+    finally:
+        _folder.reset(token)
+        _delete(spark, f"{shared_dir(spark)}/{folder}")
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this library wrote to the shared folder. Tables read from there are gone then."""
+    _delete(spark, f"{shared_dir(spark)}/reviewlens")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/reviewlens/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{_folder.get()}/{name}-{uuid.uuid4().hex}"
