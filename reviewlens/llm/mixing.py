@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ordering import dense_codes
+from ..session import passing_scratch, scratch_path
 from .common import WORD, attach, text_of, written
 
 # Weights of the sources in turn, share of all sizes, most rounds of a source.
@@ -185,12 +186,15 @@ def mix_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     columns = docs.columns
     whole = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc")), "numbered")
     names = {"doc_id": doc_id, "text": text, "source": source}
-    placed, sources = streams(whole.select("row", *[F.col(f"doc.`{c}`").alias(n) for n, c in names.items()]))
-    mixed = mixture(written(placed, "streams"), written(sources, "targets")).where("to_word > from_word")
-    # What a round takes of a document is one run of its words.
-    runs = mixed.groupBy("row", "round", "size").agg(
-        F.min("from_word").alias("first"), F.max("to_word").alias("end"), F.min("position").alias("position")
-    )
+    path = scratch_path(docs.sparkSession, "runs")
+    with passing_scratch(docs.sparkSession):
+        placed, sources = streams(whole.select("row", *[F.col(f"doc.`{c}`").alias(n) for n, c in names.items()]))
+        mixed = mixture(written(placed, "streams"), written(sources, "targets")).where("to_word > from_word")
+        # What a round takes of a document is one run of its words.
+        runs = mixed.groupBy("row", "round", "size").agg(
+            F.min("from_word").alias("first"), F.max("to_word").alias("end"), F.min("position").alias("position")
+        )
+        runs = written(runs, "runs", path)
     joined = whole.join(runs, "row").repartitionByRange("position", "row").sortWithinPartitions("position", "row")
     words = F.regexp_extract_all(F.col(f"doc.`{text}`"), F.lit(f"({WORD})"), F.lit(1))
     part = F.array_join(F.slice(words, F.col("first").cast("int") + 1, (F.col("end") - F.col("first")).cast("int")), " ")

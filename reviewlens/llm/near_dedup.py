@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.sizes import broadcast_within
+from ..session import passing_scratch, scratch_path
 from . import kernels as k
 from .common import attach, text_of, written
 from .components import components
@@ -305,7 +306,9 @@ def _staying(found: DataFrame) -> DataFrame:
 
 def membership(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`(doc_id, class_id, class_size, kept)`, one row per row of `docs`."""
-    found = written(classes(written(numbered(docs, doc_id, text), "numbered"), threshold), "classes")
+    path = scratch_path(docs.sparkSession, "classes")
+    with passing_scratch(docs.sparkSession):
+        found = written(classes(written(numbered(docs, doc_id, text), "numbered"), threshold), "classes", path)
     kept = _staying(found).select("row", F.lit(True).alias("kept"))
     return found.join(kept, "row", "left").select("doc_id", "class_id", "class_size", F.coalesce("kept", F.lit(False)).alias("kept"))
 
@@ -316,6 +319,8 @@ def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "do
     columns = docs.columns
     whole = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc")), "numbered")
     slim = whole.select("row", F.col(f"doc.`{doc_id}`").alias("doc_id"), F.col(f"doc.`{text}`").alias("text"))
-    found = written(classes(slim, threshold), "classes")
-    gone = written(found.select("row").join(_staying(found).select("row"), "row", "left_anti"), "gone")
+    path = scratch_path(docs.sparkSession, "gone")
+    with passing_scratch(docs.sparkSession):
+        found = written(classes(slim, threshold), "classes")
+        gone = written(found.select("row").join(_staying(found).select("row"), "row", "left_anti"), "gone", path)
     return whole.join(broadcast_within(gone, BROADCAST_ROWS), "row", "left_anti").select("doc.*")
