@@ -26,7 +26,7 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """The rows as a table in the shared folder: read several times, never computed again, and
     left whole when an executor is lost."""
     path = path or scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
