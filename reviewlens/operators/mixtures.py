@@ -2,7 +2,8 @@
 
 The fit is the distributed online variational one: every step reads a part of the rows and
 updates one matrix of words by topics, which is what the driver and each task hold. Its size is bounded: words
-lie in the usual range of document shares and the most frequent `WORDS` of them are taken.
+lie in the usual range of document shares and the most frequent `WORDS` of them are taken. Words are
+found and counted as in `segments`, in Arrow batches of texts that are split at white space.
 """
 
 from __future__ import annotations
@@ -12,14 +13,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
 from ..session import scratch_path
+from . import segments
 
 WORDS = 20_000
 STEPS = 40
@@ -27,11 +30,37 @@ STEPS = 40
 STEP_ROWS = 2_000
 
 
+def word_counts(words: list[str], text: str) -> Column:
+    """Counts of the words in a text as a sparse vector."""
+    known = pa.array(words, pa.string())
+
+    @F.arrow_udf(VectorUDT())
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            rows, places, counts = [], [], []
+            for _, own, some in segments._slices(pa.array(np.zeros(len(texts), np.int32)), texts):
+                flat, of = segments._split(some)
+                place = pc.index_in(flat, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
+                there = place >= 0
+                both, n = np.unique(of[there].astype(np.int64) * len(words) + place[there], return_counts=True)
+                rows.append(own[both // len(words)])
+                places.append(both % len(words))
+                counts.append(n)
+            row, place, n = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (rows, places, counts))
+            offsets = pa.array(np.searchsorted(row, np.arange(len(texts) + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (place.astype(np.int32), n.astype(float))]
+            kind, size = pa.array(np.zeros(len(texts), np.int8)), pa.array(np.full(len(texts), len(words), np.int32))
+            yield pa.StructArray.from_arrays([kind, size, *lists], ["type", "size", "indices", "values"])
+            pa.default_memory_pool().release_unused()
+
+    return count(text)
+
+
 @dataclass
 class Mixture:
-    """Counts of known words, and the topics over them."""
+    """Known words, and the topics over them."""
 
-    words: CountVectorizerModel
+    words: list[str]
     topics: LDAModel
 
     def term_shares(self) -> np.ndarray:
@@ -40,55 +69,67 @@ class Mixture:
         return matrix / matrix.sum(axis=1, keepdims=True)
 
 
+def usual_words(df: DataFrame, text: str, most: int, min_share: float, max_share: float) -> list[str]:
+    """The most frequent words whose share of the texts is in range, in order."""
+    rows = df.select(F.lit(0).alias("_seg"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
+    total = rows.count()
+    named = rows.mapInArrow(segments._candidates(1), "_seg int, term string").distinct().select("term")
+    # A few hundred words for each of a mean text, as all were frequent in some chunk.
+    candidates = sorted(r["term"] for r in named.collect())
+    if not candidates:
+        return []
+    every = rows.select(word_counts(candidates, "_text").alias("_vector"))
+    found = segments.add_up(every.withColumn("_seg", F.lit(0)), ["_seg", "_vector"], _documents(len(candidates))).get(0, np.zeros(len(candidates)))
+    chosen = [(-n, word) for n, word in zip(found, candidates, strict=True) if total * min_share <= n <= total * max_share]
+    return [word for _, word in sorted(chosen)[:most]]
+
+
+def _documents(size: int):
+    def sums(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        yield 0, np.bincount(batch.column("_vector").field("indices").flatten().to_numpy(), minlength=size)
+
+    return sums
+
+
 def fit_mixture(
-    df: DataFrame, tokens: str, topics: int, words: int = WORDS, steps: int = STEPS, seed: int = 42,
+    df: DataFrame, text: str, topics: int, words: int = WORDS, steps: int = STEPS, seed: int = 42,
     min_share: float = dims.NGRAM_MIN_DF, max_share: float = dims.NGRAM_MAX_DF,
 ) -> Mixture | None:
-    """The model of the rows, or None where no word is in range. `topics` is at least 2."""
-    present = df.select(tokens).where(F.col(tokens).isNotNull())
-    # A vectorizer without any word in range is an error of its own.
-    total = present.count()
-    listed = present.select(F.explode(F.array_distinct(tokens)).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    in_range = listed.where(F.col("n").between(total * min_share, total * max_share))
-    chosen = [r["w"] for r in in_range.orderBy(F.desc("n"), "w").limit(words).collect()]  # at most `words`
+    """The model of the texts, or None where no word is in range. `topics` is at least 2."""
+    chosen = usual_words(df, text, words, min_share, max_share)
     if not chosen:
         return None
-    counter = CountVectorizerModel.from_vocabulary(chosen, inputCol=tokens, outputCol="_counts")
-    # Read once per step: written, so that texts are not cut into words again.
+    # Written: read once per step, and not counted again.
     path = scratch_path(df.sparkSession, "word-counts")
-    counter.transform(present).select("_counts").write.parquet(path)
+    df.where(F.col(text).isNotNull()).select(word_counts(chosen, text).alias("_counts")).write.parquet(path)
     counts = df.sparkSession.read.parquet(path)
-    part = min(1.0, max(STEP_ROWS / max(total, 1), 1e-6))
-    lda = LDA(k=topics, seed=seed, maxIter=steps, optimizer="online", subsamplingRate=part, featuresCol="_counts", optimizeDocConcentration=True)
-    return Mixture(counter, lda.fit(counts))
+    part = min(1.0, STEP_ROWS / max(counts.count(), 1))
+    lda = LDA(k=topics, seed=seed, maxIter=steps, optimizer="online", subsamplingRate=max(part, 1e-6), featuresCol="_counts", optimizeDocConcentration=True)
+    return Mixture(chosen, lda.fit(counts))
 
 
-def add_mixture(df: DataFrame, tokens: str, model: Mixture | None, topics: int, target: str = "TopicShares") -> DataFrame:
+def add_mixture(df: DataFrame, text: str, model: Mixture | None, topics: int, target: str = "TopicShares") -> DataFrame:
     """Adds the shares of the topics, in all 1. A row without a known word, or any row without a model, has equal shares."""
     equal = F.array(*[F.lit(1.0 / topics)] * topics)
     if model is None:
         return df.withColumn(target, equal)
-    known = df.withColumn("_words", F.coalesce(tokens, F.array().cast("array<string>")))
-    counter = model.words.copy().setInputCol("_words")
-    shared = model.topics.setTopicDistributionCol("_shares").transform(counter.transform(known))
+    shared = model.topics.setTopicDistributionCol("_shares").transform(df.withColumn("_counts", word_counts(model.words, text)))
     total = F.aggregate("_list", F.lit(0.0), lambda a, v: a + v)
     listed = shared.withColumn("_list", vector_to_array("_shares")).withColumn("_total", total)
     shares = F.when(F.col("_total") > 0, F.transform("_list", lambda v: v / F.col("_total"))).otherwise(equal)
-    return listed.withColumn(target, shares).drop("_words", "_counts", "_shares", "_list", "_total")
+    return listed.withColumn(target, shares).drop("_counts", "_shares", "_list", "_total")
 
 
 def top_words(model: Mixture, top: int = 10) -> list[list[str]]:
     """The words of the greatest share in every topic."""
-    shares, words = model.term_shares(), model.words.vocabulary
+    shares, words = model.term_shares(), model.words
     return [[words[i] for i in np.argsort(-row, kind="stable")[:top]] for row in shares]
 
 
-def log_likelihood(df: DataFrame, tokens: str, shares: str, model: Mixture) -> tuple[float, float]:
+def log_likelihood(df: DataFrame, text: str, shares: str, model: Mixture) -> tuple[float, float]:
     """Of all known words: under the mixtures of their rows, and under one topic for all rows."""
     topics = model.term_shares()
-    counter = model.words.copy().setInputCol("_words")
-    counted = counter.transform(df.withColumn("_words", F.coalesce(tokens, F.array().cast("array<string>"))))
-    sums = counted.select(F.col("_counts"), F.col(shares).alias("_mix"))
+    sums = df.select(word_counts(model.words, text).alias("_counts"), F.col(shares).alias("_mix"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixed, frequency = 0.0, np.zeros(topics.shape[1])
@@ -105,7 +146,10 @@ def log_likelihood(df: DataFrame, tokens: str, shares: str, model: Mixture) -> t
         yield pa.RecordBatch.from_arrays([pa.array([mixed]), parts], ["mixed", "frequency"])
 
     found = sums.mapInArrow(run, "mixed double, frequency array<double>")
-    each = found.select("mixed", F.posexplode("frequency").alias("word", "n"))
+    path = scratch_path(df.sparkSession, "likelihood")
+    found.write.parquet(path)  # a row per task, read twice
+    found = df.sparkSession.read.parquet(path)
+    each = found.select(F.posexplode("frequency").alias("word", "n"))
     frequency = np.array([r["n"] for r in each.groupBy("word").agg(F.sum("n").alias("n")).collect()])  # a row per known word
     mixed = float(found.agg(F.sum("mixed")).first()[0] or 0.0)
     used = frequency[frequency > 0]

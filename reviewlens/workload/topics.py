@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions import text as x
-from ..operators import mixtures, nested, topics
+from ..operators import mixtures, nested, segments, topics
 from ..plans import stages
-from ..session import scratch_path
+from ..session import arrow_batches, scratch_path
 from .registry import Source, near, query
 from .text import CLEAN_TOKENS_SQL
 
@@ -259,15 +259,17 @@ def segment_fit(t: Source) -> DataFrame:
 def topic_mixture(t: Source) -> DataFrame:
     """Documents as mixtures of eight topics over their words, by what holds: shares add up, and the
     words are likelier under the mixtures than under one topic."""
-    rows = t.documents.select("doc_id", x.tokens(x.letters_only("text")).alias("tokens"))
-    model = mixtures.fit_mixture(rows, "tokens", 8)
-    path = scratch_path(t.spark, "mixtures")
-    mixtures.add_mixture(rows, "tokens", model, 8).write.parquet(path)
-    mixed = t.spark.read.parquet(path)
-    likelier = True
-    if model is not None:
-        own, plain = mixtures.log_likelihood(mixed, "tokens", "TopicShares", model)
-        likelier = own > plain
+    words = scratch_path(t.spark, "letters")
+    t.documents.select("doc_id", x.letters_only("text").alias("words")).write.parquet(words)
+    rows = t.spark.read.parquet(words)
+    path, likelier = scratch_path(t.spark, "mixtures"), True
+    with arrow_batches(t.spark, segments.BATCH_ROWS):
+        model = mixtures.fit_mixture(rows, "words", 8)
+        mixtures.add_mixture(rows, "words", model, 8).write.parquet(path)
+        mixed = t.spark.read.parquet(path)
+        if model is not None:
+            own, plain = mixtures.log_likelihood(mixed, "words", "TopicShares", model)
+            likelier = own > plain
     shares = F.col("TopicShares")
     return mixed.select(
         "doc_id", near(F.aggregate(shares, F.lit(0.0), lambda a, v: a + v), F.lit(1.0)).alias("adds_up"),

@@ -17,8 +17,8 @@ def planted(spark):
     for i in range(360):
         main, other = i % 3, (i + 1) % 3
         part = 1.0 if i < 180 else 0.7
-        rows.append((i, main, other, part, [rng.choice(THEMES[main if rng.random() < part else other]) for _ in range(40)]))
-    return spark.createDataFrame(rows, "k int, main int, other int, part double, words array<string>").repartition(4)
+        rows.append((i, main, other, part, " ".join(rng.choice(THEMES[main if rng.random() < part else other]) for _ in range(40))))
+    return spark.createDataFrame(rows, "k int, main int, other int, part double, words string").repartition(4)
 
 
 def test_planted_topics_are_recovered(planted):
@@ -36,7 +36,7 @@ def test_planted_topics_are_recovered(planted):
 
 def test_rows_without_known_words(spark, planted):
     model = mixtures.fit_mixture(planted, "words", 3)
-    df = spark.createDataFrame([(0, ["unknown"]), (1, []), (2, None)], "k int, words array<string>")
+    df = spark.createDataFrame([(0, "unknown"), (1, ""), (2, None)], "k int, words string")
     assert all(r["TopicShares"] == pytest.approx([1 / 3] * 3) for r in mixtures.add_mixture(df, "words", model, 3).collect())
     assert mixtures.fit_mixture(df.where("k = 2"), "words", 3) is None and mixtures.fit_mixture(df.limit(0), "words", 3) is None
     none = mixtures.add_mixture(df, "words", None, 4)
@@ -44,4 +44,4 @@ def test_rows_without_known_words(spark, planted):
 
 
 def test_words_are_bounded(planted):
-    assert len(mixtures.fit_mixture(planted, "words", 2, words=5).words.vocabulary) == 5
+    assert len(mixtures.fit_mixture(planted, "words", 2, words=5).words) == 5
