@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.feature import Normalizer
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
@@ -33,11 +35,15 @@ def _dot(a: Column, b: Column) -> Column:
 
 
 def unit_vectors(centres: DataFrame) -> DataFrame:
-    """`(topic, u)` of the topics whose vector has a direction: not null, empty, zero or non-finite."""
+    """`(topic, u)` of the topics whose vector has a direction, that is, is not null, empty, zero or non-finite.
+    Checkpointed, as the vectors are read within loops over their own values."""
     vector = F.col("vector").cast("array<double>")
-    norm = F.sqrt(_dot(vector, vector))
-    sized = centres.select("topic", vector.alias("_v"), norm.alias("_norm")).where("topic IS NOT NULL AND _norm > 0 AND _norm < double('inf')")
-    return sized.select("topic", F.transform("_v", lambda v: v / F.col("_norm")).alias("u"))
+    finite = F.forall(vector, lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False)))
+    sound = centres.select("topic", vector.alias("vector")).where(F.col("topic").isNotNull() & finite & F.exists("vector", lambda v: v != 0))
+    points = sound.select("topic", array_to_vector("vector").alias("_v"))
+    unit = Normalizer(p=2.0, inputCol="_v", outputCol="_u").transform(points)
+    shared_dir(centres.sparkSession)
+    return unit.select("topic", vector_to_array("_u").alias("u")).checkpoint()
 
 
 def _signs(u: str) -> Column:
@@ -54,7 +60,8 @@ def candidate_pairs(units: DataFrame) -> DataFrame:
     """Distinct `(a, b)`, a < b, of topics that are neighbours in one of the orders."""
     dice = random.Random(SEED)
     arranged = [dice.sample(range(DIRECTIONS), DIRECTIONS) for _ in range(ORDERS)]
-    signed = units.select("topic", _signs("u").alias("_signs"))
+    # Written down first: the signs are read once per place of every order.
+    signed = units.select("topic", _signs("u").alias("_signs")).checkpoint()
     orders = F.explode(F.array(*[F.array(*map(F.lit, a)) for a in arranged])).alias("_order")
     keys = signed.select("topic", "_signs", orders).select(
         F.struct(
@@ -69,7 +76,9 @@ def candidate_pairs(units: DataFrame) -> DataFrame:
     steps = F.explode(F.sequence(F.lit(1), F.lit(NEIGHBOURS)))
     left = placed.select("o", F.col("topic").alias("l"), "place", steps.alias("_step")).select("o", "l", (F.col("place") + F.col("_step")).alias("place"))
     near = left.join(placed, ["o", "place"])
-    return near.select(F.least("l", "topic").alias("a"), F.greatest("l", "topic").alias("b")).distinct()
+    ends = F.struct(F.least("l", "topic").alias("a"), F.greatest("l", "topic").alias("b"))
+    # Out of an array: deriving join conditions from the least and greatest of two columns takes the optimizer very long.
+    return near.select(F.explode(F.array(ends)).alias("p")).select("p.*").distinct()
 
 
 def _with_similarity(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -84,32 +93,27 @@ def merge_tree(centres: DataFrame, floor: float) -> DataFrame:
     clusters, the lower one, which names the merged cluster, and their similarity. A topic is at most once
     merged into a lower one. Among equally similar pairs the lower numbers go first.
 
-    Needs about as many rounds as the logarithm of the topics; each is checkpointed to the shared folder.
+    Each round is checkpointed to the shared folder.
     """
-    shared_dir(centres.sparkSession)
-    clusters = unit_vectors(centres).select("topic", F.lit(1).cast("bigint").alias("size"), "u", F.lit(1.0).alias("low")).checkpoint()
-    # Cut from their lineage before the joins: deriving conditions from the least and greatest of two columns takes the optimizer very long.
-    pairs = _with_similarity(candidate_pairs(clusters).checkpoint(), clusters).checkpoint()
+    clusters = unit_vectors(centres).select("topic", F.lit(1).cast("bigint").alias("size"), "u", F.lit(1.0).alias("low"))
+    pairs = _with_similarity(candidate_pairs(clusters), clusters).checkpoint()
     tree = None
     while True:
         rank = F.struct("similarity", (-F.col("a")).alias("na"), (-F.col("b")).alias("nb"))
         ends = pairs.where(F.col("similarity") >= floor).select("a", "b", "similarity", rank.alias("rank"), F.explode(F.array("a", "b")).alias("end"))
-        closest = ends.groupBy("end").agg(F.max_by(F.struct("a", "b", "similarity"), "rank").alias("p")).select("end", "p.*")
+        closest = ends.groupBy("end").agg(F.max_by(F.struct("a", "b", "similarity"), "rank").alias("p")).select("p.*")
         # A pair that is the closest of both its ends comes up twice.
         merges = closest.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_ends"), F.max("similarity").alias("similarity")).where("_ends = 2")
-        merges = merges.select("a", "b", "similarity").checkpoint()
+        # Heights never rise towards the root, also where a missing candidate would make them.
+        for end in ("a", "b"):
+            merges = merges.join(clusters.select(F.col("topic").alias(end), F.col("low").alias(f"_low_{end}")), end)
+        merges = merges.select("a", "b", F.least("similarity", "_low_a", "_low_b").alias("height")).checkpoint()
         if merges.isEmpty():
             break
-        renamed = merges.select(F.col("b").alias("topic"), F.col("a").alias("into"), "similarity").unionByName(
-            merges.select(F.col("a").alias("topic"), F.col("a").alias("into"), "similarity")
-        )
-        moved = clusters.join(renamed, "topic", "left").withColumn("into", F.coalesce("into", "topic")).checkpoint()
-        # Heights never rise towards the root, also where a missing candidate would make them.
-        height = F.least(F.col("similarity"), F.min("low").over(Window.partitionBy("into")))
-        heights = moved.where("similarity IS NOT NULL").withColumn("height", height).where(F.col("topic") != F.col("into"))
-        step = heights.select("topic", "into", "height")
+        step = merges.select(F.col("b").alias("topic"), F.col("a").alias("into"), "height")
         tree = step if tree is None else tree.unionByName(step)
-        tree = tree.checkpoint()
+        renamed = step.unionByName(merges.select(F.col("a").alias("topic"), F.col("a").alias("into"), "height"))
+        moved = clusters.join(renamed, "topic", "left").withColumn("into", F.coalesce("into", "topic"))
         clusters = _merged(moved).checkpoint()
         pairs = _contracted(pairs, moved, clusters).checkpoint()
     if tree is None:
@@ -121,7 +125,7 @@ def merge_tree(centres: DataFrame, floor: float) -> DataFrame:
 def _merged(moved: DataFrame) -> DataFrame:
     """One row per cluster after a round: at most two rows come together."""
     parts = F.array_sort(F.collect_list(F.struct("topic", "size", "u")))
-    least = F.least(F.min("low"), F.coalesce(F.min("similarity"), F.lit(1.0)))
+    least = F.least(F.min("low"), F.min("height"))
     joined = moved.groupBy(F.col("into").alias("topic")).agg(parts.alias("_p"), least.alias("low"))
     first, second = F.col("_p")[0], F.get("_p", F.lit(1))
     size = first["size"] + F.coalesce(second["size"], F.lit(0))
@@ -131,12 +135,14 @@ def _merged(moved: DataFrame) -> DataFrame:
 
 def _contracted(pairs: DataFrame, moved: DataFrame, clusters: DataFrame) -> DataFrame:
     """The candidate pairs between the clusters after a round. Only those of a new cluster are compared."""
-    side = moved.select("topic", "into", F.col("similarity").isNotNull().alias("_new"))
+    side = moved.select("topic", "into", F.col("height").isNotNull().alias("_new"))
     left = side.select(F.col("topic").alias("a"), F.col("into").alias("_ia"), F.col("_new").alias("_na"))
     right = side.select(F.col("topic").alias("b"), F.col("into").alias("_ib"), F.col("_new").alias("_nb"))
     both = pairs.join(left, "a").join(right, "b").where(F.col("_ia") != F.col("_ib"))
     same = both.where(~F.col("_na") & ~F.col("_nb")).select("a", "b", "similarity")
-    new = both.where(F.col("_na") | F.col("_nb")).select(F.least("_ia", "_ib").alias("a"), F.greatest("_ia", "_ib").alias("b")).distinct().checkpoint()
+    ends = F.struct(F.least("_ia", "_ib").alias("a"), F.greatest("_ia", "_ib").alias("b"))
+    # Out of an array: deriving join conditions from the least and greatest of two columns takes the optimizer very long.
+    new = both.where(F.col("_na") | F.col("_nb")).select(F.explode(F.array(ends)).alias("p")).select("p.*").distinct()
     return same.unionByName(_with_similarity(new, clusters))
 
 

@@ -42,16 +42,22 @@ def test_tree_equals_plain_linkage(spark, seed):
     assert all(math.isclose(r["height"], expected[r["topic"]][1], abs_tol=1e-9) for r in tree)
 
 
-def test_gap_finds_planted_groups(spark):
-    """3,000 topics around 300 directions: as many clusters, and few pairs are compared."""
+def planted(spark, topics, groups):
     dice = np.random.default_rng(7)
-    heads = dice.normal(size=(300, 32))
-    rows = [(t, (heads[t % 300] + dice.normal(size=32) * 0.08).tolist(), "x") for t in range(3000)]
-    topics = table(spark, rows).repartition(8).checkpoint()
-    assert linkage.candidate_pairs(linkage.unit_vectors(topics)).count() < 3000 * 50
-    merged = linkage.auto_reduce_topics(topics, 0.0).collect()
-    assert len(merged) == 3000
-    assert all(r["merged"] == r["topic"] % 300 for r in merged)
+    heads = dice.normal(size=(groups, 32))
+    rows = [(t, (heads[t % groups] + dice.normal(size=32) * 0.08).tolist(), "x") for t in range(topics)]
+    return table(spark, rows).repartition(8)
+
+
+def test_gap_finds_planted_groups(spark):
+    merged = linkage.auto_reduce_topics(planted(spark, 240, 60), 0.5).collect()
+    assert len(merged) == 240
+    assert all(r["merged"] == r["topic"] % 60 for r in merged)
+
+
+def test_few_pairs_are_compared(spark):
+    pairs = linkage.candidate_pairs(linkage.unit_vectors(planted(spark, 10_000, 500)))
+    assert pairs.count() < 10_000 * 50
 
 
 def test_odd_vectors_stay_alone_and_copies_merge(spark):
