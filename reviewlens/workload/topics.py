@@ -184,18 +184,18 @@ def apply_reduction(t: Source) -> DataFrame:
           FROM step s JOIN (
             SELECT x.cluster AS a, y.cluster AS b, avg(cosine) AS h FROM step x JOIN step y ON x.cluster < y.cluster
             JOIN cosines ON topic_a = x.topic AND topic_b = y.topic GROUP BY 1, 2
-            HAVING avg(cosine) >= -1 ORDER BY h DESC, 1, 2 LIMIT 1) best ON true),
+            HAVING avg(cosine) >= 0 ORDER BY h DESC, 1, 2 LIMIT 1) best ON true),
         tree AS (SELECT DISTINCT k, source, into_, height FROM step WHERE k > 0),
-        ends AS (SELECT 1.0::DOUBLE AS h UNION SELECT -1.0 UNION SELECT height FROM tree),
+        ends AS (SELECT 1.0::DOUBLE AS h UNION SELECT 0.0 UNION SELECT height FROM tree),
         gaps AS (SELECT h, lag(h) OVER (ORDER BY h DESC) AS upper FROM ends),
-        cut AS (SELECT (upper + h) / 2 AS at FROM gaps WHERE upper IS NOT NULL ORDER BY round(upper - h, 9) DESC, upper DESC LIMIT 1),
-        kept AS (SELECT max(k) AS k FROM step WHERE k = 0 OR height > (SELECT at FROM cut))
+        cut AS (SELECT (upper + h) / 2 AS middle FROM gaps WHERE upper IS NOT NULL ORDER BY round(upper - h, 9) DESC, upper DESC LIMIT 1),
+        kept AS (SELECT max(k) AS k FROM step WHERE k = 0 OR height > (SELECT middle FROM cut))
         SELECT s.topic, s.cluster AS merged, round(t.height, 6) AS height
         FROM step s LEFT JOIN tree t ON t.source = s.topic WHERE s.k = (SELECT k FROM kept)""",
 )
 def auto_reduce_topics(t: Source) -> DataFrame:
     """Topics merged as far as the widest gap in the tree of average linkage says."""
-    return linkage.auto_reduce_topics(_centres(t), -1.0).withColumn("height", F.round("height", 6))
+    return linkage.auto_reduce_topics(_centres(t), 0.0).withColumn("height", F.round("height", 6))
 
 
 # --- documents -------------------------------------------------------------------------------------------------
