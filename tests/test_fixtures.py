@@ -299,6 +299,30 @@ def test_phrase_merge_is_greedy(spark):
     assert got[300] == ["a_b", "a"]
 
 
+def test_phrases_are_merged_without_a_shuffle(spark, monkeypatch):
+    phrases = {("a", "b"), ("b", "a"), ("c", "c")}
+    docs = [(1, ["a", "b"]), (1, ["b", "c", "c", "c"]), (1, ["a", "b"]), (2, ["c"]), (2, []), (3, None), (None, ["a", "b", "a", "b"])]
+    df, table = spark.createDataFrame(docs, "k int, t array<string>"), spark.createDataFrame(list(phrases), "a string, b string")
+    expected = sorted((k, None if t is None else merge_by_hand(t, phrases)) for k, t in docs if k) + [(None, ["a_b", "a_b"])]
+    by_key = lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or [])
+    merged = textprep.merge_phrases(df, "k", "t", table)
+    assert "Exchange" not in merged._jdf.queryExecution().executedPlan().toString()
+    assert sorted(values(merged, "k", "t"), key=by_key) == sorted(expected, key=by_key)
+    monkeypatch.setattr(textprep, "PHRASES_SENT", 2)
+    assert sorted(values(textprep.merge_phrases(df, "k", "t", table), "k", "t"), key=by_key) == sorted(expected, key=by_key)
+
+
+def test_rare_and_unlisted_words_are_counted(spark, monkeypatch):
+    rows = [(["a", "b", "x%d" % i, "a", "b"],) for i in range(8)] + [(["b", "a"],), ([],), (None,)]
+    df = spark.createDataFrame(rows, "t array<string>")
+    everything = sorted(values(textprep.learn_phrases(df, "t", 2, 0.0), "a", "b", "n", "score"))
+    # 10 words; a-b, b-a, eight b-x and eight x-a are 18 pairs.
+    assert everything == [("a", "b", 16, 14 * 28 / (17 * 17))]
+    monkeypatch.setattr(textprep, "WORDS_SENT", 1)
+    monkeypatch.setattr(textprep, "PAIRS_HELD", 1)
+    assert sorted(values(textprep.learn_phrases(df, "t", 2, 0.0), "a", "b", "n", "score")) == everything
+
+
 def test_short_and_long_word_tables_give_the_same(spark, monkeypatch):
     docs = spark.createDataFrame(
         [(1, "The doctors felt better, 3 days!"), (2, ""), (3, "the the"), (4, None), (4, "felt\xa0days felt"), (4, "better")], "k int, c string"
