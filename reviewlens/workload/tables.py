@@ -96,7 +96,7 @@ def segment_manifest(t: Source) -> DataFrame:
 def src_segment(t: Source) -> DataFrame:
     path = scratch_path(t.spark, "segments")
     rows = labelled(t).select("doc_id", "text", "n_chars", *files.SEGMENT)
-    files.write_segments(rows, path)
+    files.write_segments(rows, path, rows_per_file=files.TEXT_ROWS_PER_FILE)
     return files.read_segment(t.spark, path, rows.schema, DrugFamily="en", bert_compound_threshold="positive")
 
 

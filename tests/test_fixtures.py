@@ -630,6 +630,14 @@ def test_segments_are_few_files(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == 3000
 
 
+def test_large_segment_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    df = spark.range(4000).selectExpr("id", "'a' AS DrugFamily", "CASE WHEN id = 0 THEN NULL ELSE 'x' END AS bert_compound_threshold")
+    files.write_segments(df, str(tmp_path / "s"), rows_per_file=100)
+    tasks = {p.name.split("-")[1] for p in (tmp_path / "s").rglob("part-*.parquet")}
+    assert len(tasks) >= 25
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 4000
+
+
 def test_long_lexicons_score_the_same(spark, monkeypatch):
     texts = ["a very GOOD day!", "not good but awful", "", None, "a very GOOD day!", "good good bad"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, c string")
