@@ -477,6 +477,32 @@ def test_stage1_round_trip(spark, tmp_path):
     assert stages.nested_records(tables).select(F.size("Reviews")).first()[0] == 1
 
 
+def test_lists_are_joined_where_they_lie(spark):
+    rows = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (2, 3, "c")], "k int, o int, v string")
+    lists = nested.nest_reviews(rows, ["k"], ["o"], ["v", "o"])
+    assert sorted(values(lists, "k", "part", "Reviews")) == [(1, 0, [("a", 1), ("b", 2)]), (2, 0, [("c", 3)])]
+    names = spark.createDataFrame([(1, "x"), (2, "y")], "k int, name string")
+    plan = lists.join(names.hint("shuffle_hash"), "k")._jdf.queryExecution().executedPlan().toString()
+    # The rows once and the names once: the lists are not sent again.
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_stage1_joins_many_drugs_without_a_sort_of_the_lists(spark, tmp_path, monkeypatch):
+    record = {f: "5" for f in files.RECORD_FIELDS if f != "Reviews"}
+    review = dict.fromkeys(files.REVIEW_FIELDS, "4") | {"Comment": "it helped"}
+    some = [dict(record, Drug="sertraline oral", GenName=n, DrugId=str(i), Reviews=[dict(review, Id=str(i))]) for i, n in enumerate(["sertraline", " ", "none"])]
+    import json
+
+    (tmp_path / "records.json").write_text("\n".join(json.dumps(r) for r in some))
+    records = stages.read_records(spark, str(tmp_path / "records.json"))
+    few = sorted(values(stages.stage1(records).reviews, "Id", "DrugId", "GenName", "Drug", "Overall"))
+    assert few == [(str(i), str(i), "sertraline", "sertraline oral", 4.0) for i in (0, 1)]
+    monkeypatch.setattr(sizes, "BROADCAST_ROWS", 0)
+    many = stages.stage1(records).reviews
+    assert "ShuffledHashJoin" in plan_of(many)
+    assert sorted(values(many, "Id", "DrugId", "GenName", "Drug", "Overall")) == few
+
+
 def test_overview_filters_gender(spark):
     rows = [("F", g, "00-02 yrs", "10 years or more", "c", 3.0, "a b c", "neutral") for g in ("Male", "Female", None)]
     df = spark.createDataFrame(rows, "DrugFamily string, Gender string, Age string, TimeUsingDrug string, Condition string, "
