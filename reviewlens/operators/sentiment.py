@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions import columns as c
 from ..functions import text as x
+from ..session import passing_scratch, scratch_path
 from . import nested, sizes
 
 # Constants of the published lexicon method (Hutto & Gilbert 2014).
@@ -87,17 +88,13 @@ def add_lexicon_scores(df: DataFrame, text: str, lexicon: DataFrame, prefix: str
     lexicon of over LEXICON_WORDS words is joined to the tokens of the distinct texts.
     """
     before = df.columns
-    stripped = F.transform(
-        F.transform(x.tokens(text), lambda t: F.struct(t.alias("t"), F.btrim(t, F.lit(PUNCTUATION)).alias("s"))),
-        lambda p: F.when(F.length(p["s"]) > 2, p["s"]).otherwise(p["t"]),
-    )
-    exclamations = F.least(F.regexp_count(text, F.lit("!")), F.lit(EXCLAMATION_MAX)) * EXCLAMATION_STEP
-    questions = F.regexp_count(text, F.lit(r"\?"))
+    exclamations = F.least(_count_of(text, "!"), F.lit(EXCLAMATION_MAX)) * EXCLAMATION_STEP
+    questions = _count_of(text, "?")
     question_points = (
         F.when(questions <= 1, 0.0).when(questions <= QUESTION_MAX, questions * QUESTION_STEP).otherwise(QUESTION_TOP)
     )
-    words = df.withColumn("_w", stripped).withColumn("_amp", exclamations + question_points)
-    words = words.withColumn("_low", F.transform("_w", lambda w: F.lower(w)))
+    words = df.withColumn("_w", x.tokens(text)).withColumn("_amp", exclamations + question_points)
+    words = words.withColumn("_low", F.transform("_w", lambda w: F.lower(_stripped(w))))
 
     rows = _lexicon_rows(lexicon)
     if rows is None:
@@ -112,7 +109,7 @@ def add_lexicon_scores(df: DataFrame, text: str, lexicon: DataFrame, prefix: str
         words = words.withColumn("_hits", hits)
     words = words.withColumns({
         "_but": F.array_position("_low", F.lit("but")),
-        "_mixed": F.exists("_w", _is_caps) & F.exists("_w", lambda w: ~_is_caps(w)),
+        "_mixed": F.exists("_w", lambda w: ~_is_caps(w)),
     })
     scored = words.withColumn("_v", F.transform("_hits", _hit_score))
     total = lambda part: F.aggregate("_v", F.lit(0.0), lambda acc, v: acc + part(v))
@@ -136,9 +133,23 @@ def add_lexicon_scores(df: DataFrame, text: str, lexicon: DataFrame, prefix: str
     )
 
 
+def _count_of(text: str, sign: str) -> Column:
+    """How often an ASCII character comes in a text."""
+    return F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit(sign), F.lit("")))
+
+
+def _stripped(token: Column) -> Column:
+    """The token without punctuation around it, if over two characters are left. Most tokens have none, and
+    looking at both ends costs less than to trim."""
+    ends = [F.substring(token, at, 1).isin(list(PUNCTUATION)) for at in (1, -1)]
+    core = F.btrim(token, F.lit(PUNCTUATION))
+    return F.when((ends[0] | ends[1]) & (F.length(core) > 2), core).otherwise(token)
+
+
 def _hit_score(hit: Column) -> Column:
     """Score of one lexicon word: its valence, stressed by capitals, moved by the words before
-    it and weighted by its side of a "but"."""
+    it and weighted by its side of a "but". Punctuation around a word has no case. Capitals count
+    in a text that also has other words."""
     mixed, sign = F.col("_mixed"), F.signum(hit["v"])
     score = hit["v"] + F.when(_caps_at(hit["i"]) & mixed, sign * CAPS_STEP).otherwise(0.0)
     for k, damping in enumerate(DISTANCE_DAMPING, start=1):
@@ -198,16 +209,22 @@ def add_predictor_scores(df: DataFrame, text: str, make_predictor, prefix: str =
 
 
 def fit_text_classifier(labelled: DataFrame, text: str, label: str, features: int = 1 << 14) -> PipelineModel:
-    """Multinomial classifier over hashed words; labels are 0 negative, 1 neutral, 2 positive."""
+    """Multinomial classifier over hashed words; labels are 0 negative, 1 neutral, 2 positive.
+
+    The fit reads its input twice before it holds it, so the hashed words are written first and
+    texts are taken apart once."""
+    spark = labelled.sparkSession
     words = labelled.select(x.tokens(x.letters_only(text)).alias("_words"), F.col(label).cast("double").alias("_label"))
-    stages = [
-        HashingTF(inputCol="_words", outputCol="_features", numFeatures=features, binary=True),
-        LogisticRegression(
-            featuresCol="_features", labelCol="_label", family="multinomial", regParam=0.01, maxIter=20,
-            probabilityCol="_probability", rawPredictionCol="_raw", predictionCol="_prediction",
-        ),
-    ]
-    return Pipeline(stages=stages).fit(words)
+    hashing = HashingTF(inputCol="_words", outputCol="_features", numFeatures=features, binary=True)
+    classifier = LogisticRegression(
+        featuresCol="_features", labelCol="_label", family="multinomial", regParam=0.01, maxIter=20,
+        probabilityCol="_probability", rawPredictionCol="_raw", predictionCol="_prediction",
+    )
+    with passing_scratch(spark):
+        path = scratch_path(spark, "features")
+        hashing.transform(words).select("_features", "_label").write.parquet(path)
+        fitted = classifier.fit(spark.read.parquet(path))
+    return PipelineModel(stages=[hashing, fitted])
 
 
 def add_classifier_scores(df: DataFrame, text: str, model: PipelineModel, prefix: str = "bert") -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators on small hand-made rows."""
 
 import math
+import sys
 from datetime import datetime
 
 import numpy as np
@@ -672,3 +673,38 @@ def test_long_lexicons_score_the_same(spark, monkeypatch):
     short = scores()
     monkeypatch.setattr(sentiment, "LEXICON_WORDS", 1)
     assert scores() == short
+
+
+def test_classifier_takes_texts_apart_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        read.add(1)
+        return text
+
+    texts = spark.createDataFrame([(f"good day {i}" if i % 3 else f"bad night {i}", i % 3) for i in range(30)], "t string, y int")
+    watched = texts.withColumn("t", F.udf(seen, "string").asNondeterministic()("t"))
+    model = sentiment.fit_text_classifier(watched, "t", "y", 64)
+    assert read.value == 30
+    scored = sentiment.add_classifier_scores(texts, "t", model)
+    assert scored.where(F.abs(F.col("bert_neg") + F.col("bert_neu") + F.col("bert_pos") - 1) > 1e-9).count() == 0
+
+
+def test_spaces_and_letters_of_all_characters(spark):
+    known = [chr(i) for i in range(sys.maxunicode + 1) if not 0xD800 <= i < 0xE000]
+    rows = [("".join(f"a{c}B{c}{c}" for c in known[i : i + 512]),) for i in range(0, len(known), 512)]
+    df = spark.createDataFrame(rows, "t string")
+    spaces = f"[{x.SPACE_CLASS}]+"
+    plain = lambda t: F.filter(F.split(t, spaces), lambda w: w != "")
+    kept = F.regexp_replace(F.lower("t"), rf"[^\p{{L}}\p{{N}}_{x.SPACE_CLASS}]", "")
+    letters = F.regexp_replace(kept, r"\p{Nd}+", "")
+    same = (plain("t") == x.tokens("t")) & (letters == x.letters_only("t")) & (plain(letters) == x.tokens(x.letters_only("t")))
+    assert df.where(same).count() == len(rows)
+
+
+def test_punctuation_around_lexicon_words(spark):
+    lexicon = spark.createDataFrame([("good", 1.9), (":)", 2.0), ("ok", 1.0)], "token string, weight double")
+    texts = {"(good)": 1.9, "...good": 1.9, "good-": 1.9, "go.od": 0, ":)": 2.0, "ok.": 0, "--": 0, "a \"GOOD.\" day": 1.9 + 0.733, "\"GOOD.\"": 1.9}
+    df = spark.createDataFrame([(k, float(v)) for k, v in texts.items()], "c string, s double")
+    for r in sentiment.add_lexicon_scores(df, "c", lexicon).collect():
+        assert r.vader_compound == round(r.s / math.sqrt(r.s * r.s + 15), 4), r.c
