@@ -73,7 +73,7 @@ def usual_words(df: DataFrame, text: str, most: int, min_share: float, max_share
     """The most frequent words whose share of the texts is in range, in order."""
     rows = df.select(F.lit(0).alias("_seg"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
     total = rows.count()
-    named = rows.mapInArrow(segments._candidates(1), "_seg int, term string").distinct().select("term")
+    named = rows.mapInArrow(segments._candidates(1), segments.CHUNK_TERMS).where("term is not null").select("term").distinct()
     # A few hundred words for each of a mean text, as all were frequent in some chunk.
     candidates = sorted(r["term"] for r in named.collect())
     if not candidates:
